@@ -24,6 +24,11 @@ def py_strip(c: Column) -> Column:
     return F.regexp_replace(c, STRIP_PATTERN, "")
 
 
+def is_blank(c: Column) -> Column:
+    """``not c.strip()`` in one regex pass, without building the stripped string."""
+    return ~c.rlike("[^" + WS_CLASS[1:])
+
+
 def bleu_tokens(c: Column) -> Column:
     """Tokeniser A: lower-cased word runs and single punctuation marks."""
     return F.regexp_extract_all(F.lower(c), F.lit(BLEU_TOKEN_PATTERN), 0)

@@ -218,3 +218,204 @@ def m2_accuracy(spark, sf):
     items, e = _closed_extracted(spark, sf)
     a = se.accuracy(e, items)
     return a.select("model", "split", "shot", "correct", "n_items", r6(F.col("accuracy")).alias("accuracy"))
+
+
+# =============================================================== E4-E7 tuple extraction
+
+def _tuple_out(df, col):
+    return df.select("model", "split", "shot", "identifier", F.size(col).cast("bigint").alias("n_tuples"),
+                     ex.render_tuples(col).alias("tuples"))
+
+
+def _tuple_out_sql(src: str, expr: str) -> str:
+    return f"""SELECT model, split, shot, identifier, CAST(len(t) AS BIGINT) AS n_tuples, {q.render('t')} AS tuples
+FROM (SELECT model, split, shot, identifier, {expr} AS t FROM {src})"""
+
+
+@register("e4_tuple_literal", _tuple_out_sql(ofx.tuple_responses(), q.e4(q.strip("text"))))
+def e4_tuple_literal(spark, sf):
+    r = fx.tuple_responses(spark, sf)
+    return _tuple_out(r, ex.literal_tuples(tx.py_strip(F.col("text"))))
+
+
+@register("e5_tuple_regex", _tuple_out_sql(ofx.triple_responses(), q.e5(q.strip("text"))))
+def e5_tuple_regex(spark, sf):
+    r = fx.triple_responses(spark, sf)
+    return _tuple_out(r, ex.regex_tuples(tx.py_strip(F.col("text"))))
+
+
+@register("e6_tuple_cascade", _tuple_out_sql(ofx.tuple_responses(), q.cascade(q.strip("text"))))
+def e6_tuple_cascade(spark, sf):
+    r = fx.tuple_responses(spark, sf)
+    return _tuple_out(r, ex.parse_tuples(F.col("text")))
+
+
+@register("e7_triple_arity", _tuple_out_sql(
+    ofx.triple_responses(), f"list_filter({q.cascade(q.strip('text'))}, lambda t: len(t) = 3)"))
+def e7_triple_arity(spark, sf):
+    r = fx.triple_responses(spark, sf)
+    return _tuple_out(r, ex.keep_triples(ex.parse_tuples(F.col("text"))))
+
+
+# =============================================================== M3 / M4 micro F1
+
+def _f1_sql(resp: str, items: str, arity3: bool, positional: bool) -> str:
+    def parse(x):
+        c = q.cascade(q.strip(x))
+        return f"list_filter({c}, lambda t: len(t) = 3)" if arity3 else c
+    if positional:
+        tp = "len(list_filter(p, lambda x, i: i <= len(r) AND x = r[i]))"
+        counts = f"{tp} AS tp, greatest(len(p) - {tp}, 0) AS fp, greatest(len(r) - {tp}, 0) AS fn"
+    else:
+        counts = ("len(list_intersect(list_distinct(p), list_distinct(r))) AS tp, "
+                  "len(list_filter(list_distinct(p), lambda x: NOT list_contains(r, x))) AS fp, "
+                  "len(list_filter(list_distinct(r), lambda x: NOT list_contains(p, x))) AS fn")
+    return f"""WITH pairs AS (
+  SELECT r.model, r.split, r.shot, {parse('r.text')} AS p, {parse('i.answer')} AS r
+  FROM {resp} r JOIN {items} i ON r.split = i.split AND r.identifier = i.identifier),
+c AS (SELECT model, split, shot, {counts} FROM pairs),
+s AS (SELECT model, split, shot, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(fn) AS BIGINT) AS fn
+      FROM c GROUP BY 1, 2, 3),
+m AS (SELECT *, {q.safe_div('tp', 'tp + fp')} AS precision, {q.safe_div('tp', 'tp + fn')} AS recall FROM s)
+SELECT model, split, shot, tp, fp, fn, round(precision, 6) AS precision, round(recall, 6) AS recall,
+  round({q.f1('precision', 'recall')}, 6) AS f1 FROM m"""
+
+
+def _f1_out(df):
+    return df.select("model", "split", "shot", "tp", "fp", "fn", r6(F.col("precision")).alias("precision"),
+                     r6(F.col("recall")).alias("recall"), r6(F.col("f1")).alias("f1"))
+
+
+def _open_extracted(spark, sf, items_fn, resp_fn, mode="reference"):
+    from .evaluate import extract
+    return extract(spark, items_fn(spark, sf), resp_fn(spark, sf), mode)
+
+
+@register("m3_tuple_f1", _f1_sql(ofx.tuple_responses(), ofx.tuple_items(), arity3=False, positional=False))
+def m3_tuple_f1(spark, sf):
+    from ..operators.score_tuples import tuple_f1
+    e = _open_extracted(spark, sf, fx.tuple_items, fx.tuple_responses)
+    return _f1_out(tuple_f1(e))
+
+
+@register("m4_triple_f1", _f1_sql(ofx.triple_responses(), ofx.triple_items(), arity3=True, positional=True))
+def m4_triple_f1(spark, sf):
+    from ..operators.score_tuples import triple_f1
+    e = _open_extracted(spark, sf, fx.triple_items, fx.triple_responses)
+    return _f1_out(triple_f1(e))
+
+
+# =============================================================== M5-M9 text metrics
+
+def _doc_pairs(spark, sf):
+    it = fx.text_items(spark, sf).select("split", "identifier", F.col("answer").alias("ref"))
+    rs = fx.text_responses(spark, sf).select("model", "split", "shot", "identifier", F.col("text").alias("pred"))
+    return rs.join(it, ["split", "identifier"])
+
+
+_DOC_PAIRS_SQL = f"""(SELECT r.model, r.split, r.shot, r.identifier, r.text AS pred, i.answer AS ref
+  FROM {ofx.text_responses()} r JOIN {ofx.text_items()} i ON r.split = i.split AND r.identifier = i.identifier)"""
+
+_ROUGE_PAT = "'[a-z0-9]+'"
+_KEY = "model, split, shot, identifier"
+
+
+def _overlap_sql(pairs: str) -> str:
+    """CTE chain: tok (both tokenisations) and cl (clipped overlap per pair, family, n)."""
+    def grams(fam, side, toks, n_max):
+        return f"""SELECT {_KEY}, '{fam}' AS fam, n, array_to_string({toks}[i:i + n - 1], ' ') AS g,
+        {1 if side == 'p' else 0} AS cp, {1 if side == 'r' else 0} AS cr
+      FROM (SELECT {_KEY}, {toks}, n, unnest(range(1, len({toks}) - n + 2)) AS i FROM tok, range(1, {n_max + 1}) AS nn(n))"""
+    return f"""tok AS (
+  SELECT {_KEY}, regexp_extract_all(lower(pred), {ofx.BLEU_PAT}) AS pb, regexp_extract_all(lower(ref), {ofx.BLEU_PAT}) AS rb,
+    regexp_extract_all(lower(pred), {_ROUGE_PAT}) AS pr, regexp_extract_all(lower(ref), {_ROUGE_PAT}) AS rr
+  FROM (SELECT {_KEY}, {q.strip('pred')} AS pred, {q.strip('ref')} AS ref FROM {pairs})),
+gr AS ({grams('b', 'p', 'pb', 4)} UNION ALL {grams('b', 'r', 'rb', 4)}
+  UNION ALL {grams('r', 'p', 'pr', 2)} UNION ALL {grams('r', 'r', 'rr', 2)}),
+pg AS (SELECT {_KEY}, fam, n, g, sum(cp) AS cp, sum(cr) AS cr FROM gr GROUP BY ALL),
+cl AS (SELECT {_KEY},
+  coalesce(sum(least(cp, cr)) FILTER (WHERE fam = 'b' AND n = 1), 0) AS b1,
+  coalesce(sum(least(cp, cr)) FILTER (WHERE fam = 'b' AND n = 2), 0) AS b2,
+  coalesce(sum(least(cp, cr)) FILTER (WHERE fam = 'b' AND n = 3), 0) AS b3,
+  coalesce(sum(least(cp, cr)) FILTER (WHERE fam = 'b' AND n = 4), 0) AS b4,
+  coalesce(sum(least(cp, cr)) FILTER (WHERE fam = 'r' AND n = 1), 0) AS r1,
+  coalesce(sum(least(cp, cr)) FILTER (WHERE fam = 'r' AND n = 2), 0) AS r2
+  FROM pg GROUP BY ALL),
+sc AS (SELECT t.*, coalesce(b1, 0) AS b1, coalesce(b2, 0) AS b2, coalesce(b3, 0) AS b3, coalesce(b4, 0) AS b4,
+    coalesce(r1, 0) AS r1, coalesce(r2, 0) AS r2
+  FROM tok t LEFT JOIN cl USING (model, split, shot, identifier))"""
+
+
+_BLEU_SQL = """CASE WHEN b1 = 0 OR b2 = 0 OR b3 = 0 OR b4 = 0 THEN 0.0 ELSE
+  (CASE WHEN len(pb) > len(rb) THEN 1.0 WHEN len(pb) = 0 THEN 0.0 ELSE exp(1 - len(rb) / len(pb)) END)
+  * exp((ln(b1 / greatest(len(pb), 1)) + ln(b2 / greatest(len(pb) - 1, 1)) + ln(b3 / greatest(len(pb) - 2, 1))
+        + ln(b4 / greatest(len(pb) - 3, 1))) / 4) END"""
+
+
+def _rouge_n_sql(n: int) -> str:
+    p = f"(r{n} / greatest(len(pr) - {n - 1}, 1))"
+    r = f"(r{n} / greatest(len(rr) - {n - 1}, 1))"
+    return q.f1(p, r)
+
+
+def _lcs_sql(a: str, b: str) -> str:
+    inner = (f"list_reduce(range(1, len({b}) + 1), lambda cur, j: list_append(cur, CASE WHEN x = {b}[j] THEN prev[j] + 1 "
+             f"ELSE greatest(prev[j + 1], cur[j]) END), [0])")
+    full = f"list_reduce({a}, lambda prev, x: {inner}, list_transform(range(len({b}) + 1), lambda k: 0))"
+    return f"(CASE WHEN len({a}) = 0 OR len({b}) = 0 THEN 0 ELSE {full}[len({b}) + 1] END)"
+
+
+def _rouge_l_sql() -> str:
+    return (f"CASE WHEN len(pr) = 0 OR len(rr) = 0 THEN 0.0 ELSE "
+            f"{q.f1('lcs / len(pr)', 'lcs / len(rr)')} END")
+
+
+def _scores(spark, sf, pairs_fn=_doc_pairs, impl="arrow"):
+    from ..operators.score_text import text_scores
+    return text_scores(pairs_fn(spark, sf), impl=impl)
+
+
+@register("m5_bleu", f"WITH {_overlap_sql(_DOC_PAIRS_SQL)} SELECT {_KEY}, round({_BLEU_SQL}, 6) AS bleu FROM sc")
+def m5_bleu(spark, sf):
+    return _scores(spark, sf).select("model", "split", "shot", "identifier", r6(F.col("bleu")).alias("bleu"))
+
+
+@register("m6_rouge1", f"WITH {_overlap_sql(_DOC_PAIRS_SQL)} SELECT {_KEY}, round({_rouge_n_sql(1)}, 6) AS rouge1 FROM sc")
+def m6_rouge1(spark, sf):
+    return _scores(spark, sf).select("model", "split", "shot", "identifier", r6(F.col("rouge1")).alias("rouge1"))
+
+
+@register("m7_rouge2", f"WITH {_overlap_sql(_DOC_PAIRS_SQL)} SELECT {_KEY}, round({_rouge_n_sql(2)}, 6) AS rouge2 FROM sc")
+def m7_rouge2(spark, sf):
+    return _scores(spark, sf).select("model", "split", "shot", "identifier", r6(F.col("rouge2")).alias("rouge2"))
+
+
+@register("m8_rougeL")  # whole documents: the SQL row DP is too slow here; checked against brute force in tests
+def m8_rougeL(spark, sf):
+    return _scores(spark, sf).select("model", "split", "shot", "identifier", "lcs", r6(F.col("rougeL")).alias("rougeL"))
+
+
+def _conv_pairs(spark, sf):
+    return fx.conversation_pairs(spark, sf)
+
+
+@register("m8_rougeL_conv", f"""WITH tok AS (
+  SELECT {_KEY}, regexp_extract_all(lower(pred), {_ROUGE_PAT}) AS pr, regexp_extract_all(lower(ref), {_ROUGE_PAT}) AS rr
+  FROM (SELECT {_KEY}, {q.strip('pred')} AS pred, {q.strip('ref')} AS ref FROM {ofx.conversation_pairs()})),
+l AS (SELECT *, {_lcs_sql('rr', 'pr')} AS lcs FROM tok)
+SELECT {_KEY}, CAST(lcs AS BIGINT) AS lcs, round({_rouge_l_sql()}, 6) AS rougeL FROM l""")
+def m8_rougeL_conv(spark, sf):
+    return _scores(spark, sf, _conv_pairs).select("model", "split", "shot", "identifier", "lcs", r6(F.col("rougeL")).alias("rougeL"))
+
+
+@register("m9_text_summary", f"""WITH {_overlap_sql(ofx.conversation_pairs())},
+l AS (SELECT *, {_lcs_sql('rr', 'pr')} AS lcs FROM sc),
+s AS (SELECT model, split, shot, {_BLEU_SQL} AS bleu, {_rouge_n_sql(1)} AS rouge1, {_rouge_n_sql(2)} AS rouge2,
+        {_rouge_l_sql()} AS rougeL FROM l)
+SELECT model, split, shot, round(coalesce(avg(bleu), 0.0), 6) AS bleu, round(coalesce(avg(rouge1), 0.0), 6) AS rouge1,
+  round(coalesce(avg(rouge2), 0.0), 6) AS rouge2, round(coalesce(avg(rougeL), 0.0), 6) AS rougeL, count(*) AS n_pairs
+FROM s GROUP BY ALL""")
+def m9_text_summary(spark, sf):
+    from ..operators.score_text import text_summary
+    s = text_summary(_scores(spark, sf, _conv_pairs))
+    return s.select("model", "split", "shot", *[r6(F.col(c)).alias(c) for c in ("bleu", "rouge1", "rouge2", "rougeL")], "n_pairs")
