@@ -53,7 +53,7 @@ def shot_label(path: Column) -> Column:
 
 def fmt4(c: Column) -> Column:
     """P10: metric as 4-decimal text.  Only used in sinks; metrics stay DOUBLE inside."""
-    return F.format_string("%.4f", c)
+    return F.when(c.isNotNull(), F.format_string("%.4f", c))
 
 
 def iso_timestamp(ts: Column | None = None) -> Column:

@@ -208,12 +208,16 @@ def m1_match(spark, sf):
     return e.select("model", "split", "shot", "identifier", "pred_text", "match")
 
 
-@register("m2_accuracy", f"""
+def _acc_sql() -> str:
+    return f"""
 WITH s AS (SELECT model, split, shot, CAST(sum(CASE WHEN coalesce(pred_text = {q.strip('answer')}, false) THEN 1 ELSE 0 END) AS BIGINT) AS correct
            FROM {_CLOSED_PAIRED_SQL} GROUP BY 1, 2, 3),
      n AS (SELECT split, count(*) AS n_items FROM (SELECT split FROM {ofx.mc_items()} UNION ALL SELECT split FROM {ofx.bool_items()}) GROUP BY 1)
 SELECT s.model, s.split, s.shot, s.correct, n.n_items, round({q.safe_div('s.correct', 'n.n_items')}, 6) AS accuracy
-FROM s JOIN n ON s.split = n.split""")
+FROM s JOIN n ON s.split = n.split"""
+
+
+@register("m2_accuracy", _acc_sql())
 def m2_accuracy(spark, sf):
     items, e = _closed_extracted(spark, sf)
     a = se.accuracy(e, items)
@@ -408,14 +412,288 @@ def m8_rougeL_conv(spark, sf):
     return _scores(spark, sf, _conv_pairs).select("model", "split", "shot", "identifier", "lcs", r6(F.col("rougeL")).alias("rougeL"))
 
 
-@register("m9_text_summary", f"""WITH {_overlap_sql(ofx.conversation_pairs())},
+def _text_summary_sql() -> str:
+    return f"""WITH {_overlap_sql(ofx.conversation_pairs())},
 l AS (SELECT *, {_lcs_sql('rr', 'pr')} AS lcs FROM sc),
 s AS (SELECT model, split, shot, {_BLEU_SQL} AS bleu, {_rouge_n_sql(1)} AS rouge1, {_rouge_n_sql(2)} AS rouge2,
         {_rouge_l_sql()} AS rougeL FROM l)
 SELECT model, split, shot, round(coalesce(avg(bleu), 0.0), 6) AS bleu, round(coalesce(avg(rouge1), 0.0), 6) AS rouge1,
   round(coalesce(avg(rouge2), 0.0), 6) AS rouge2, round(coalesce(avg(rougeL), 0.0), 6) AS rougeL, count(*) AS n_pairs
-FROM s GROUP BY ALL""")
+FROM s GROUP BY ALL"""
+
+
+@register("m9_text_summary", _text_summary_sql())
 def m9_text_summary(spark, sf):
     from ..operators.score_text import text_summary
     s = text_summary(_scores(spark, sf, _conv_pairs))
     return s.select("model", "split", "shot", *[r6(F.col(c)).alias(c) for c in ("bleu", "rouge1", "rouge2", "rougeL")], "n_pairs")
+
+
+# =============================================================== M11 summary and reports
+
+_METRICS = ["accuracy", "precision", "recall", "f1", "bleu", "rouge1", "rouge2", "rougeL"]
+
+
+def _summary(spark, sf):
+    from .evaluate import extract, summarize
+    items = fx.all_items(spark, sf)
+    e = extract(spark, items, fx.all_responses(spark, sf))
+    return summarize(spark, e, items)
+
+
+def _summary_sql() -> str:
+    parts = [
+        f"SELECT model, split, shot, accuracy FROM ({_acc_sql()})",
+        f"SELECT model, split, shot, precision, recall, f1 FROM "
+        f"({_f1_sql(ofx.tuple_responses(), ofx.tuple_items(), arity3=False, positional=False)})",
+        f"SELECT model, split, shot, precision, recall, f1 FROM "
+        f"({_f1_sql(ofx.triple_responses(), ofx.triple_items(), arity3=True, positional=True)})",
+        f"SELECT model, split, shot, bleu, rouge1, rouge2, rougeL FROM ({_text_summary_sql()})",
+    ]
+    union = " UNION ALL BY NAME ".join(f"({p})" for p in parts)
+    return f"""(SELECT 'local' AS dataset, u.split, u.model, './prompt/bench_' || u.split || '/' || u.shot || '.txt' AS prompt_path,
+    u.shot, coalesce(c.task_type, 'mc') AS task_type, {", ".join("CAST(u." + m + " AS DOUBLE) AS " + m for m in _METRICS)}
+  FROM ({union}) u LEFT JOIN {cat.catalog_values_sql()} c ON u.split = c.split)"""
+
+
+@register("m11_summary", f"SELECT * FROM {_summary_sql()}")
+def m11_summary(spark, sf):
+    s = _summary(spark, sf)
+    return s.select(*[r6(F.col(c)).alias(c) if c in _METRICS else F.col(c) for c in s.columns])
+
+
+_HEADLINE_SQL = f"""(SELECT s.model, s.split, s.shot, c.task_id, c.capability, c.metric,
+    CASE WHEN c.metric = 'Accuracy' THEN s.accuracy WHEN c.metric = 'ROUGE-L' THEN s.rougeL
+         WHEN c.metric IN ('Triple-F1', 'Tuple-F1') THEN s.f1 END AS headline
+  FROM {_summary_sql()} s LEFT JOIN {cat.catalog_values_sql()} c ON s.split = c.split)"""
+
+
+def _heads(spark, sf):
+    from .report import headline
+    return headline(spark, _summary(spark, sf))
+
+
+@register("rp1_headline", f"SELECT model, split, shot, task_id, capability, metric, round(headline, 6) AS headline FROM {_HEADLINE_SQL}")
+def rp1_headline(spark, sf):
+    h = _heads(spark, sf)
+    return h.select("model", "split", "shot", "task_id", "capability", "metric", r6(F.col("headline")).alias("headline"))
+
+
+@register("rp2_capability_rollup", f"""
+SELECT model, shot, capability, split,
+  CASE GROUPING(capability, split) WHEN 0 THEN 'split' WHEN 1 THEN 'capability' ELSE 'overall' END AS level,
+  CAST(sum(CAST(floor(headline * 1e9) AS BIGINT)) AS DOUBLE) / count(*) / 1e9 AS mean_headline, count(*) AS n
+FROM {_HEADLINE_SQL} GROUP BY model, shot, ROLLUP(capability, split)""")
+def rp2_capability_rollup(spark, sf):
+    from .report import capability_rollup
+    # headlines in exact integer nano-units, so the mean does not depend on summation order
+    h = _heads(spark, sf).withColumn("headline", F.floor(F.col("headline") * 1e9).cast("bigint"))
+    r = capability_rollup(h).withColumn("mean_headline", F.col("mean_headline") / 1e9)
+    # exact integer sums divided once: equal in any engine, so no rounding is needed
+    return r.select("model", "shot", "capability", "split", "level", "mean_headline", "n")
+
+
+@register("rp3_shot_pivot", f"""
+SELECT model, split,
+  round(max(headline) FILTER (WHERE shot = 'zero_shot'), 6) AS zero_shot,
+  round(max(headline) FILTER (WHERE shot = 'two_shot'), 6) AS two_shot,
+  round(max(headline) FILTER (WHERE shot = 'four_shot'), 6) AS four_shot
+FROM {_HEADLINE_SQL} GROUP BY model, split""")
+def rp3_shot_pivot(spark, sf):
+    from .report import shot_pivot
+    p = shot_pivot(_heads(spark, sf))
+    return p.select("model", "split", *[r6(F.col(c)).alias(c) for c in ("zero_shot", "two_shot", "four_shot")])
+
+
+@register("rp4_leaderboard", f"""
+SELECT model, split, shot, headline, rank() OVER (PARTITION BY split, shot ORDER BY headline DESC) AS rank
+FROM (SELECT model, split, shot, round(headline, 6) AS headline FROM {_HEADLINE_SQL})""")
+def rp4_leaderboard(spark, sf):
+    from .report import leaderboard
+    h = _heads(spark, sf).withColumn("headline", r6(F.col("headline")))
+    return leaderboard(h).select("model", "split", "shot", "headline", F.col("rank").cast("bigint").alias("rank"))
+
+
+@register("rp5_latest_run", f"""
+SELECT model, split, shot, max_by(timestamp, timestamp) AS timestamp, round(max_by(accuracy, timestamp), 6) AS accuracy,
+  max_by(event_id, timestamp) AS event_id, count(*) AS n_runs
+FROM {ofx.run_history()} GROUP BY ALL""")
+def rp5_latest_run(spark, sf):
+    from .report import latest_runs
+    r = latest_runs(fx.run_history(spark, sf))
+    return r.select("model", "split", "shot", "timestamp", r6(F.col("accuracy")).alias("accuracy"), "event_id", "n_runs")
+
+
+@register("rp6_missing_cells", f"""
+WITH h AS {ofx.run_history()},
+g AS (SELECT DISTINCT model, sp.split, sh.shot FROM h
+      CROSS JOIN (SELECT unnest({ofx.SPLITS_LIST}) AS split) sp CROSS JOIN (SELECT unnest({ofx.SHOTS_LIST}) AS shot) sh)
+SELECT model, split, shot FROM g WHERE NOT EXISTS
+  (SELECT 1 FROM h WHERE h.model = g.model AND h.split = g.split AND h.shot = g.shot)""")
+def rp6_missing_cells(spark, sf):
+    from .report import missing_cells
+    return missing_cells(fx.run_history(spark, sf))
+
+
+@register("rp7_split_sizes", f"SELECT split, count(*) AS n_items FROM {ofx.all_items()} GROUP BY split")
+def rp7_split_sizes(spark, sf):
+    from .report import split_sizes
+    return split_sizes(fx.all_items(spark, sf))
+
+
+# =============================================================== S8 run grid
+
+@register("s8_run_grid", f"""
+SELECT 'local' AS dataset, model, sp.split, sh.shot, './prompt/bench_' || sp.split || '/' || sh.shot || '.txt' AS prompt_path,
+  8192 AS max_batched_tokens, CASE WHEN sp.split LIKE '3\\_%' ESCAPE '\\' THEN 512 ELSE 128 END AS max_tokens,
+  0.0 AS temperature, 1.0 AS top_p
+FROM (SELECT DISTINCT model FROM {ofx.all_responses()}) m
+  CROSS JOIN (SELECT unnest({ofx.SPLITS_LIST}) AS split) sp CROSS JOIN (SELECT unnest({ofx.SHOTS_LIST}) AS shot) sh""")
+def s8_run_grid(spark, sf):
+    from .grid import run_grid
+    return run_grid(fx.all_responses(spark, sf).select("model"))
+
+
+# =============================================================== S1 / S2 item sources
+
+@register("s1_items", f"""
+SELECT split, ord, identifier, id, length(question) AS question_chars, options IS NULL AS no_options, length(answer) AS answer_chars
+FROM {ofx.all_items()}""")
+def s1_items(spark, sf):
+    from ..session import scratch_path
+    from ..sources.items import read_items, write_items
+    path = scratch_path(spark, "s1_items")
+    write_items(fx.all_items(spark, sf), path, fmt="json")
+    it = read_items(spark, path, fmt="json")
+    return it.select("split", "ord", "identifier", "id", F.length("question").alias("question_chars"),
+                     F.col("options").isNull().alias("no_options"), F.length("answer").alias("answer_chars"))
+
+
+@register("s2_split_select", f"""
+SELECT split, ord, identifier FROM {ofx.all_items()}
+WHERE split = (SELECT max(split) FROM (SELECT DISTINCT split FROM {ofx.all_items()}) WHERE contains(split, '1_'))""")
+def s2_split_select(spark, sf):
+    from ..sources.items import select_split
+    return select_split(fx.all_items(spark, sf), "1_", mode="reference").select("split", "ord", "identifier")
+
+
+# =============================================================== S3 / S4 prompt files, P3 assembly
+
+def _corpus_sql() -> str:
+    mcq = "((split LIKE '%1\\_%' ESCAPE '\\' OR split LIKE '%2\\_%' ESCAPE '\\') AND split <> '2_5')"
+    opts = q.strip("coalesce(options, '')")
+    block = (f"'Question: ' || {q.strip('question')} || chr(10) || "
+             f"CASE WHEN {mcq} THEN replace({opts}, chr(10) || chr(10), chr(10)) || chr(10) ELSE '' END"
+             f" || 'Answer: ' || {q.strip('answer')} || chr(10) || chr(10)")
+    return f"""(WITH top AS (SELECT split, ord, {block} AS b, row_number() OVER (PARTITION BY split ORDER BY ord) AS rn
+                FROM {ofx.all_items()} QUALIFY rn <= 4)
+  SELECT t.split, ['zero_shot', 'one_shot', 'two_shot', 'three_shot', 'four_shot'][k + 1] AS shot,
+    CASE WHEN k = 0 THEN 'Answer the question of task ' || t.split || '.' || chr(10) || chr(10)
+         ELSE string_agg(b, '' ORDER BY rn) FILTER (WHERE rn <= k) END
+    || '|||' || chr(10) || 'Question: {{}}' || chr(10) || 'Answer:' || chr(10) AS text
+  FROM top t CROSS JOIN range(5) AS kk(k) GROUP BY t.split, k)"""
+
+
+def _parse_sql(text: str) -> str:
+    raw = q.strip(text)
+    parts = f"string_split({raw}, '|||')"
+    return (f"len({parts}) AS n_parts, CASE WHEN len({parts}) = 2 THEN {parts}[1] END AS examples, "
+            f"CASE WHEN len({parts}) = 2 THEN {parts}[2] END AS template, "
+            f"(len({parts}) = 2 AND {q.strip(parts + '[1]')} <> '' AND {q.strip(parts + '[2]')} <> '') AS valid")
+
+
+@register("s3_prompt_parse", f"""
+SELECT 'corpus' AS source, split || '/' || shot AS key, {_parse_sql('text')} FROM {_corpus_sql()}
+UNION ALL
+SELECT 'documents' AS source, CAST(doc_id AS VARCHAR) AS key, {_parse_sql('text')} FROM documents""")
+def s3_prompt_parse(spark, sf):
+    from ..sources.prompts import build_prompt_corpus, parse_prompts
+    corpus = build_prompt_corpus(fx.all_items(spark, sf)).select(
+        F.lit("corpus").alias("source"), F.concat_ws("/", "split", "shot").alias("key"), "text")
+    docs = fx.table(spark, sf, "documents").select(F.lit("documents").alias("source"), F.col("doc_id").cast("string").alias("key"), "text")
+    p = parse_prompts(corpus.unionByName(docs))
+    return p.select("source", "key", F.col("n_parts").cast("bigint").alias("n_parts"), "examples", "template", "valid")
+
+
+@register("s4_prompt_catalog", f"SELECT split, shot, {_parse_sql('text')} FROM {_corpus_sql()}")
+def s4_prompt_catalog(spark, sf):
+    from ..session import scratch_path
+    from ..sources.prompts import build_prompt_corpus, read_prompt_corpus, write_prompt_corpus
+    root = scratch_path(spark, "s4_prompts")
+    write_prompt_corpus(build_prompt_corpus(fx.all_items(spark, sf)), root)
+    c = read_prompt_corpus(spark, root)
+    return c.select("split", "shot", F.col("n_parts").cast("bigint").alias("n_parts"), "examples", "template", "valid")
+
+
+@register("p3_prompt", f"""
+WITH c AS (SELECT split, shot, {_parse_sql('text')} FROM {_corpus_sql()}),
+it AS (SELECT * FROM {ofx.mc_items()} UNION ALL SELECT * FROM {ofx.bool_items()})
+SELECT it.split, c.shot, coalesce(it.identifier, it.id, 'example_' || it.ord) AS identifier,
+  c.examples || replace(c.template, '{{}}', b.question_block) AS prompt
+FROM it JOIN ({_block_sql(f"(SELECT split, coalesce(identifier, id, 'example_' || ord) AS identifier, question, options FROM (SELECT * FROM {ofx.mc_items()} UNION ALL SELECT * FROM {ofx.bool_items()}))")}) b
+  ON b.split = it.split AND b.identifier = coalesce(it.identifier, it.id, 'example_' || it.ord)
+JOIN c ON c.split = it.split AND c.valid AND c.shot IN ('zero_shot', 'two_shot', 'four_shot')""")
+def p3_prompt(spark, sf):
+    from ..catalog import GRID_SHOTS
+    from ..operators.prompting import prompts_for
+    from ..sources.prompts import build_prompt_corpus, parse_prompts
+    items = pr.resolve_identifier(fx.mc_items(spark, sf).unionByName(fx.bool_items(spark, sf)))
+    corpus = parse_prompts(build_prompt_corpus(fx.all_items(spark, sf))).where(F.col("shot").isin(*GRID_SHOTS))
+    return prompts_for(items, corpus).select("split", "shot", "identifier", "prompt")
+
+
+# =============================================================== S6 / S7 sinks (round trips)
+
+def _details_sql() -> str:
+    closed = "CASE WHEN r.split = '2_5' THEN " + q.e2("r.text") + " ELSE " + q.e1("r.text") + " END"
+    tup = q.cascade(q.strip("r.text"))
+    tri = f"list_filter({tup}, lambda t: len(t) = 3)"
+    return f"""(SELECT r.model, r.split, r.shot, i.identifier, i.ord,
+    CASE WHEN c.task_type IN ('mc', 'bool') THEN {closed} WHEN c.task_type = 'open_text' THEN {q.strip('r.text')} END AS pred_text,
+    CASE WHEN c.task_type = 'open_triple' THEN len({tri}) WHEN c.task_type = 'open_tuple' THEN len({tup}) END AS n_pred_tuples,
+    CASE WHEN c.task_type IN ('mc', 'bool') THEN coalesce(({closed}) = {q.strip('i.answer')}, false) END AS match,
+    CAST(greatest(coalesce(len(r.token_ids), 0), 1) AS BIGINT) AS token_count, r.cumulative_logprob AS log_probability,
+    coalesce(i.options, '') AS options
+  FROM {ofx.all_responses()} r
+  JOIN (SELECT split, ord, coalesce(identifier, id, 'example_' || ord) AS identifier, options, answer FROM {ofx.all_items()}) i
+    ON r.split = i.split AND r.identifier = i.identifier
+  LEFT JOIN {cat.catalog_values_sql()} c ON r.split = c.split)"""
+
+
+@register("s6_detail", f"""
+SELECT model, split, shot, identifier, ord, pred_text, CAST(n_pred_tuples AS INTEGER) AS n_pred_tuples, match, token_count,
+  log_probability, options FROM {_details_sql()}""")
+def s6_detail(spark, sf):
+    from ..session import scratch_path
+    from ..sources.sinks import read_details, write_details
+    from .evaluate import extract
+    e = extract(spark, fx.all_items(spark, sf), fx.all_responses(spark, sf))
+    details = e.select("identifier", "question", F.coalesce("options", F.lit("")).alias("options"), "response", "answer",
+                       "pred_text", "pred_tuples", "log_probability", "token_count", "match", "ord", "model", "split", "shot")
+    path = scratch_path(spark, "s6_details")
+    write_details(details, path)
+    d = read_details(spark, path)
+    return d.select("model", "split", "shot", "identifier", "ord", "pred_text", F.size("pred_tuples").alias("n_pred_tuples"),
+                    "match", "token_count", "log_probability", "options").withColumn(
+        "n_pred_tuples", F.when(F.col("n_pred_tuples") >= 0, F.col("n_pred_tuples")))
+
+
+def _fmt4_sql(x: str) -> str:
+    """Java's %.4f: half-up on the shortest decimal form of the double."""
+    return f"CASE WHEN {x} IS NULL THEN NULL ELSE printf('%.4f', round(CAST(CAST({x} AS VARCHAR) AS DECIMAL(38, 18)), 4)) END"
+
+
+@register("s7_summary", f"""
+SELECT dataset, split, model, prompt_path, task_type, {", ".join(_fmt4_sql(m) + " AS " + m for m in _METRICS)}, CAST(2 AS BIGINT) AS n_appends
+FROM (SELECT dataset, split, model, prompt_path, task_type, {", ".join(m for m in _METRICS)} FROM {_summary_sql()})""")
+def s7_summary(spark, sf):
+    from ..session import scratch_path
+    from ..sources.sinks import append_summary, read_summary
+    s = _summary(spark, sf).cache()
+    path = scratch_path(spark, "s7_summary")
+    append_summary(s, path)
+    append_summary(s, path)
+    back = read_summary(spark, path)
+    cols = ["dataset", "split", "model", "prompt_path", "task_type", *_METRICS]
+    out = back.groupBy(*cols).agg(F.count(F.lit(1)).alias("n_appends"))
+    return out
