@@ -469,8 +469,9 @@ _HEADLINE_SQL = f"""(SELECT s.model, s.split, s.shot, c.task_id, c.capability, c
 
 
 def _heads(spark, sf):
+    """Headlines from the summary as reported (metrics rounded to 6 decimals, as in m11_summary)."""
     from .report import headline
-    return headline(spark, _summary(spark, sf))
+    return headline(spark, m11_summary(spark, sf))
 
 
 @register("rp1_headline", f"SELECT model, split, shot, task_id, capability, metric, round(headline, 6) AS headline FROM {_HEADLINE_SQL}")
