@@ -196,6 +196,51 @@ def overlap_features(tok: DataFrame, key: list[str], impl: str = "arrow") -> Dat
     return j.na.fill(0, [c for c in counts.columns if c.endswith("_clip")])
 
 
+def with_text_scores(df: DataFrame, pred: Column, ref: Column, active: Column | None = None) -> DataFrame:
+    """Row-level M5-M8: add bleu, rouge1, rouge2, rougeL and lcs columns to ``df`` (Arrow plan).
+
+    ``active`` limits the work to the rows that need it (others get null scores); the token
+    arrays of inactive rows are empty, so they cost nothing in the UDF.
+    """
+    on = active if active is not None else F.lit(True)
+    empty = F.array().cast("array<string>")
+    p, r = py_strip(pred), py_strip(ref)
+    tok = {
+        "pred_bt": F.when(on, bleu_tokens(p)).otherwise(empty),
+        "ref_bt": F.when(on, bleu_tokens(r)).otherwise(empty),
+        "pred_rt": F.when(on, rouge_tokens(p)).otherwise(empty),
+        "ref_rt": F.when(on, rouge_tokens(r)).otherwise(empty),
+    }
+    with_tok = df.select("*", *[c.alias("_" + n) for n, c in tok.items()])
+    f = _overlap_udf(*[F.col("_" + n) for n in tok])
+    j = with_tok.withColumn("_f", f)
+    cols = {n: F.col("_" + n) for n in tok}
+    clip = {c: F.col("_f." + c) for c in _FEATURES}
+    scores = _score_columns(cols, clip)
+    return j.select(*df.columns, *[F.when(on, c).alias(n) for n, c in scores.items()])
+
+
+def _score_columns(tok: dict, clip: dict) -> dict:
+    pb, rb, pr_, rr = tok["pred_bt"], tok["ref_bt"], tok["pred_rt"], tok["ref_rt"]
+    lp, lr = F.size(pb), F.size(rb)
+    bp = F.when(lp > lr, F.lit(1.0)).when(lp == 0, F.lit(0.0)).otherwise(F.exp(F.lit(1.0) - lr / lp))
+    logsum = sum(
+        (F.log(clip[f"b{n}_clip"] / F.greatest(_total(pb, n), F.lit(1))) for n in range(1, BLEU_ORDER + 1)),
+        F.lit(0.0),
+    )
+    any_zero = sum((F.when(clip[f"b{n}_clip"] == 0, 1).otherwise(0) for n in range(1, BLEU_ORDER + 1)), F.lit(0)) > 0
+    bleu = F.when(any_zero, F.lit(0.0)).otherwise(bp * F.exp(logsum / BLEU_ORDER))
+
+    def rouge_n(n):
+        c = clip[f"r{n}_clip"]
+        return f_measure(c / F.greatest(_total(pr_, n), F.lit(1)), c / F.greatest(_total(rr, n), F.lit(1)))
+
+    lp_r, lr_r = F.size(pr_), F.size(rr)
+    lcs_c = clip["lcs"]
+    rl = F.when((lp_r == 0) | (lr_r == 0), F.lit(0.0)).otherwise(f_measure(safe_div(lcs_c, lp_r), safe_div(lcs_c, lr_r)))
+    return {"bleu": bleu, "rouge1": rouge_n(1), "rouge2": rouge_n(2), "rougeL": rl, "lcs": lcs_c.cast("bigint")}
+
+
 def text_scores(pairs: DataFrame, key: list[str] | None = None, pred: str = "pred", ref: str = "ref",
                 impl: str = "arrow") -> DataFrame:
     """Per pair: bleu, rouge1, rouge2, rougeL (plus the LCS length).
@@ -208,38 +253,14 @@ def text_scores(pairs: DataFrame, key: list[str] | None = None, pred: str = "pre
     # (an explicit count, so AQE keeps it; the key is unique per pair, so there is no skew).
     n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     spread = pairs.select(*key, F.col(pred).alias("pred"), F.col(ref).alias("ref")).repartition(n, *key)
+    if impl == "arrow":
+        out = with_text_scores(spread, F.col("pred"), F.col("ref"))
+        return out.select(*key, "bleu", "rouge1", "rouge2", "rougeL", "lcs")
     base = tokenize_pairs(spread.select(*key, py_strip(F.col("pred")).alias("pred"), py_strip(F.col("ref")).alias("ref")))
     j = overlap_features(base, key, impl)
-
-    lp, lr = F.size("pred_bt"), F.size("ref_bt")
-    bp = F.when(lp > lr, F.lit(1.0)).when(lp == 0, F.lit(0.0)).otherwise(F.exp(F.lit(1.0) - lr / lp))
-    logsum = sum(
-        (F.log(F.col(f"b{n}_clip") / F.greatest(_total(F.col("pred_bt"), n), F.lit(1))) for n in range(1, BLEU_ORDER + 1)),
-        F.lit(0.0),
-    )
-    any_zero = sum(
-        (F.when(F.col(f"b{n}_clip") == 0, 1).otherwise(0) for n in range(1, BLEU_ORDER + 1)), F.lit(0)
-    ) > 0
-    bleu = F.when(any_zero, F.lit(0.0)).otherwise(bp * F.exp(logsum / BLEU_ORDER))
-
-    def rouge_n(n):
-        clip = F.col(f"r{n}_clip")
-        p = clip / F.greatest(_total(F.col("pred_rt"), n), F.lit(1))
-        r = clip / F.greatest(_total(F.col("ref_rt"), n), F.lit(1))
-        return f_measure(p, r)
-
-    lp_r, lr_r = F.size("pred_rt"), F.size("ref_rt")
-    rl = F.when((lp_r == 0) | (lr_r == 0), F.lit(0.0)).otherwise(
-        f_measure(safe_div(F.col("lcs"), lp_r), safe_div(F.col("lcs"), lr_r))
-    )
-    return j.select(
-        *key,
-        bleu.alias("bleu"),
-        rouge_n(1).alias("rouge1"),
-        rouge_n(2).alias("rouge2"),
-        rl.alias("rougeL"),
-        F.col("lcs").cast("bigint").alias("lcs"),
-    )
+    tok = {n: F.col(n) for n in ("pred_bt", "ref_bt", "pred_rt", "ref_rt")}
+    scores = _score_columns(tok, {c: F.col(c) for c in _FEATURES})
+    return j.select(*key, *[c.alias(n) for n, c in scores.items()])
 
 
 def text_summary(scores: DataFrame, by: list[str] | None = None) -> DataFrame:

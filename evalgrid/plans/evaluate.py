@@ -11,57 +11,85 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..catalog import task_catalog, with_task_type
+from ..functions.metrics import precision_recall_f1, safe_div
 from ..functions.text import py_strip
-from ..operators.extract import extract_text, extract_tuples, normalize_bool_gold, parse_tuples
+from ..operators.extract import extract_text, with_parsed_tuples
 from ..operators.pairing import pair, token_count
-from ..operators.score_exact import accuracy, match_flag
-from ..operators.score_text import text_scores, text_summary
-from ..operators.score_tuples import triple_f1, tuple_f1
+from ..operators.score_exact import match_flag
+from ..operators.score_text import with_text_scores
+from ..operators.score_tuples import positional_counts, set_counts
 
 CELL = ["model", "split", "shot"]
 
 
+OPEN_TUPLE_TYPES = ("open_triple", "open_tuple")
+METRICS = ["accuracy", "precision", "recall", "f1", "bleu", "rouge1", "rouge2", "rougeL"]
+
+
 def extract(spark: SparkSession, items: DataFrame, responses: DataFrame, mode: str = "reference") -> DataFrame:
     """J1 + P4 + E1-E9 + M1 + P8: one row per paired response with typed prediction and gold."""
     paired = with_task_type(pair(items, responses), task_catalog(spark))
     tt = F.col("task_type")
-    raw = py_strip(F.coalesce(F.col("text"), F.lit("")))
-    pred_text = extract_text(raw, tt, mode)
-    pred_tuples = extract_tuples(raw, tt, mode)
-    ref_parsed = parse_tuples(F.col("answer"), mode)
-    ref_tuples = F.when(tt == "open_triple", F.filter(ref_parsed, lambda t: F.size(t) == 3)).when(tt == "open_tuple", ref_parsed)
-    gold = F.when(tt == "bool", normalize_bool_gold(F.col("answer"), mode)).otherwise(py_strip(F.col("answer")))
-    out = paired.select(
-        *CELL, "identifier", "ord", "task_type", "question", "options", "answer",
-        raw.alias("response"),
-        pred_text.alias("pred_text"),
-        pred_tuples.alias("pred_tuples"),
-        ref_tuples.alias("ref_tuples"),
-        gold.alias("gold"),
+    is_open = tt.isin(*OPEN_TUPLE_TYPES)
+    df = paired.withColumn("response", py_strip(F.coalesce(F.col("text"), F.lit(""))))
+    # tuple parsers only see open-task rows (null elsewhere), so the E4 UDF skips closed/text rows
+    df = with_parsed_tuples(df, F.col("response"), "_pred_parsed", active=is_open, mode=mode)
+    df = with_parsed_tuples(df, F.col("answer"), "_ref_parsed", active=is_open, mode=mode)
+    triples = lambda c: F.filter(c, lambda t: F.size(t) == 3)  # noqa: E731  (E7)
+    out = df.select(
+        *CELL, "identifier", "ord", "task_type", "question", "options", "answer", "response",
+        extract_text(F.col("response"), tt, mode).alias("pred_text"),
+        F.when(tt == "open_triple", triples(F.col("_pred_parsed"))).when(tt == "open_tuple", F.col("_pred_parsed")).alias("pred_tuples"),
+        F.when(tt == "open_triple", triples(F.col("_ref_parsed"))).when(tt == "open_tuple", F.col("_ref_parsed")).alias("ref_tuples"),
         F.col("cumulative_logprob").alias("log_probability"),
         token_count().alias("token_count"),
     )
     return out.withColumn("match", match_flag(F.col("pred_text"), F.col("answer"), tt, mode))
 
 
+def score_rows(extracted: DataFrame) -> DataFrame:
+    """Per-row score parts for every task family, so that one aggregate produces the summary."""
+    tt = F.col("task_type")
+    p, r = F.col("pred_tuples"), F.col("ref_tuples")
+    s_tp, s_fp, s_fn = set_counts(p, r)
+    o_tp, o_fp, o_fn = positional_counts(p, r)
+    tri, tup = tt == "open_triple", tt == "open_tuple"
+    counted = extracted.select(
+        "*",
+        F.when(tri, o_tp).when(tup, s_tp).alias("tp"),
+        F.when(tri, o_fp).when(tup, s_fp).alias("fp"),
+        F.when(tri, o_fn).when(tup, s_fn).alias("fn"),
+    )
+    return with_text_scores(counted, F.col("pred_text"), F.col("answer"), active=(tt == "open_text"))
+
+
 def summarize(spark: SparkSession, extracted: DataFrame, items: DataFrame, dataset: str = "local",
               prompt_root: str = "./prompt") -> DataFrame:
-    """The wide summary row per cell; metric columns are null unless they apply to the task type."""
-    closed = extracted.where(F.col("task_type").isin("mc", "bool"))
-    acc = accuracy(closed, items).select(*CELL, "accuracy")
-    tup = tuple_f1(extracted.where(F.col("task_type") == "open_tuple")).select(*CELL, "precision", "recall", "f1")
-    tri = triple_f1(extracted.where(F.col("task_type") == "open_triple")).select(*CELL, "precision", "recall", "f1")
-    txt_pairs = extracted.where(F.col("task_type") == "open_text").select(
-        *CELL, "identifier", F.col("pred_text").alias("pred"), py_strip(F.col("answer")).alias("ref")
-    )
-    txt = text_summary(text_scores(txt_pairs)).select(*CELL, "bleu", "rouge1", "rouge2", "rougeL")
-    wide = acc.unionByName(tup, allowMissingColumns=True).unionByName(tri, allowMissingColumns=True).unionByName(
-        txt, allowMissingColumns=True
+    """One wide summary row per cell; metric columns are null unless they apply to the task type.
+
+    One partial+final aggregate over the scored rows (BIGINT sums and means), joined to the
+    per-split item counts (a tiny aggregate) for accuracy's denominator.
+    """
+    scored = score_rows(extracted)
+    agg = scored.groupBy(*CELL).agg(
+        F.first("task_type").alias("task_type"),
+        F.sum(F.col("match").cast("bigint")).alias("correct"),
+        F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum("fn").alias("fn"),
+        *[F.avg(c).alias(c) for c in ("bleu", "rouge1", "rouge2", "rougeL")],
     )
-    wide = with_task_type(wide, task_catalog(spark)).drop("is_unknown_split")
-    return wide.select(
+    n_items = items.groupBy("split").agg(F.count(F.lit(1)).alias("n_items"))
+    j = agg.join(n_items, "split", "left")
+    tt = F.col("task_type")
+    closed, tuples, text = tt.isin("mc", "bool"), tt.isin(*OPEN_TUPLE_TYPES), tt == "open_text"
+    prec, rec, f1 = precision_recall_f1(F.col("tp"), F.col("fp"), F.col("fn"))
+    metric = {
+        "accuracy": F.when(closed, safe_div(F.col("correct"), F.coalesce(F.col("n_items"), F.lit(0)))),
+        "precision": F.when(tuples, prec), "recall": F.when(tuples, rec), "f1": F.when(tuples, f1),
+        **{c: F.when(text, F.coalesce(F.col(c), F.lit(0.0))) for c in ("bleu", "rouge1", "rouge2", "rougeL")},
+    }
+    return j.select(
         F.lit(dataset).alias("dataset"), "split", "model",
         F.concat(F.lit(prompt_root + "/bench_"), F.col("split"), F.lit("/"), F.col("shot"), F.lit(".txt")).alias("prompt_path"),
         "shot", "task_type",
-        *[F.col(c).cast("double").alias(c) for c in ("accuracy", "precision", "recall", "f1", "bleu", "rouge1", "rouge2", "rougeL")],
+        *[metric[c].cast("double").alias(c) for c in METRICS],
     )
