@@ -41,13 +41,12 @@ def get_spark(master: str | None = None, app: str = "evalgrid", shuffle_partitio
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the session's checkpoint folder, setting a local one only if none is configured."""
     sc = spark.sparkContext
-    current = sc.getCheckpointDir() if hasattr(sc, "getCheckpointDir") else None
-    if not current:
-        current = sc.getConf().get(_CKPT_KEY, None)
-    if not current:
-        current = tempfile.mkdtemp(prefix="evalgrid-ckpt-")
-    sc.setCheckpointDir(current)
-    return sc.getCheckpointDir() or current
+    current = sc.getCheckpointDir()  # set from spark.checkpoint.dir at start-up, or earlier here
+    if current:
+        return current
+    configured = sc.getConf().get(_CKPT_KEY, None)
+    sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="evalgrid-ckpt-"))
+    return sc.getCheckpointDir()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
