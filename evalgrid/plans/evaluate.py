@@ -7,14 +7,14 @@ boundary of the literal-tuple parser and of the LCS UDF.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..catalog import task_catalog, with_task_type
 from ..functions.metrics import precision_recall_f1, safe_div
 from ..functions.text import py_strip
 from ..operators.extract import extract_text, with_parsed_tuples
-from ..operators.pairing import pair, token_count
+from ..operators.pairing import resolve_identifier, token_count
 from ..operators.score_exact import match_flag
 from ..operators.score_text import with_text_scores
 from ..operators.score_tuples import positional_counts, set_counts
@@ -26,24 +26,35 @@ OPEN_TUPLE_TYPES = ("open_triple", "open_tuple")
 METRICS = ["accuracy", "precision", "recall", "f1", "bleu", "rouge1", "rouge2", "rougeL"]
 
 
+def _by_type(parsed: Column, tt: Column) -> Column:
+    """E7 by task type: triples keep 3-part tuples, tuples keep all; null for other types."""
+    return _let(F.struct(parsed.alias("v"), tt.alias("t")), lambda x: F.when(
+        x["t"] == "open_triple", F.filter(x["v"], lambda t: F.size(t) == 3)).when(x["t"] == "open_tuple", x["v"]))
+
+
+def prepare_items(spark: SparkSession, items: DataFrame, mode: str = "reference") -> DataFrame:
+    """P5 + P4 + E9 on the item side: resolve identifiers, attach the task type, parse gold tuples.
+
+    Done once per item *before* J1, not once per (model, shot) response after it.
+    """
+    it = with_task_type(resolve_identifier(items).drop("id"), task_catalog(spark))
+    tt = F.col("task_type")
+    it = with_parsed_tuples(it, F.col("answer"), "_ref_parsed", active=tt.isin(*OPEN_TUPLE_TYPES), mode=mode)
+    return it.withColumn("ref_tuples", _by_type(F.col("_ref_parsed"), tt)).drop("_ref_parsed")
+
+
 def extract(spark: SparkSession, items: DataFrame, responses: DataFrame, mode: str = "reference") -> DataFrame:
-    """J1 + P4 + E1-E9 + M1 + P8: one row per paired response with typed prediction and gold."""
-    paired = with_task_type(pair(items, responses), task_catalog(spark))
+    """J1 + E1-E9 + M1 + P8: one row per paired response with typed prediction and gold."""
+    paired = responses.join(prepare_items(spark, items, mode), ["split", "identifier"], "inner")
     tt = F.col("task_type")
-    is_open = tt.isin(*OPEN_TUPLE_TYPES)
     df = paired.withColumn("response", py_strip(F.coalesce(F.col("text"), F.lit(""))))
-    # tuple parsers only see open-task rows (null elsewhere), so the E4 UDF skips closed/text rows
-    df = with_parsed_tuples(df, F.col("response"), "_pred_parsed", active=is_open, mode=mode)
-    df = with_parsed_tuples(df, F.col("answer"), "_ref_parsed", active=is_open, mode=mode)
-    def by_type(parsed):  # E7: triples keep 3-part tuples, tuples keep all; null for other types
-        return _let(F.struct(parsed.alias("v"), tt.alias("t")), lambda x: F.when(
-            x["t"] == "open_triple", F.filter(x["v"], lambda t: F.size(t) == 3)).when(x["t"] == "open_tuple", x["v"]))
-
+    # the tuple parser only sees open-task rows (null elsewhere), so the E4 UDF skips closed/text rows
+    df = with_parsed_tuples(df, F.col("response"), "_pred_parsed", active=tt.isin(*OPEN_TUPLE_TYPES), mode=mode)
     out = df.select(
         *CELL, "identifier", "ord", "task_type", "question", "options", "answer", "response",
         extract_text(F.col("response"), tt, mode).alias("pred_text"),
-        by_type(F.col("_pred_parsed")).alias("pred_tuples"),
-        by_type(F.col("_ref_parsed")).alias("ref_tuples"),
+        _by_type(F.col("_pred_parsed"), tt).alias("pred_tuples"),
+        "ref_tuples",
         F.col("cumulative_logprob").alias("log_probability"),
         token_count().alias("token_count"),
     )

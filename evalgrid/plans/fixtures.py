@@ -247,11 +247,15 @@ def _bleu_pat() -> str:
 
 def text_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prediction = the whole lower-cased token list minus 1-based positions i with
-    (i + m + doc_id) % (4 + m) = 0, joined by spaces.  Three models, zero-shot."""
-    d = text_items(spark, sf_dir).select(F.col("ord").alias("doc_id"), F.col("answer").alias("text"))
+    (i + m + doc_id) % (4 + m) = 0, joined by spaces.  Three models, zero-shot.
+
+    Documents are spread over the shuffle partitions before tokenising (a small text table can
+    be a single scan split) and tokenised once, not once per model.
+    """
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    d = table(spark, sf_dir, "documents").select("doc_id", "text").repartition(n, "doc_id")
+    d = d.select("doc_id", F.regexp_extract_all(F.lower("text"), F.lit(_bleu_pat()), 0).alias("toks"))
     g = _models_shots(d, shots=False)
-    toks = F.regexp_extract_all(F.lower("text"), F.lit(_bleu_pat()), 0)
-    g = g.withColumn("toks", toks)
     return g.selectExpr(
         "model", "'3_1' AS split", "shot",
         "concat('doc-', doc_id) AS identifier",
