@@ -698,3 +698,20 @@ def s7_summary(spark, sf):
     cols = ["dataset", "split", "model", "prompt_path", "task_type", *_METRICS]
     out = back.groupBy(*cols).agg(F.count(F.lit(1)).alias("n_appends"))
     return out
+
+
+# =============================================================== streaming S7
+
+@register("s7_summary_stream", f"""
+SELECT dataset, split, model, prompt_path, task_type, {", ".join(_fmt4_sql(m) + " AS " + m for m in _METRICS)}, CAST(1 AS BIGINT) AS n_appends
+FROM (SELECT dataset, split, model, prompt_path, task_type, {", ".join(m for m in _METRICS)} FROM {_summary_sql()})""")
+def s7_summary_stream(spark, sf):
+    """Responses land as one parquet drop; the stream scores them and appends the summary once."""
+    from ..session import scratch_path
+    from ..sources.sinks import read_summary
+    from ..streaming.incremental import score_stream
+    drop, out, ckpt = (scratch_path(spark, n) for n in ("stream_in", "stream_summary", "stream_ckpt"))
+    fx.all_responses(spark, sf).write.parquet(drop)
+    score_stream(spark, fx.all_items(spark, sf), drop, out, ckpt)
+    cols = ["dataset", "split", "model", "prompt_path", "task_type", *_METRICS]
+    return read_summary(spark, out).groupBy(*cols).agg(F.count(F.lit(1)).alias("n_appends"))
