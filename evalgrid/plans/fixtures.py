@@ -21,12 +21,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def _spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash-spread a base table over the shuffle partitions before a fan-out.
+
+    The test tables are single small files (one or two scan splits); without this, the whole
+    models x shots fan-out and its per-row parsing run in the scan's one or two tasks.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, key)
+
+
 def _models_shots(df: DataFrame, models: int = N_MODELS, shots: bool = True) -> DataFrame:
+    key = df.columns[0]
     out = df.withColumn("m", F.explode(F.sequence(F.lit(0), F.lit(models - 1))))
     if shots:
         out = out.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(len(GRID_SHOTS) - 1))))
     else:
         out = out.withColumn("s", F.lit(0))
+    # spread after the fan-out: the exchange then also reports the true (fanned-out) size to AQE
+    out = _spread(out, key)
     return out.withColumn("model", F.expr("concat('org/model-', m)")).withColumn(
         "shot", F.expr(f"element_at({SHOTS_SQL}, s + 1)")
     )
@@ -44,7 +57,7 @@ _MC_RESOLVED = f"coalesce({_MC_IDENT}, {_MC_ID}, concat('example_', p_partkey))"
 
 def mc_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """fx_mc items: one four-option question per part."""
-    p = table(spark, sf_dir, "part")
+    p = _spread(table(spark, sf_dir, "part"), "p_partkey")
     return p.selectExpr(
         "concat('1_', p_partkey % 5 + 1) AS split",
         "CAST(p_partkey AS BIGINT) AS ord",
@@ -93,7 +106,7 @@ def mc_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ------------------------------------------------------------------ bool (orders)
 
 def bool_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders")
+    o = _spread(table(spark, sf_dir, "orders"), "o_orderkey")
     return o.selectExpr(
         "'2_5' AS split",
         "CAST(o_orderkey AS BIGINT) AS ord",
