@@ -32,24 +32,26 @@ def _by_type(parsed: Column, tt: Column) -> Column:
         x["t"] == "open_triple", F.filter(x["v"], lambda t: F.size(t) == 3)).when(x["t"] == "open_tuple", x["v"]))
 
 
-def prepare_items(spark: SparkSession, items: DataFrame, mode: str = "reference") -> DataFrame:
+def prepare_items(spark: SparkSession, items: DataFrame, mode: str = "reference", tuple_impl: str = "arrow") -> DataFrame:
     """P5 + P4 + E9 on the item side: resolve identifiers, attach the task type, parse gold tuples.
 
     Done once per item *before* J1, not once per (model, shot) response after it.
     """
     it = with_task_type(resolve_identifier(items).drop("id"), task_catalog(spark))
     tt = F.col("task_type")
-    it = with_parsed_tuples(it, F.col("answer"), "_ref_parsed", active=tt.isin(*OPEN_TUPLE_TYPES), mode=mode)
+    it = with_parsed_tuples(it, F.col("answer"), "_ref_parsed", active=tt.isin(*OPEN_TUPLE_TYPES), mode=mode, impl=tuple_impl)
     return it.withColumn("ref_tuples", _by_type(F.col("_ref_parsed"), tt)).drop("_ref_parsed")
 
 
-def extract(spark: SparkSession, items: DataFrame, responses: DataFrame, mode: str = "reference") -> DataFrame:
+def extract(spark: SparkSession, items: DataFrame, responses: DataFrame, mode: str = "reference",
+            tuple_impl: str = "arrow") -> DataFrame:
     """J1 + E1-E9 + M1 + P8: one row per paired response with typed prediction and gold."""
-    paired = responses.join(prepare_items(spark, items, mode), ["split", "identifier"], "inner")
+    paired = responses.join(prepare_items(spark, items, mode, tuple_impl), ["split", "identifier"], "inner")
     tt = F.col("task_type")
     df = paired.withColumn("response", py_strip(F.coalesce(F.col("text"), F.lit(""))))
     # the tuple parser only sees open-task rows (null elsewhere), so the E4 UDF skips closed/text rows
-    df = with_parsed_tuples(df, F.col("response"), "_pred_parsed", active=tt.isin(*OPEN_TUPLE_TYPES), mode=mode)
+    df = with_parsed_tuples(df, F.col("response"), "_pred_parsed", active=tt.isin(*OPEN_TUPLE_TYPES), mode=mode,
+                            impl=tuple_impl)
     out = df.select(
         *CELL, "identifier", "ord", "task_type", "question", "options", "answer", "response",
         extract_text(F.col("response"), tt, mode).alias("pred_text"),

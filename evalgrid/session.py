@@ -28,10 +28,15 @@ def get_spark(master: str | None = None, app: str = "evalgrid", shuffle_partitio
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # broadcast only on *measured* sizes: static estimates ignore explode fan-outs, so the
+        # planner could pick a fact table; AQE converts to a broadcast join from shuffle statistics
+        .config("spark.sql.autoBroadcastJoinThreshold", "-1")
+        .config("spark.sql.adaptive.autoBroadcastJoinThreshold", "32MB")
         # rows here are small but CPU-heavy (regex parsing, Arrow UDFs): do not let AQE coalesce
         # post-shuffle stages below ~64 KB per partition, or they run on a couple of cores
         .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
-        .config("spark.sql.shuffle.partitions", str(shuffle_partitions or int(cpus) * 2))
+        .config("spark.sql.shuffle.partitions", str(shuffle_partitions or int(cpus) * 4))
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionNum", str(int(cpus) * 2))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("EVALGRID_DRIVER_MEMORY", "16g"))
     )
