@@ -72,7 +72,7 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def score_rows(extracted: DataFrame) -> DataFrame:
+def score_rows(extracted: DataFrame, stem: bool = False) -> DataFrame:
     """Per-row score parts for every task family, so that one aggregate produces the summary."""
     tt = F.col("task_type")
 
@@ -90,17 +90,17 @@ def score_rows(extracted: DataFrame) -> DataFrame:
     c = _let(F.struct(F.col("pred_tuples").alias("p"), F.col("ref_tuples").alias("r"), tt.alias("t")), counts)
     counted = extracted.withColumn("_c", F.when(tt.isin(*OPEN_TUPLE_TYPES), c))
     counted = counted.select("*", *[F.col("_c." + k).alias(k) for k in ("tp", "fp", "fn")]).drop("_c")
-    return with_text_scores(counted, F.col("pred_text"), F.col("answer"), active=(tt == "open_text"))
+    return with_text_scores(counted, F.col("pred_text"), F.col("answer"), active=(tt == "open_text"), stem=stem)
 
 
 def summarize(spark: SparkSession, extracted: DataFrame, items: DataFrame, dataset: str = "local",
-              prompt_root: str = "./prompt") -> DataFrame:
+              prompt_root: str = "./prompt", stem: bool = False) -> DataFrame:
     """One wide summary row per cell; metric columns are null unless they apply to the task type.
 
     One partial+final aggregate over the scored rows (BIGINT sums and means), joined to the
     per-split item counts (a tiny aggregate) for accuracy's denominator.
     """
-    scored = score_rows(extracted)
+    scored = score_rows(extracted, stem=stem)
     # task_type depends on split only: grouping by it keeps the aggregate buffer fixed-width (hash aggregate)
     agg = scored.groupBy(*CELL, "task_type").agg(
         F.sum(F.col("match").cast("bigint")).alias("correct"),

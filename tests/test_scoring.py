@@ -120,3 +120,17 @@ def test_text_summary_empty_cell_is_zero(spark):
     _, df = _pairs(spark, n=3)
     s = stx.text_summary(stx.text_scores(df)).first()
     assert s.n_pairs == 4 and 0.0 <= s.rougeL <= 1.0
+
+
+def test_porter_examples_and_stemmed_rouge(spark):
+    from evalgrid.functions.stem import porter_stem, rouge_stem_tokens
+    for w, e in {"caresses": "caress", "ponies": "poni", "relational": "relat", "hopping": "hop",
+                 "generalizations": "gener", "filing": "file", "sky": "sky"}.items():
+        assert porter_stem(w) == e
+    assert rouge_stem_tokens(["runs", "running", "cats", "ran", "is"]) == ["run", "run", "cat", "ran", "is"]
+    df = spark.createDataFrame([("m", "3_1", "zero_shot", "x", "the cat keeps running", "the cats keep runs")],
+                               "model string, split string, shot string, identifier string, pred string, ref string")
+    plain = stx.text_scores(df).first()
+    stemmed = stx.text_scores(df, stem=True).first()
+    assert stemmed.rouge1 > plain.rouge1 and stemmed.rougeL >= plain.rougeL
+    assert stemmed.bleu == plain.bleu  # BLEU never stems
