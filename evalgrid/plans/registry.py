@@ -324,30 +324,34 @@ _ROUGE_PAT = "'[a-z0-9]+'"
 _KEY = "model, split, shot, identifier"
 
 
-def _overlap_sql(pairs: str) -> str:
-    """CTE chain: tok (both tokenisations) and cl (clipped overlap per pair, family, n)."""
+def _overlap_sql(pairs: str, families=(("b", 4), ("r", 2))) -> str:
+    """CTE chain: tok (both tokenisations) and sc (clipped overlap per pair for the requested
+    families; counts of families not requested are 0)."""
     def grams(fam, side, toks, n_max):
         return f"""SELECT {_KEY}, '{fam}' AS fam, n, array_to_string({toks}[i:i + n - 1], ' ') AS g,
         {1 if side == 'p' else 0} AS cp, {1 if side == 'r' else 0} AS cr
       FROM (SELECT {_KEY}, {toks}, n, unnest(range(1, len({toks}) - n + 2)) AS i FROM tok, range(1, {n_max + 1}) AS nn(n))"""
+    src = {"b": ("pb", "rb"), "r": ("pr", "rr")}
+    parts = []
+    for fam, n_max in families:
+        lo = 1 if fam == "b" or n_max == 2 else n_max
+        p_t, r_t = src[fam]
+        for side, toks in (("p", p_t), ("r", r_t)):
+            g = grams(fam, side, toks, n_max)
+            parts.append(g if lo == 1 else g.replace(f"range(1, {n_max + 1}) AS nn(n)", f"range({lo}, {n_max + 1}) AS nn(n)"))
+    sel = []
+    for fam, top in (("b", 4), ("r", 2)):
+        for n in range(1, top + 1):
+            sel.append(f"coalesce(sum(least(cp, cr)) FILTER (WHERE fam = '{fam}' AND n = {n}), 0) AS {fam}{n}")
+    outs = ", ".join(f"coalesce({c}, 0) AS {c}" for c in ("b1", "b2", "b3", "b4", "r1", "r2"))
     return f"""tok AS (
   SELECT {_KEY}, regexp_extract_all(lower(pred), {ofx.BLEU_PAT}) AS pb, regexp_extract_all(lower(ref), {ofx.BLEU_PAT}) AS rb,
     regexp_extract_all(lower(pred), {_ROUGE_PAT}) AS pr, regexp_extract_all(lower(ref), {_ROUGE_PAT}) AS rr
   FROM (SELECT {_KEY}, {q.strip('pred')} AS pred, {q.strip('ref')} AS ref FROM {pairs})),
-gr AS ({grams('b', 'p', 'pb', 4)} UNION ALL {grams('b', 'r', 'rb', 4)}
-  UNION ALL {grams('r', 'p', 'pr', 2)} UNION ALL {grams('r', 'r', 'rr', 2)}),
+gr AS ({" UNION ALL ".join(parts)}),
 pg AS (SELECT {_KEY}, fam, n, g, sum(cp) AS cp, sum(cr) AS cr FROM gr GROUP BY ALL),
-cl AS (SELECT {_KEY},
-  coalesce(sum(least(cp, cr)) FILTER (WHERE fam = 'b' AND n = 1), 0) AS b1,
-  coalesce(sum(least(cp, cr)) FILTER (WHERE fam = 'b' AND n = 2), 0) AS b2,
-  coalesce(sum(least(cp, cr)) FILTER (WHERE fam = 'b' AND n = 3), 0) AS b3,
-  coalesce(sum(least(cp, cr)) FILTER (WHERE fam = 'b' AND n = 4), 0) AS b4,
-  coalesce(sum(least(cp, cr)) FILTER (WHERE fam = 'r' AND n = 1), 0) AS r1,
-  coalesce(sum(least(cp, cr)) FILTER (WHERE fam = 'r' AND n = 2), 0) AS r2
-  FROM pg GROUP BY ALL),
-sc AS (SELECT t.*, coalesce(b1, 0) AS b1, coalesce(b2, 0) AS b2, coalesce(b3, 0) AS b3, coalesce(b4, 0) AS b4,
-    coalesce(r1, 0) AS r1, coalesce(r2, 0) AS r2
-  FROM tok t LEFT JOIN cl USING (model, split, shot, identifier))"""
+cl AS (SELECT {_KEY}, {", ".join(sel)} FROM pg GROUP BY ALL),
+sc AS (SELECT t.*, {outs} FROM tok t LEFT JOIN cl USING (model, split, shot, identifier))"""
 
 
 _BLEU_SQL = """CASE WHEN b1 = 0 OR b2 = 0 OR b3 = 0 OR b4 = 0 THEN 0.0 ELSE
@@ -379,17 +383,17 @@ def _scores(spark, sf, pairs_fn=_doc_pairs, impl="arrow"):
     return text_scores(pairs_fn(spark, sf), impl=impl)
 
 
-@register("m5_bleu", f"WITH {_overlap_sql(_DOC_PAIRS_SQL)} SELECT {_KEY}, round({_BLEU_SQL}, 6) AS bleu FROM sc")
+@register("m5_bleu", f"WITH {_overlap_sql(_DOC_PAIRS_SQL, (('b', 4),))} SELECT {_KEY}, round({_BLEU_SQL}, 6) AS bleu FROM sc")
 def m5_bleu(spark, sf):
     return _scores(spark, sf).select("model", "split", "shot", "identifier", r6(F.col("bleu")).alias("bleu"))
 
 
-@register("m6_rouge1", f"WITH {_overlap_sql(_DOC_PAIRS_SQL)} SELECT {_KEY}, round({_rouge_n_sql(1)}, 6) AS rouge1 FROM sc")
+@register("m6_rouge1", f"WITH {_overlap_sql(_DOC_PAIRS_SQL, (('r', 1),))} SELECT {_KEY}, round({_rouge_n_sql(1)}, 6) AS rouge1 FROM sc")
 def m6_rouge1(spark, sf):
     return _scores(spark, sf).select("model", "split", "shot", "identifier", r6(F.col("rouge1")).alias("rouge1"))
 
 
-@register("m7_rouge2", f"WITH {_overlap_sql(_DOC_PAIRS_SQL)} SELECT {_KEY}, round({_rouge_n_sql(2)}, 6) AS rouge2 FROM sc")
+@register("m7_rouge2", f"WITH {_overlap_sql(_DOC_PAIRS_SQL, (('r', 2),))} SELECT {_KEY}, round({_rouge_n_sql(2)}, 6) AS rouge2 FROM sc")
 def m7_rouge2(spark, sf):
     return _scores(spark, sf).select("model", "split", "shot", "identifier", r6(F.col("rouge2")).alias("rouge2"))
 
@@ -715,3 +719,10 @@ def s7_summary_stream(spark, sf):
     score_stream(spark, fx.all_items(spark, sf), drop, out, ckpt)
     cols = ["dataset", "split", "model", "prompt_path", "task_type", *_METRICS]
     return read_summary(spark, out).groupBy(*cols).agg(F.count(F.lit(1)).alias("n_appends"))
+
+
+@register("m9_text_summary_stem")  # stemmed ROUGE: no SQL stemmer; unit-tested on the paper's examples
+def m9_text_summary_stem(spark, sf):
+    from ..operators.score_text import text_scores, text_summary
+    s = text_summary(text_scores(_conv_pairs(spark, sf), stem=True))
+    return s.select("model", "split", "shot", *[r6(F.col(c)).alias(c) for c in ("bleu", "rouge1", "rouge2", "rougeL")], "n_pairs")
