@@ -19,9 +19,15 @@ SHOT_LABEL_PATTERN = r"(?i)(zero|one|two|three|four)_shot"
 # ---- end fixed values ----
 
 
+# the same set as characters, for btrim (code-generated, touches only the two ends)
+WS_CHARS = "".join(chr(x) for x in [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680,
+                                     *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
+
+
 def py_strip(c: Column) -> Column:
-    """Python ``str.strip()`` -- Spark's ``trim`` only removes spaces."""
-    return F.regexp_replace(c, STRIP_PATTERN, "")
+    """Python ``str.strip()`` -- plain ``trim`` only removes spaces; ``btrim`` with Python's
+    whitespace set is exact and, unlike a regex, only looks at the two ends of the string."""
+    return F.btrim(c, F.lit(WS_CHARS))
 
 
 def is_blank(c: Column) -> Column:
