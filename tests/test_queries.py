@@ -52,3 +52,19 @@ def test_query_matches_oracle(spark, duck, small_sf, name):
     rel = duck.sql(ORACLE[name])
     assert sorted(df.columns) == sorted(rel.columns)
     assert _rows(df.columns, srows) == _rows(list(rel.columns), rel.fetchall())
+
+
+@pytest.mark.parametrize("name", ["m11_summary", "m2_accuracy", "m4_triple_f1", "m5_bleu", "j5_coverage",
+                                  "rp2_capability_rollup", "rp5_latest_run", "s8_run_grid", "p3_prompt"])
+def test_plan_has_no_cross_products(spark, small_sf, name):
+    """Scale guard: no cartesian product or nested-loop join anywhere in the plan."""
+    plan = QUERIES[name](spark, small_sf)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_summary_is_one_aggregate_over_scored_rows(spark, small_sf):
+    """M11 evaluates each Python step once: gold parsing on the item side, then one pass for
+    prediction parsing + text overlap after the join (no per-family re-computed branches)."""
+    plan = QUERIES["m11_summary"](spark, small_sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 2
+    assert plan.count("_overlap_udf(") == 1
