@@ -325,20 +325,21 @@ _KEY = "model, split, shot, identifier"
 
 
 def _overlap_sql(pairs: str, families=(("b", 4), ("r", 2))) -> str:
-    """CTE chain: tok (both tokenisations) and sc (clipped overlap per pair for the requested
-    families; counts of families not requested are 0)."""
-    def grams(fam, side, toks, n_max):
-        return f"""SELECT {_KEY}, '{fam}' AS fam, n, array_to_string({toks}[i:i + n - 1], ' ') AS g,
-        {1 if side == 'p' else 0} AS cp, {1 if side == 'r' else 0} AS cr
-      FROM (SELECT {_KEY}, {toks}, n, unnest(range(1, len({toks}) - n + 2)) AS i FROM tok, range(1, {n_max + 1}) AS nn(n))"""
-    src = {"b": ("pb", "rb"), "r": ("pr", "rr")}
-    parts = []
+    """CTE chain ending in ``sc``: both tokenisations of each pair plus clipped overlap counts
+    b1..b4 (BLEU tokens) and r1..r2 (ROUGE tokens); families not requested count 0.
+
+    n-grams are built from the unnested tokens with ``lead`` over (pair, side) ordered by position.
+    """
+    cols = {"b": ("pb", "rb"), "r": ("pr", "rr")}
+    units, grams = [], []
     for fam, n_max in families:
-        lo = 1 if fam == "b" or n_max == 2 else n_max
-        p_t, r_t = src[fam]
-        for side, toks in (("p", p_t), ("r", r_t)):
-            g = grams(fam, side, toks, n_max)
-            parts.append(g if lo == 1 else g.replace(f"range(1, {n_max + 1}) AS nn(n)", f"range({lo}, {n_max + 1}) AS nn(n)"))
+        p_t, r_t = cols[fam]
+        units.append(f"SELECT {_KEY}, '{fam}' AS fam, 'p' AS side, unnest({p_t}) AS t, generate_subscripts({p_t}, 1) AS pos FROM tok")
+        units.append(f"SELECT {_KEY}, '{fam}', 'r', unnest({r_t}), generate_subscripts({r_t}, 1) FROM tok")
+        for n in range(1, n_max + 1):
+            gram = " || ' ' || ".join(["t"] + [f"lead(t, {k}) OVER win" for k in range(1, n)])
+            grams.append(f"SELECT {_KEY}, fam, side, {n} AS n, {gram} AS g FROM u WHERE fam = '{fam}' "
+                         f"WINDOW win AS (PARTITION BY {_KEY}, fam, side ORDER BY pos)")
     sel = []
     for fam, top in (("b", 4), ("r", 2)):
         for n in range(1, top + 1):
@@ -348,8 +349,10 @@ def _overlap_sql(pairs: str, families=(("b", 4), ("r", 2))) -> str:
   SELECT {_KEY}, regexp_extract_all(lower(pred), {ofx.BLEU_PAT}) AS pb, regexp_extract_all(lower(ref), {ofx.BLEU_PAT}) AS rb,
     regexp_extract_all(lower(pred), {_ROUGE_PAT}) AS pr, regexp_extract_all(lower(ref), {_ROUGE_PAT}) AS rr
   FROM (SELECT {_KEY}, {q.strip('pred')} AS pred, {q.strip('ref')} AS ref FROM {pairs})),
-gr AS ({" UNION ALL ".join(parts)}),
-pg AS (SELECT {_KEY}, fam, n, g, sum(cp) AS cp, sum(cr) AS cr FROM gr GROUP BY ALL),
+u AS ({" UNION ALL ".join(units)}),
+gr AS ({" UNION ALL ".join(grams)}),
+pg AS (SELECT {_KEY}, fam, n, g, count(*) FILTER (WHERE side = 'p') AS cp, count(*) FILTER (WHERE side = 'r') AS cr
+       FROM gr WHERE g IS NOT NULL GROUP BY ALL),
 cl AS (SELECT {_KEY}, {", ".join(sel)} FROM pg GROUP BY ALL),
 sc AS (SELECT t.*, {outs} FROM tok t LEFT JOIN cl USING (model, split, shot, identifier))"""
 
