@@ -23,7 +23,10 @@ def read_items(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFram
 
 def write_items(items: DataFrame, path: str, fmt: str = "parquet") -> None:
     """Store items partitioned by split so that readers prune to the splits they ask for."""
-    items.write.mode("overwrite").partitionBy("split").format(fmt).save(path)
+    w = items.write.mode("overwrite").partitionBy("split").format(fmt)
+    if fmt == "csv":
+        w = w.option("header", True).option("escape", '"')
+    w.save(path)
 
 
 def select_split(items: DataFrame, key: str, mode: str = "reference") -> DataFrame:

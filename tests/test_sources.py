@@ -97,3 +97,11 @@ def test_run_grid_and_missing_cells(spark):
     last = latest_runs(runs).first()
     assert last.accuracy == 0.7 and last.n_runs == 2
     assert missing_cells(runs).count() == 15 * 3 - 1
+
+
+def test_items_csv_round_trip(spark, items):
+    path = scratch_path(spark, "t_items_csv")
+    si.write_items(items, path, fmt="csv")
+    back = si.read_items(spark, path, fmt="csv")
+    got = sorted((r.split, r.ord, r.options) for r in back.collect())
+    assert got == sorted((r[0], r[1], r[5]) for r in ITEMS)
