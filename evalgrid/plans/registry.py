@@ -729,3 +729,12 @@ def m9_text_summary_stem(spark, sf):
     from ..operators.score_text import text_scores, text_summary
     s = text_summary(text_scores(_conv_pairs(spark, sf), stem=True))
     return s.select("model", "split", "shot", *[r6(F.col(c)).alias(c) for c in ("bleu", "rouge1", "rouge2", "rougeL")], "n_pairs")
+
+
+@register("m11_summary_corrected")  # quirks fixed (SURVEY 2.11): no SQL twin of the corrected parsers
+def m11_summary_corrected(spark, sf):
+    """The whole-grid summary with ``mode="corrected"`` (cased booleans, letter choice, tuple spans)."""
+    from .evaluate import extract, summarize
+    items = fx.all_items(spark, sf)
+    s = summarize(spark, extract(spark, items, fx.all_responses(spark, sf), mode="corrected"), items)
+    return s.select(*[r6(F.col(c)).alias(c) if c in _METRICS else F.col(c) for c in s.columns])
