@@ -54,13 +54,17 @@ _SHIPPED: set[str] = set()
 def ship_package(spark: SparkSession) -> None:
     """Make ``evalgrid`` importable in the Python workers of every executor (once per context).
 
-    Arrow UDFs are pickled by reference to this package, so executors need it on their path:
-    the package is zipped on the driver and distributed with ``addPyFile``.
+    Arrow UDFs are pickled by reference to this package, so executors need it on their path.
+    On a cluster, submit it with ``--py-files`` (then nothing happens here); otherwise the
+    package is zipped on the driver and served to executors with ``addPyFile``.
     """
     sc = spark.sparkContext
     app = sc.applicationId
     if app in _SHIPPED:
         return
+    if "evalgrid" in (sc.getConf().get("spark.submit.pyFiles", "") or ""):
+        _SHIPPED.add(app)  # submitted with --py-files: executors already have it
+        return
     pkg = os.path.dirname(os.path.abspath(__file__))
     zpath = os.path.join(tempfile.mkdtemp(prefix="evalgrid-pkg-"), "evalgrid.zip")
     with zipfile.ZipFile(zpath, "w", zipfile.ZIP_DEFLATED) as z:
