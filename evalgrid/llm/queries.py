@@ -1,0 +1,53 @@
+"""The registered queries of the training-data operators: each applies one to its whole table."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from evalgrid.llm import mixing, packing, quality, toxicity
+from evalgrid.llm.common import id_fold, read_table
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, read_table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select(
+        "doc_id", (id_fold("doc_id", 5) == 0).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence", F.size("passages").alias("n_passages"))
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    refs = quality.fitted_references(docs)
+    return quality.judge(quality.base_counts(docs), refs).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+        "char_distance", "word_distance")
+
+
+# Target shares of tokens for op6 and the pipeline: label classes of `labels`.
+MIX_WEIGHTS = {"plain": 0.90, "low": 0.07, "toxic": 0.03}
+
+
+def label_domains(labels: DataFrame) -> DataFrame:
+    """doc_id, domain: ``toxic``, else ``low`` (quality 0), else ``plain``."""
+    return labels.select("doc_id", F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "low")
+                         .when(F.col("quality") == 1, "plain").alias("domain"))
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    mixed = mixing.mix(docs, label_domains(read_table(spark, sf_dir, "labels")), MIX_WEIGHTS)
+    return mixed.select("doc_id", "tokens", "posterior", "rate", "copies")
+
+
+def op8_packing(spark: SparkSession, sf_dir: str, tokenizer_path: str | None = None) -> DataFrame:
+    if tokenizer_path is None:
+        import public_tokenizers
+        tokenizer_path = public_tokenizers.path(packing.TOKENIZER)
+    pieces = packing.pack(read_table(spark, sf_dir, "documents"), tokenizer_path)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket")
+
+
+QUERIES = {f.__name__: f for f in (op3_toxicity, op5_quality, op6_mixing, op8_packing)}
+ORACLE: dict[str, str] = {}
