@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from evalgrid.llm.common import Memo, below, id_fold
 
@@ -218,7 +219,6 @@ def calibrate(model: ToxicityModel, rows: list[tuple[int, int, list[float], list
 
 def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """``docs`` with score double, evidence double, passages array<struct<first, last, score>> (token positions)."""
-    schema = docs.schema
     if {"score", "evidence", "passages"} & set(docs.columns):
         raise ValueError("docs already holds an output column")
     at = docs.columns.index("text")
@@ -237,5 +237,5 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
             cols = [pa.array(points, pa.float64()), pa.array(evidence, pa.float64()), pa.array(passages, kind)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *cols], names=[*batch.schema.names, "score", "evidence", "passages"])
 
-    out = schema.add("score", "double").add("evidence", "double").add("passages", "array<struct<first:int,last:int,score:double>>")
-    return docs.mapInArrow(run, out)
+    added = T.StructType.fromDDL("score double, evidence double, passages array<struct<first:int,last:int,score:double>>")
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *added.fields]))
