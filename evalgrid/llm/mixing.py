@@ -31,6 +31,7 @@ FEATURES = 8192
 TEMPERATURE = 12.0
 MAX_TRAIN = 20_000
 STEPS = 24
+SNAP = 0.1
 
 
 def _features(text: Column) -> Column:
@@ -113,23 +114,29 @@ def fit_rates(scored: DataFrame, targets: list[float], steps: int = STEPS, toler
 
 
 def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], total_tokens: float | None = None,
-        max_train: int = MAX_TRAIN) -> DataFrame:
+        keep: str | None = None, max_train: int = MAX_TRAIN) -> DataFrame:
     """``docs`` with tokens, posterior, rate double and copies int.
 
-    ``weights``: share of tokens wanted per domain; domains left out get 0.  ``total_tokens`` (default: as
-    many as there are).  ``copies`` rounds the rate up or down by a hash of (doc_id, text), so that it has
-    the rate as its mean and is the same in every run."""
+    ``weights``: share of tokens wanted per domain; domains left out get 0.  ``total_tokens``: wanted in all
+    (default: as many as there are, or with ``keep`` so many that this domain keeps its expected tokens).
+    ``copies``: the rate if it is within ``SNAP`` of a whole number, else rounded up or down by a hash of
+    (doc_id, text), with the rate as its mean and the same in every run."""
     classifier = cut(fit_classifier(docs, labelled, max_train), "mix-model")
     domains = classifier.select("domains").first()[0]
     if domains != ["all"] and set(weights) - set(domains):
         raise ValueError(f"no labelled rows of {sorted(set(weights) - set(domains))}")
     scored = cut(posteriors(docs, classifier), "mix-posteriors")
-    if total_tokens is None:
-        total_tokens = float(scored.agg(F.sum("tokens")).first()[0] or 0)
     share = [weights.get(d, 0.0) for d in domains] if domains != ["all"] else [1.0]
     if min(share) < 0 or not math.isfinite(sum(share)) or sum(share) <= 0:
         raise ValueError("weights must be nonnegative, finite and not all zero")
-    moves = fit_rates(scored, [s / sum(share) * total_tokens for s in share])
+    share = [s / sum(share) for s in share]
+    if total_tokens is None:
+        at = domains.index(keep) if keep in domains else None
+        weight = F.col("tokens") * (F.col("posterior")[at] if at is not None else 1.0)
+        total_tokens = float(scored.agg(F.sum(weight)).first()[0] or 0) / (share[at] if at is not None else 1.0)
+    moves = fit_rates(scored, [s * total_tokens for s in share])
     u = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) / float(1 << 20)
-    return scored.withColumn("rate", F.when(F.col("tokens") > 0, _rate(F.col("posterior"), moves)).otherwise(1.0)).withColumn(
-        "copies", (F.floor("rate") + (u < F.col("rate") - F.floor("rate")).cast("int")).cast("int"))
+    rate = F.when(F.col("tokens") > 0, _rate(F.col("posterior"), moves)).otherwise(1.0)
+    whole = F.abs(F.col("rate") - F.round("rate")) <= SNAP
+    return scored.withColumn("rate", rate).withColumn("copies", F.when(whole, F.round("rate")).otherwise(
+        F.floor("rate") + (u < F.col("rate") - F.floor("rate")).cast("int")).cast("int"))

@@ -5,10 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalgrid.llm import mixing, packing, quality, toxicity
+from evalgrid.llm import lines, mixing, nearcopies, packing, quality, toxicity
 from evalgrid.llm.common import id_fold, read_table
 
 
+def op2_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lines.dedup_lines(docs).select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("n_chars"),
+                                          F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+def op7_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearcopies.near_copies(read_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.fit(docs, read_table(spark, sf_dir, "labels"))
@@ -26,7 +36,7 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # Target shares of tokens for op6 and the pipeline: label classes of `labels`.
-MIX_WEIGHTS = {"plain": 0.90, "low": 0.07, "toxic": 0.03}
+MIX_WEIGHTS = {"plain": 0.92, "low": 0.08, "toxic": 0.0}
 
 
 def label_domains(labels: DataFrame) -> DataFrame:
@@ -41,13 +51,15 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "tokens", "posterior", "rate", "copies")
 
 
-def op8_packing(spark: SparkSession, sf_dir: str, tokenizer_path: str | None = None) -> DataFrame:
-    if tokenizer_path is None:
-        import public_tokenizers
-        tokenizer_path = public_tokenizers.path(packing.TOKENIZER)
-    pieces = packing.pack(read_table(spark, sf_dir, "documents"), tokenizer_path)
+def tokenizer_path() -> str:
+    import public_tokenizers
+    return public_tokenizers.path(packing.TOKENIZER)
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(read_table(spark, sf_dir, "documents"), tokenizer_path())
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket")
 
 
-QUERIES = {f.__name__: f for f in (op3_toxicity, op5_quality, op6_mixing, op8_packing)}
+QUERIES = {f.__name__: f for f in (op2_lines, op3_toxicity, op5_quality, op6_mixing, op7_near_copies, op8_packing)}
 ORACLE: dict[str, str] = {}
