@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalgrid.llm import lines, mixing, nearcopies, packing, quality, toxicity
+from evalgrid.llm import extract_html, lines, mixing, nearcopies, neighbours, packing, quality, toxicity
 from evalgrid.llm.common import id_fold, read_table
 
 
@@ -61,5 +61,13 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket")
 
 
-QUERIES = {f.__name__: f for f in (op2_lines, op3_toxicity, op5_quality, op6_mixing, op7_near_copies, op8_packing)}
+def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(read_table(spark, sf_dir, "embeddings"))
+
+
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_html.extract(read_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+QUERIES = {f.__name__: f for f in (op2_lines, op3_toxicity, op5_quality, op6_mixing, op7_near_copies, op8_packing, op9_neighbours, op10_html)}
 ORACLE: dict[str, str] = {}
