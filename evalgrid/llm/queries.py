@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalgrid.llm import extract_html, lines, mixing, nearcopies, neighbours, packing, quality, toxicity
+from evalgrid.llm import extract_html, language, lines, mixing, nearcopies, neighbours, packing, quality, toxicity
 from evalgrid.llm.common import id_fold, read_table
 
 
@@ -27,6 +27,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence", F.size("passages").alias("n_passages"))
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.score_documents(read_table(spark, sf_dir, "documents"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     refs = quality.fitted_references(docs)
@@ -69,5 +73,5 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_html.extract(read_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
 
-QUERIES = {f.__name__: f for f in (op2_lines, op3_toxicity, op5_quality, op6_mixing, op7_near_copies, op8_packing, op9_neighbours, op10_html)}
+QUERIES = {f.__name__: f for f in (op2_lines, op3_toxicity, op4_language, op5_quality, op6_mixing, op7_near_copies, op8_packing, op9_neighbours, op10_html)}
 ORACLE: dict[str, str] = {}
