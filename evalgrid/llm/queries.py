@@ -5,10 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalgrid.llm import extract_html, language, lines, mixing, nearcopies, neighbours, packing, quality, toxicity
+from evalgrid.llm import extract_html, language, lines, mixing, nearcopies, neighbours, packing, quality, suffix_dedup, toxicity
 from evalgrid.llm.common import id_fold, read_table
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.remove_repeats(read_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).cast("long").alias("n_removed"),
+                      F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op2_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return lines.dedup_lines(docs).select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("n_chars"),
@@ -73,5 +79,5 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_html.extract(read_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
 
-QUERIES = {f.__name__: f for f in (op2_lines, op3_toxicity, op4_language, op5_quality, op6_mixing, op7_near_copies, op8_packing, op9_neighbours, op10_html)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_lines, op3_toxicity, op4_language, op5_quality, op6_mixing, op7_near_copies, op8_packing, op9_neighbours, op10_html)}
 ORACLE: dict[str, str] = {}
