@@ -3,11 +3,10 @@
 Base counts: words ([^\\x20\\x09-\\x0D]+), code points in words, symbols, repeated lines, and words in
 8-word windows that occur twice in the text.  The method's verdict compares two histograms of a
 document with references of its language, learned from the whole table: the shares of character
-classes, and the shares of the language's most common words (by number of documents) with one bin
-for all other words.  Distance is the Jensen-Shannon distance; as short texts differ by chance, the
-allowed distance widens with 1/sqrt(n), and texts below a minimum length are judged by the base rule
-alone.  Languages beyond the ``MAX_LANGS`` most frequent, and null, share one reference of the whole
-table, so the references are at most ``MAX_LANGS + 1`` rows.
+classes, and the shares of common words of the language with one bin for all other words.  Distance is the Jensen-Shannon distance; as short texts differ by chance, the
+allowed distance widens with 1/sqrt(n), and texts below a minimum length fail the base rule.  Languages
+beyond the ``MAX_LANGS`` most frequent, and null, share one reference of the whole table, so the references
+are at most ``MAX_LANGS + 1`` rows; languages without a word list are judged by their characters alone.
 
 Windows are compared by 64-bit hash within one text.
 
@@ -19,7 +18,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from evalgrid.llm.common import cut
 
@@ -28,12 +26,17 @@ SPACE_CLASS = r"[\x20\x09-\x0D]"
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 MIN_WORDS = 20
-# Character classes of the histogram; every code point falls in exactly one.
-CLASSES = {"lower": r"[^\p{Ll}]", "upper": r"[^\p{Lu}]", "other_letter": r"[^\p{L}]|[\p{Ll}\p{Lu}]", "digit": r"[^\p{N}]",
-           "stop": r"[^.,;:!?'\"()-]", "space": r"[^\s]"}
-TOP_WORDS = 24
+# Character classes of the histogram: lower-case and other letters, capitals, digits, sentence marks, other marks, space.
+N_CLASSES = 6
+# Common words of languages, most frequent first.
+COMMON_WORDS = {
+    "en": "the of and to in is that for it was on are as with be by".split(),
+    "de": "der die und in den von zu das mit sich des auf für ist im dem".split(),
+    "fr": "de la le et les des en un du une que est pour qui dans par".split(),
+    "es": "de la que el en y a los se del las un por con no una".split(),
+}
 MAX_LANGS = 64
-MAX_CHAR_DISTANCE = 0.25
+MAX_CHAR_DISTANCE = 0.2
 MAX_WORD_DISTANCE = 0.55
 
 
@@ -46,20 +49,31 @@ def words_of(text: str | Column) -> Column:
     return F.filter(F.split(F.coalesce(text if isinstance(text, Column) else F.col(text), F.lit("")), SPACE_CLASS + "+"), lambda w: w != "")
 
 
+def _window_hashes(words: Column) -> Column:
+    """Hash of the eight words from each place on, by doubling: pairs, fours, eights."""
+    def pairs(h, step):
+        return let(h, lambda x: F.when(F.size(x) > step, F.zip_with(
+            F.slice(x, 1, F.size(x) - step), F.slice(x, 1 + step, F.size(x) - step), lambda a, b: F.xxhash64(a, b))).otherwise(
+            F.array().cast("array<bigint>")))
+    return pairs(pairs(pairs(words, 1), 2), 4)
+
+
+def _covered(windows: Column) -> Column:
+    """Words covered by windows whose hash occurs twice: sort (hash, place), keep those with an equal neighbour,
+    then add up the new words that each window covers in text order."""
+    placed = F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("at"))))
+    def twice(s):
+        marked = F.transform(s, lambda x, i: F.when(
+            (F.get(s, i - 1)["h"] == x["h"]) | (F.get(s, i + 1)["h"] == x["h"]), x["at"]))
+        return F.sort_array(F.filter(marked, lambda x: x.isNotNull()))
+    def steps(at):
+        return F.aggregate(F.transform(at, lambda a, i: F.when(i == 0, WINDOW).otherwise(F.least(a - F.get(at, i - 1), F.lit(WINDOW)))),
+                           F.lit(0), lambda total, n: total + n)
+    return let(let(placed, twice), steps)
+
+
 def _repeat_words(words: Column) -> Column:
-    """Words covered by windows whose hash occurs twice: sort (hash, place), keep those with an equal
-    neighbour, then add up the new words that each window covers in text order."""
-    def covered(w):
-        windows = F.transform(F.sequence(F.lit(0), F.size(w) - WINDOW), lambda i: F.struct(
-            F.xxhash64(*[F.get(w, i + k) for k in range(WINDOW)]).alias("h"), i.alias("at")))
-        return let(F.array_sort(windows), lambda s: let(F.array_sort(F.transform(
-            F.filter(F.transform(s, lambda x, i: F.struct(
-                x["at"].alias("at"),
-                ((F.get(s, i - 1)["h"] == x["h"]) | (F.get(s, i + 1)["h"] == x["h"])).alias("twice"))), lambda x: x["twice"]),
-            lambda x: x["at"])), lambda at: F.aggregate(
-                F.transform(at, lambda a, i: F.when(i == 0, WINDOW).otherwise(F.least(a - F.get(at, i - 1), F.lit(WINDOW)))),
-                F.lit(0), lambda total, n: total + n)))
-    return let(words, lambda w: F.when(F.size(w) > WINDOW, covered(w)).otherwise(0))
+    return let(_window_hashes(words), lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), 0).otherwise(_covered(h)))
 
 
 def base_counts(docs: DataFrame) -> DataFrame:
@@ -77,61 +91,59 @@ def base_counts(docs: DataFrame) -> DataFrame:
                                 "base_failed": (n < MIN_WORDS) | (100 * repeated > 30 * n)}).drop("_found")
 
 
-def _class_counts(text: Column) -> list[Column]:
-    counts = [F.length(F.regexp_replace(text, drop, "")) for drop in CLASSES.values()]
-    return counts + [F.length(text) - sum(counts[1:], counts[0])]
+def _class_counts(text: Column) -> Column:
+    """Code points of each class; the text is scanned for capitals and for marks, and marks are told apart by themselves."""
+    def counts(capitals, marks):
+        digits = F.length(F.regexp_replace(marks, r"\P{N}+", ""))
+        stops = F.length(F.regexp_replace(marks, r"[^.,;:!?'\"()-]+", ""))
+        space = F.length(text) - F.col("word_chars")
+        return F.array(F.col("word_chars") - capitals - F.length(marks), capitals, digits, stops, F.length(marks) - digits - stops, space)
+    return let(F.regexp_replace(text, r"[\p{L}\x20\x09-\x0D]+", ""), lambda marks: F.transform(
+        counts(F.length(F.regexp_replace(text, r"\P{Lu}+", "")), marks), lambda n: n.cast("double")))
 
 
-def language_references(docs: DataFrame, top_words: int = TOP_WORDS, max_langs: int = MAX_LANGS) -> DataFrame:
-    """One row per frequent language, and one of all (lang null): ``classes`` and ``shares`` (distributions), ``common`` (words).
+def _common(lang: Column) -> Column:
+    """The common words of a language, or none."""
+    chosen = F.array().cast("array<string>")
+    for name, words in COMMON_WORDS.items():
+        chosen = F.when(lang == name, F.array(*map(F.lit, words))).otherwise(chosen)
+    return chosen
 
-    Each document weighs the same and each word counts once per document, so a few long or
-    repetitive texts don't shape the reference."""
+
+def with_histograms(docs: DataFrame) -> DataFrame:
+    """``docs`` with base counts, ``classes`` and ``shares``: a distribution each; ``shares`` is empty for other languages."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select("lang", text.alias("text")).where(F.length("text") > 0)
-    classes = F.array(*_class_counts(F.col("text")))
-    n_classes = len(CLASSES) + 1
-    def mean_shares(df):
-        return df.agg(F.count(F.lit(1)).alias("docs"), *[F.avg(F.col("c")[i] / F.col("len")).alias(f"c{i}") for i in range(n_classes)])
-    per_doc = rows.select("lang", classes.alias("c"), F.length("text").alias("len"))
-    stats = mean_shares(per_doc.groupBy("lang")).where(F.col("lang").isNotNull()).orderBy(F.desc("docs"), "lang").limit(max_langs)
-    stats = stats.unionByName(mean_shares(per_doc.groupBy()).withColumn("lang", F.lit(None).cast("string")))
-
-    found = rows.select("lang", F.explode(F.array_distinct(words_of(F.lower("text")))).alias("word"))
-    by_word = found.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    every = by_word.groupBy("word").agg(F.sum("n").alias("n")).withColumn("lang", F.lit(None).cast("string"))
-    by_word = by_word.where(F.col("lang").isNotNull()).unionByName(every)
-    top = (by_word.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word")))
-           .where(F.col("rank") <= top_words).groupBy("lang").agg(F.sort_array(F.collect_list("word")).alias("common")))
-    return (stats.withColumn("classes", F.array(*[F.col(f"c{i}") for i in range(n_classes)]))
-            .join(top, stats["lang"].eqNullSafe(top["lang"]), "left")
-            .select(stats["lang"], "classes", F.coalesce("common", F.array().cast("array<string>")).alias("common")))
-
-
-def word_references(docs: DataFrame, refs: DataFrame) -> DataFrame:
-    """``refs`` with ``shares``: the mean share of each common word, and of all others, over a language's documents."""
-    scored = _with_reference(docs, refs).withColumn("hist", _word_histogram(words_of(F.lower("text")), F.col("common")))
-    n = TOP_WORDS + 1
-    shares = (scored.where(F.aggregate("hist", F.lit(0), lambda a, x: a + x.cast("int")) >= MIN_WORDS)
-              .withColumn("hist", _normal(F.col("hist"))).groupBy("ref_lang")
-              .agg(*[F.avg(F.get("hist", F.lit(i))).alias(f"s{i}") for i in range(n)])
-              .select("ref_lang", F.filter(F.array(*[F.col(f"s{i}") for i in range(n)]), lambda x: x.isNotNull()).alias("shares")))
-    return refs.join(shares, refs["lang"].eqNullSafe(shares["ref_lang"]), "left").drop("ref_lang")
-
-
-def fitted_references(docs: DataFrame) -> DataFrame:
-    """References of every language: common words first, then their shares.  Stored, as two steps read them."""
-    refs = cut(language_references(docs), "quality-words")
-    return cut(word_references(docs, refs), "quality-shares")
+    return base_counts(docs).withColumns({  # word_chars is a column by now
+        "classes": _normal(_class_counts(text)),
+        "shares": F.when(F.col("lang").isin(list(COMMON_WORDS)), _normal(_word_histogram(words_of(F.lower(text)), _common(F.col("lang"))))).otherwise(
+            F.array().cast("array<double>"))})
+
+
+def language_references(scored: DataFrame, max_langs: int = MAX_LANGS) -> tuple[DataFrame, DataFrame]:
+    """lang, ref_classes, ref_shares of the ``max_langs`` most frequent languages; and one row of all.
+
+    The reference of a language is the mean distribution of its documents that pass the base rule, so each
+    document weighs the same and a few long texts don't shape it."""
+    n = 1 + max(map(len, COMMON_WORDS.values()))
+    means = [F.count(F.lit(1)).alias("docs"), *[F.avg(F.get("classes", F.lit(i))).alias(f"c{i}") for i in range(N_CLASSES)],
+             *[F.avg(F.get("shares", F.lit(i))).alias(f"s{i}") for i in range(n)]]
+    good = scored.where(~F.col("base_failed"))
+    named = good.where(F.col("lang").isNotNull()).groupBy("lang").agg(*means).orderBy(F.desc("docs"), "lang").limit(max_langs)
+    every = good.agg(*means).withColumn("lang", F.lit(None).cast("string"))
+
+    def held(prefix, size):
+        return F.filter(F.array(*[F.col(f"{prefix}{i}") for i in range(size)]), lambda x: x.isNotNull())
+    columns = ["lang", held("c", N_CLASSES).alias("ref_classes"), held("s", n).alias("ref_shares")]
+    return named.select(*columns), every.select(*columns)
 
 
 def _word_histogram(words: Column, common: Column) -> Column:
     """Counts of each common word, then of all other words."""
+    every = sorted({w for words in COMMON_WORDS.values() for w in words})
     def bins(w):
-        hits = F.filter(w, lambda x: F.array_contains(common, x))
-        return let(hits, lambda h: F.concat(
+        return let(F.filter(w, lambda x: x.isin(every)), lambda h: let(
             F.transform(common, lambda c: F.size(F.filter(h, lambda x: x == c)).cast("double")),
-            F.array((F.size(w) - F.size(h)).cast("double"))))
+            lambda n: F.array_append(n, F.size(w) - F.aggregate(n, F.lit(0.0), lambda a, x: a + x))))
     return let(words, bins)
 
 
@@ -148,26 +160,22 @@ def js_distance(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest(F.aggregate(parts, F.lit(0.0), lambda s, x: s + x), F.lit(0.0)))
 
 
-def _with_reference(docs: DataFrame, refs: DataFrame) -> DataFrame:
-    """Each document with the reference of its language, or the one of all.  References are at most MAX_LANGS + 1 rows."""
-    named = refs.where(F.col("lang").isNotNull())
-    every = refs.where(F.col("lang").isNull()).select(*[F.col(c).alias(f"all_{c}") for c in refs.columns], F.lit(1).alias("_one"))
-    known = named.select(*[F.col(c).alias(f"own_{c}") for c in refs.columns])
-    joined = (docs.join(F.broadcast(known), F.col("lang") == F.col("own_lang"), "left")
-              .withColumn("_one", F.lit(1)).join(F.broadcast(every), "_one", "left"))
-    return joined.select(*docs.columns, F.col("own_lang").alias("ref_lang"),
-                         *[F.when(F.col("own_lang").isNotNull(), F.col(f"own_{c}")).otherwise(F.col(f"all_{c}")).alias(c)
-                           for c in refs.columns if c != "lang"])
-
-
-def judge(docs: DataFrame, refs: DataFrame, max_char_distance: float = MAX_CHAR_DISTANCE,
+def judge(scored: DataFrame, refs: tuple[DataFrame, DataFrame], max_char_distance: float = MAX_CHAR_DISTANCE,
           max_word_distance: float = MAX_WORD_DISTANCE) -> DataFrame:
-    """``docs`` (with base counts) plus char_distance, word_distance and kept."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    scored = _with_reference(docs, refs).withColumns({
-        "char_distance": F.coalesce(js_distance(_normal(F.array(*[c.cast("double") for c in _class_counts(text)])), F.col("classes")), F.lit(0.0)),
-        "word_distance": F.coalesce(F.when(F.size("common") > 0, js_distance(
-            _normal(_word_histogram(words_of(F.lower(text)), F.col("common"))), F.col("shares"))), F.lit(0.0))})
+    """``scored`` (a stored table of with_histograms) plus char_distance, word_distance and kept."""
+    named, every = refs
+    known = F.broadcast(named.select(F.col("lang").alias("_lang"), "ref_classes", "ref_shares"))
+    every = F.broadcast(every.select(F.lit(1).alias("_one"), F.col("ref_classes").alias("_all")))
+    joined = scored.join(known, F.col("lang") == F.col("_lang"), "left").withColumn("_one", F.lit(1)).join(every, "_one", "left")
+    near = js_distance(F.col("classes"), F.coalesce("ref_classes", "_all"))
+    words = F.when((F.size("shares") > 0) & (F.size("shares") == F.size("ref_shares")), js_distance(F.col("shares"), F.col("ref_shares")))
     slack = 1 / F.sqrt(F.greatest(F.col("n_words"), F.lit(1)))
     fits = (F.col("char_distance") <= max_char_distance + 0.5 * slack) & (F.col("word_distance") <= max_word_distance + slack)
-    return scored.withColumn("kept", ~F.col("base_failed") & fits).drop("ref_lang", "classes", "common", "shares")
+    return (joined.withColumn("char_distance", F.coalesce(near, F.lit(0.0))).withColumn("word_distance", F.coalesce(words, F.lit(0.0)))
+            .withColumn("kept", ~F.col("base_failed") & fits).drop("_lang", "_one", "_all", "ref_classes", "ref_shares", "classes", "shares"))
+
+
+def quality(docs: DataFrame) -> DataFrame:
+    """``docs`` without text, with base counts, distances and kept.  One pass over the texts: their counts and histograms are stored."""
+    scored = cut(with_histograms(docs).drop("text"), "quality")
+    return judge(scored, language_references(scored))
