@@ -72,7 +72,8 @@ def fit_classifier(docs: DataFrame, labelled: DataFrame, max_train: int = MAX_TR
 
 def posteriors(docs: DataFrame, classifier: DataFrame) -> DataFrame:
     """``docs`` with tokens long and posterior array<double> (in the order of the classifier's domains)."""
-    model = F.broadcast(classifier.select("priors", "weights").withColumn("_one", F.lit(1)))
+    # scalar subqueries: one row, domains x FEATURES numbers
+    model = {c: classifier.select(c).scalar() for c in ("priors", "weights")}
     def likelihood(f):
         scale = TEMPERATURE / F.greatest(F.size(f), F.lit(1))
         return F.zip_with("priors", "weights", lambda p, w: p + scale * F.aggregate(f, F.lit(0.0), lambda a, k: a + F.get(w, k)))
@@ -81,8 +82,8 @@ def posteriors(docs: DataFrame, classifier: DataFrame) -> DataFrame:
                    lambda e: let(F.aggregate(e, F.lit(0.0), lambda a, x: a + x), lambda s: F.transform(e, lambda x: x / s)))
     scored = let(_features(F.col("text")), lambda f: F.struct(
         (F.size(f) / 2).cast("long").alias("tokens"), let(likelihood(f), softmax).alias("posterior")))
-    return (docs.withColumn("_one", F.lit(1)).join(model, "_one").withColumn("_s", scored)
-            .withColumns({"tokens": F.col("_s.tokens"), "posterior": F.col("_s.posterior")}).drop("_one", "priors", "weights", "_s"))
+    return (docs.withColumns(model).withColumn("_s", scored)
+            .withColumns({"tokens": F.col("_s.tokens"), "posterior": F.col("_s.posterior")}).drop("priors", "weights", "_s"))
 
 
 def _rate(posterior: Column, moves: list[list[float]]) -> Column:

@@ -165,14 +165,13 @@ def judge(scored: DataFrame, refs: tuple[DataFrame, DataFrame], max_char_distanc
     """``scored`` (a stored table of with_histograms) plus char_distance, word_distance and kept."""
     named, every = refs
     known = F.broadcast(named.select(F.col("lang").alias("_lang"), "ref_classes", "ref_shares"))
-    every = F.broadcast(every.select(F.lit(1).alias("_one"), F.col("ref_classes").alias("_all")))
-    joined = scored.join(known, F.col("lang") == F.col("_lang"), "left").withColumn("_one", F.lit(1)).join(every, "_one", "left")
+    joined = scored.join(known, F.col("lang") == F.col("_lang"), "left").withColumn("_all", every.select("ref_classes").scalar())
     near = js_distance(F.col("classes"), F.coalesce("ref_classes", "_all"))
     words = F.when((F.size("shares") > 0) & (F.size("shares") == F.size("ref_shares")), js_distance(F.col("shares"), F.col("ref_shares")))
     slack = 1 / F.sqrt(F.greatest(F.col("n_words"), F.lit(1)))
     fits = (F.col("char_distance") <= max_char_distance + 0.5 * slack) & (F.col("word_distance") <= max_word_distance + slack)
     return (joined.withColumn("char_distance", F.coalesce(near, F.lit(0.0))).withColumn("word_distance", F.coalesce(words, F.lit(0.0)))
-            .withColumn("kept", ~F.col("base_failed") & fits).drop("_lang", "_one", "_all", "ref_classes", "ref_shares", "classes", "shares"))
+            .withColumn("kept", ~F.col("base_failed") & fits).drop("_lang", "_all", "ref_classes", "ref_shares", "classes", "shares"))
 
 
 def quality(docs: DataFrame) -> DataFrame:

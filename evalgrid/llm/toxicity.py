@@ -34,6 +34,8 @@ from pyspark.sql import types as T
 from evalgrid.llm.common import Memo, below, id_fold
 
 BUCKETS = 1 << 20
+LEAST = 2.5
+FLOOR = 0.5
 _EDGE = re.compile(r"^[^\w]+|[^\w]+$")
 
 
@@ -58,12 +60,12 @@ def features(word: str) -> list[int]:
 
 
 def dirichlet_scores(counts: list[tuple[int, int, int]], n_toxic: int, n_other: int,
-                     strength: float = 2.0, z: float = 1.64, least: float = 3.0) -> dict[int, float]:
+                     strength: float = 2.0, z: float = 1.64, least: float = LEAST) -> dict[int, float]:
     """Lower bounds, above ``least``, of the log ratio of the rates of (bucket, other, toxic) counts."""
     total, out = n_toxic + n_other, {}
     for bucket, y0, y1 in counts:
         prior = (y0 + y1) / total
-        a = strength * prior + 0.05
+        a = strength * prior + FLOOR
         odds = math.log((y1 + a) / (n_toxic + strength)) - math.log((y0 + a) / (n_other + strength))
         low = odds - z * math.sqrt(1 / (y1 + a) + 1 / (y0 + a))
         if low > least:
@@ -128,61 +130,73 @@ def _labelled(docs: DataFrame, labels: DataFrame, max_docs: int, holdout_mod: in
     if n > max_docs:
         train = train.where(below(max_docs / n, "doc_id"))
     return docs.select("doc_id", "text").join(F.broadcast(train), "doc_id").withColumn(
-        "learn", F.floor(F.crc32(F.col("doc_id").cast("string").cast("binary")) / holdout_mod) % 2 == 0)
+        "half", (F.floor(F.crc32(F.col("doc_id").cast("string").cast("binary")) / holdout_mod) % 2).cast("int"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 40_000, holdout_mod: int = 5) -> ToxicityModel:
     """Learn from at most about ``max_docs`` labelled rows whose id is not in held-out fold 0.
-    What reaches the driver is bounded: one count per bucket, one evidence pair per sampled row."""
-    rows = _labelled(docs, labels, max_docs, holdout_mod)
 
-    learn = rows.where("learn").dropDuplicates(["text"]).select("text", "toxic")
+    Scores are learned from all of them; for the calibration each half of them is scanned with the scores of
+    the other half.  What reaches the driver is bounded: counts per bucket, one row of segments per sampled row."""
+    rows = _labelled(docs, labels, max_docs, holdout_mod)
+    learn = rows.dropDuplicates(["text"]).select("text", "toxic", "half")
 
     def count(batches):
-        seen: dict[int, Counter] = {0: Counter(), 1: Counter()}
+        seen = {(half, toxic): Counter() for half in (0, 1) for toxic in (0, 1)}
         for batch in batches:
-            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                seen[toxic].update({-1} | {b for w in set((text or "").split()) for b in features(w)})
-        keys = seen[0].keys() | seen[1].keys()
-        yield pa.RecordBatch.from_pydict({"bucket": list(keys), "other": [seen[0][k] for k in keys], "toxic": [seen[1][k] for k in keys]},
-                                         schema=pa.schema([("bucket", pa.int32()), ("other", pa.int64()), ("toxic", pa.int64())]))
-
-    counts = (learn.mapInArrow(count, "bucket int, other long, toxic long")
-              .groupBy("bucket").agg(F.sum("other").alias("other"), F.sum("toxic").alias("toxic"))
-              .where("bucket = -1 or toxic >= 3").collect())
-    totals = {r.bucket: (r.other, r.toxic) for r in counts if r.bucket == -1}
+            for text, toxic, half in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                seen[half, toxic].update({-1} | {b for w in set((text or "").split()) for b in features(w)})
+        for half in (0, 1):
+            other, bad = seen[half, 0], seen[half, 1]
+            keys = list(other.keys() | bad.keys())
+            yield pa.RecordBatch.from_pydict({"bucket": keys, "half": [half] * len(keys), "other": [other[k] for k in keys], "toxic": [bad[k] for k in keys]},
+                                             schema=pa.schema([("bucket", pa.int32()), ("half", pa.int32()), ("other", pa.int64()), ("toxic", pa.int64())]))
+
+    def tables(counts: DataFrame) -> list[dict[int, tuple[int, int]]]:
+        """(other, toxic) by bucket: of half 0, half 1, and both, for buckets with enough toxic rows."""
+        sums = [F.sum(F.when(F.col("half") == h, F.col(c)).otherwise(0)).alias(f"{c}{h}") for h in (0, 1) for c in ("other", "toxic")]
+        found = counts.groupBy("bucket").agg(*sums).where("bucket = -1 or toxic0 + toxic1 >= 3").collect()
+        return [{r.bucket: (r.other0, r.toxic0) for r in found}, {r.bucket: (r.other1, r.toxic1) for r in found},
+                {r.bucket: (r.other0 + r.other1, r.toxic0 + r.toxic1) for r in found}]
+
+    def scores(table, totals, least):
+        return dirichlet_scores([(b, *n) for b, n in table.items() if b != -1], totals[1], totals[0], least=least)
+
+    by_rows = tables(learn.mapInArrow(count, "bucket int, half int, other long, toxic long"))
+    totals = [t.get(-1, (0, 0)) for t in by_rows]
     model = ToxicityModel()
-    if not totals or not all(totals[-1]):
+    if not all(totals[2]):
         return model
-    first = dirichlet_scores([(r.bucket, r.other, r.toxic) for r in counts if r.bucket != -1], totals[-1][1], totals[-1][0], least=1.0)
+    first = set().union(*(scores(t, n, 1.0) for t, n in zip(by_rows, totals) if all(n)))
 
     def neighbours(batches):
         seen = set()
         memo = Memo(lambda w: [b for b in features(w) if b in first])
         for batch in batches:
-            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for text, toxic, half in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 words = (text or "").split()
                 for before, w in zip(["", *words], words):
                     for b in memo[w]:
-                        seen.add((b, toxic, zlib.crc32(before.encode())))
-        yield pa.RecordBatch.from_pydict({"bucket": [x[0] for x in seen], "toxic": [x[1] for x in seen], "before": [x[2] for x in seen]},
-                                         schema=pa.schema([("bucket", pa.int32()), ("toxic", pa.int32()), ("before", pa.int64())]))
+                        seen.add((b, half, toxic, zlib.crc32(before.encode())))
+        kind = pa.schema([("bucket", pa.int32()), ("half", pa.int32()), ("toxic", pa.int32()), ("before", pa.int64())])
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in seen], f.type) for i, f in enumerate(kind)], schema=kind)
 
-    kept = (learn.mapInArrow(neighbours, "bucket int, toxic int, before long").distinct()
-            .groupBy("bucket").agg(F.sum(1 - F.col("toxic")).alias("other"), F.sum("toxic").alias("toxic")).collect())
-    model.scores = dirichlet_scores([tuple(r) for r in kept], totals[-1][1], totals[-1][0])
+    by_neighbour = tables(learn.mapInArrow(neighbours, "bucket int, half int, toxic int, before long").distinct()
+                          .select("bucket", "half", (1 - F.col("toxic")).alias("other"), "toxic"))
+    model.scores, halves = scores(by_neighbour[2], totals[2], LEAST), [
+        scores(t, n, LEAST) if all(n) else {} for t, n in zip(by_neighbour, totals)]
 
     def scan(batches):
-        scanner = Scanner(model)
+        scanners = [Scanner(ToxicityModel(scores=halves[1 - half])) for half in (0, 1)]
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            found = [scanner.segments(t) for t in texts]
+            texts, half = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            found = [scanners[h].segments(t) for t, h in zip(texts, half)]
             yield pa.RecordBatch.from_pydict(
                 {"toxic": batch.column(1).cast(pa.int32()), "n": [n for _, n in found], "best": [[s for _, _, s in x] for x, _ in found],
-                 "gains": [scanner.gains(t) for t in texts]},
+                 "gains": [scanners[h].gains(t) for t, h in zip(texts, half)]},
                 schema=pa.schema([("toxic", pa.int32()), ("n", pa.int64()), ("best", pa.list_(pa.float64())), ("gains", pa.list_(pa.float64()))]))
 
-    held = rows.where("not learn").select("text", "toxic").mapInArrow(scan, "toxic int, n long, best array<double>, gains array<double>").collect()
+    held = rows.select("text", "toxic", "half").mapInArrow(scan, "toxic int, n long, best array<double>, gains array<double>").collect()
     calibrate(model, [(r.toxic, r.n, r.best, r.gains) for r in held])
     return model
 
