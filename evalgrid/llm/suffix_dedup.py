@@ -18,7 +18,8 @@ Only a sample of suffixes is sorted; the others' order is induced from it, as in
   smallest common prefix between them.  The queue spills sorted runs to disk beyond its memory limit.
   A window is repeated when its suffix has ``MIN_MATCH`` bytes in common with a neighbour.
 * Hot groups.  An anchor hash with more than ``HOT`` different contexts (a passage or line that is common to
-  many documents) would be one large group; its windows are hashed one by one and counted instead.
+  many documents) would be one large group.  Its contexts are cut into cells of ``CELL`` windows: equal cells
+  are repeated, and only where different cells share their inner bytes are single windows hashed and counted.
 
 A document is known by (doc_id, 16 bits of its text's hash).  Hashes decide equality with 128 bits together
 (anchor and context), or with the bytes themselves in the sort; a hot group's windows have 64 bits and their group.
@@ -46,6 +47,7 @@ from evalgrid.llm.common import cut
 MIN_MATCH = 200
 ANCHOR = 32
 HOT = 512
+CELL = 13
 BATCH_ROWS = 60_000
 QUEUE_ROWS = 1_000_000
 _SEGMENT = 1 << 19
@@ -299,16 +301,43 @@ def _induced_spans(contexts: DataFrame, min_match: int, queue_rows: int) -> Data
         run, "doc_id long, fp int, start long, end long")
 
 
+def _hot_cells(contexts: DataFrame, min_match: int) -> DataFrame:
+    """Hot contexts cut into cells of ``CELL`` window offsets: kmer, cell, inner (hash of the bytes that all windows of the
+    cell share), whole (hash of the bytes of this context's windows in it), n, doc_id, spot, low and high offset, bytes."""
+    kind = pa.schema([("kmer", pa.int64()), ("cell", pa.int32()), ("inner", pa.int64()), ("whole", pa.int64()), ("n", pa.int64()), ("doc_id", pa.int64()),
+                      ("spot", pa.int64()), ("low", pa.int32()), ("high", pa.int32()), ("bytes", pa.binary())])
+
+    def run(batches):
+        for batch in batches:
+            rows = {k: [] for k in kind.names}
+            for kmer, n, doc, spot, edge, raw in zip(*(batch.column(i).to_pylist() for i in range(6))):
+                first = edge - (len(raw) - min_match)
+                for cell in range(first // CELL, edge // CELL + 1):
+                    low, high = max(first, cell * CELL), min(edge, cell * CELL + CELL - 1)
+                    part = raw[edge - high:edge - low + min_match]
+                    inner = raw[edge - cell * CELL:edge - (cell * CELL + CELL - 1) + min_match]
+                    for k, v in zip(rows, (kmer, cell, xxhash.xxh3_64_intdigest(inner) - (1 << 63),
+                                           xxhash.xxh3_64_intdigest(part, low * 256 + high) - (1 << 63), n, doc, spot, low, high, part)):
+                        rows[k].append(v)
+            yield pa.RecordBatch.from_pydict(rows, schema=kind)
+
+    return contexts.select("kmer", "n", "doc_id", "spot", "edge", "bytes").mapInArrow(
+        run, "kmer long, cell int, inner long, whole long, n long, doc_id long, spot long, low int, high int, bytes binary")
+
+
 def _hot_spans(contexts: DataFrame, min_match: int) -> DataFrame:
-    """Repeated spans of the contexts of hot anchor hashes: each window by its hash, counted by aggregation."""
+    """Repeated spans of the contexts of hot anchor hashes, by aggregates alone.
+
+    Equal cells are repeated throughout, cells whose shared bytes occur once are not; in the others, each
+    different cell's windows are hashed and counted."""
     def windows(batches):
         kind = pa.schema([("kmer", pa.int64()), ("window", pa.int64()), ("doc_id", pa.int64()), ("spot", pa.int64()), ("o", pa.int32()), ("n", pa.int64())])
         for batch in batches:
             rows = {k: [] for k in kind.names}
-            for kmer, n, doc, spot, edge, raw in zip(*(batch.column(i).to_pylist() for i in range(6))):
+            for kmer, n, doc, spot, high, raw in zip(*(batch.column(i).to_pylist() for i in range(6))):
                 for p in range(len(raw) - min_match + 1):
-                    h = xxhash.xxh3_64_intdigest(raw[p:p + min_match], edge - p) - (1 << 63)
-                    for k, v in zip(rows, (kmer, h, doc, spot, edge - p, n)):
+                    h = xxhash.xxh3_64_intdigest(raw[p:p + min_match], high - p) - (1 << 63)
+                    for k, v in zip(rows, (kmer, h, doc, spot, high - p, n)):
                         rows[k].append(v)
             yield pa.RecordBatch.from_pydict(rows, schema=kind)
 
@@ -317,11 +346,19 @@ def _hot_spans(contexts: DataFrame, min_match: int) -> DataFrame:
             out = [s for doc, spot, o in zip(*(batch.column(i).to_pylist() for i in range(3))) for s in _spans_of(doc, spot, np.array(o), min_match)]
             yield pa.RecordBatch.from_arrays([pa.array([s[k] for s in out], f.type) for k, f in enumerate(_SPANS)], schema=_SPANS)
 
-    each = contexts.select("kmer", "n", "doc_id", "spot", "edge", "bytes").mapInArrow(
+    cells = cut(_hot_cells(contexts, min_match), "suffix-cells")
+    key = ["kmer", "cell", "inner", "whole"]
+    different = cut(cells.groupBy(*key).agg(F.sum("n").alias("n"), F.min(F.struct("doc_id", "spot", "high")).alias("one"), F.first("bytes").alias("bytes")),
+                    "suffix-different")
+    place = F.shiftright("spot", 32) + F.shiftright("spot", 16).bitwiseAND(255)
+    equal = cells.where("n = 1").join(different.where("n > 1").select(*key), key).select(
+        "doc_id", F.col("spot").bitwiseAND(0xFFFF).cast("int").alias("fp"), (place - F.col("high")).alias("start"), (place - F.col("low") + min_match).alias("end"))
+    open_cells = different.groupBy("kmer", "cell", "inner").agg(F.count(F.lit(1)).alias("several"), F.min("n").alias("least")).where("several > 1 and least = 1")
+    each = different.join(open_cells, ["kmer", "cell", "inner"]).select("kmer", "n", "one.doc_id", "one.spot", "one.high", "bytes").mapInArrow(
         windows, "kmer long, window long, doc_id long, spot long, o int, n long")
     often = each.groupBy("kmer", "window").agg(F.sum("n").alias("times")).where("times > 1").select("kmer", "window")
-    return (each.where("n = 1").join(often, ["kmer", "window"]).groupBy("doc_id", "spot").agg(F.sort_array(F.collect_list("o")).alias("o"))
-            .mapInArrow(spans, "doc_id long, fp int, start long, end long"))
+    return equal.unionByName(each.where("n = 1").join(often, ["kmer", "window"]).groupBy("doc_id", "spot").agg(
+        F.sort_array(F.collect_list("o")).alias("o")).mapInArrow(spans, "doc_id long, fp int, start long, end long"))
 
 
 def repeated_spans(docs: DataFrame, min_match: int = MIN_MATCH, hot: int = HOT, queue_rows: int = QUEUE_ROWS) -> DataFrame:
