@@ -30,11 +30,6 @@ def py_strip(c: Column) -> Column:
     return F.btrim(c, F.lit(WS_CHARS))
 
 
-def is_blank(c: Column) -> Column:
-    """``not c.strip()`` in one regex pass, without building the stripped string."""
-    return ~c.rlike("[^" + WS_CLASS[1:])
-
-
 def bleu_tokens(c: Column) -> Column:
     """Tokeniser A: lower-cased word runs and single punctuation marks."""
     return F.regexp_extract_all(F.lower(c), F.lit(BLEU_TOKEN_PATTERN), 0)
@@ -58,8 +53,20 @@ def shot_label(path: Column) -> Column:
 
 
 def fmt4(c: Column) -> Column:
-    """P10: metric as 4-decimal text.  Only used in sinks; metrics stay DOUBLE inside."""
-    return F.when(c.isNotNull(), F.format_string("%.4f", c))
+    """P10: metric as 4-decimal text, rounded on the exact value of the double, half to even, as C's ``%.4f``.
+
+    Java's formatter rounds the shortest decimal form half up, which differs on ties (0.03125) and on doubles
+    just below a decimal tie.  Here ``over`` is the exact distance of 20,000 x from the odd number between two
+    neighbours: the high part of x has at most 38 bits (x < 256), so its product is exact, and the low part's
+    is too small to change the sign.  Only used in sinks; metrics stay DOUBLE inside.
+    """
+    x = F.abs(c)
+    high = F.floor(x * 2**30) / 2**30
+    low = F.floor(x * 10000)
+    over = (high * 20000 - (2 * low + 1)) + (x - high) * 20000
+    n = low + F.when(over > 0, 1).when(over == 0, low % 2).otherwise(0)
+    text = F.format_string("%s%d.%04d", F.when(c < 0, "-").otherwise(""), F.floor(n / 10000), n % 10000)
+    return F.when(c.isNotNull(), F.when(x < 256, text).otherwise(F.format_string("%.4f", c)))
 
 
 def iso_timestamp(ts: Column | None = None) -> Column:

@@ -19,28 +19,60 @@ def resolve_identifier(items: DataFrame) -> DataFrame:
     )
 
 
+def unique_items(items: DataFrame) -> DataFrame:
+    """The first item (by ``ord``) of each (split, identifier), so that no response meets two items."""
+    it = resolve_identifier(items)
+    rest = [c for c in it.columns if c not in (*KEY, "id")]
+    first = it.groupBy(*KEY).agg(F.min_by(F.struct(*rest), "ord").alias("_first"))
+    return first.select(*KEY, *[F.col("_first." + c).alias(c) for c in rest])
+
+
+def unique_responses(responses: DataFrame) -> DataFrame:
+    """One response of each (cell, identifier): the smallest by its text.  A response landed twice counts once.
+
+    Dealt out by the pairing key first: that partitioning also serves this aggregate and the join."""
+    rest = [c for c in responses.columns if c not in (*CELL, "identifier")]
+    order = F.struct(F.col("text").isNull(), "text")
+    one = (responses.repartition(*KEY).groupBy(*CELL, "identifier")
+           .agg(F.min_by(F.struct(*rest), order).alias("_one")))
+    return one.select(*CELL, "identifier", *[F.col("_one." + c).alias(c) for c in rest])
+
+
 def pair(items: DataFrame, responses: DataFrame) -> DataFrame:
-    """Inner equi-join of responses to items on (split, identifier).
+    """Each response with its item, at most one of each, so that accuracy never exceeds 1.
 
-    Replaces the reference's sort-by-request-id + zip: no global sort, both sides hash-shuffled
-    on the key (or one side broadcast when AQE measures it small).
-    """
-    it = resolve_identifier(items).drop("id")
-    return responses.join(it, KEY, "inner")
+    Responses that carry ``request_id`` pair with the item of that position in its split (``ord``), as
+    generators number their requests; otherwise the key is (split, identifier).  Repeated keys are settled
+    before the join and reported by :func:`coverage` as ``duplicate_key``."""
+    if "request_id" in responses.columns:
+        it = resolve_identifier(items).drop("id")
+        numbered = responses.withColumn("identifier", F.col("request_id").cast("string"))
+        resp = unique_responses(numbered).withColumn("ord", F.col("request_id")).drop("identifier", "request_id")
+        return resp.join(it, ["split", "ord"], "inner")
+    return unique_responses(responses).join(unique_items(items), KEY, "inner")
 
 
 def coverage(items: DataFrame, responses: DataFrame, cells: DataFrame) -> DataFrame:
-    """Items lacking a response in a run cell, and responses that match no item.
+    """Items lacking a response in a run cell, responses that match no item, and keys that occur more than once.
 
-    ``cells`` holds the expected (model, split, shot) cells -- one row per run, a small
-    dimension -- so ``items x cells`` is an equi-join on split, not a cross product.
-    """
+    ``cells`` holds the expected (model, split, shot) cells.  They are gathered per split (models x shots of a
+    run, a few hundred at most) and exploded next to each item: items meet one row per split, by a broadcast
+    of at most one row per split of the catalog."""
     it = resolve_identifier(items).select(*KEY)
-    expected = it.join(cells.select(*CELL).distinct(), "split")
+    per_split = cells.groupBy("split").agg(F.collect_set(F.struct("model", "shot")).alias("_cells"))
+    expected = (it.distinct().join(F.broadcast(per_split), "split").withColumn("_c", F.explode("_cells"))
+                .select("_c.model", "split", "_c.shot", "identifier"))
     resp = responses.select(*CELL, "identifier")
     missing = expected.join(resp, CELL + ["identifier"], "left_anti").withColumn("kind", F.lit("missing_response"))
     orphan = resp.join(it, KEY, "left_anti").withColumn("kind", F.lit("orphan_response"))
-    return missing.unionByName(orphan).select("kind", *CELL, "identifier")
+    twice = (resp.groupBy(*CELL, "identifier").count().where("count > 1").drop("count")
+             .withColumn("kind", F.lit("duplicate_key")))
+    item_twice = (it.groupBy(*KEY).count().where("count > 1").select(
+        F.lit(None).cast("string").alias("model"), "split", F.lit(None).cast("string").alias("shot"), "identifier",
+        F.lit("duplicate_key").alias("kind")))
+    columns = ["kind", *CELL, "identifier"]
+    return (missing.select(*columns).unionByName(orphan.select(*columns)).unionByName(twice.select(*columns))
+            .unionByName(item_twice.select(*columns)))
 
 
 def token_count(token_ids_col: str = "token_ids"):

@@ -21,17 +21,33 @@ def question_block(split: Column, question: Column, options: Column) -> Column:
     return F.when(is_mcq_split(split), F.concat(q, F.lit("\n"), opts)).otherwise(F.concat(q, F.lit("\n")))
 
 
+def _slot_parts(template: Column) -> Column:
+    """The template around its slots, with doubled braces kept apart from single ones."""
+    marked = F.replace(F.replace(template, F.lit("{{"), F.lit("\x01")), F.lit("}}"), F.lit("\x02"))
+    return F.split(marked, r"\{\}", -1)
+
+
+def one_slot(template: Column) -> Column:
+    """Whether a template has exactly one slot; ``str.format`` with one value needs that."""
+    return F.size(_slot_parts(template)) == 2
+
+
 def assemble_prompt(examples: Column, template: Column, block: Column) -> Column:
-    """``examples + template.format(block)``; braces inside the block stay inert."""
-    return F.concat(examples, F.replace(template, F.lit(SLOT), block))
+    """``examples + template.format(block)``: doubled braces of the template become single ones, braces
+    inside the block stay inert."""
+    def plain(part):
+        return F.replace(F.replace(part, F.lit("\x01"), F.lit("{")), F.lit("\x02"), F.lit("}"))
+    parts = _slot_parts(template)
+    return F.concat(examples, plain(F.get(parts, F.lit(0))), block, plain(F.get(parts, F.lit(1))))
 
 
 def prompts_for(items: DataFrame, prompts: DataFrame) -> DataFrame:
-    """J2 + P3: every item x every prompt file of its split.
+    """J2 + P3: every item x every prompt file of its split; files whose template hasn't one slot are left out.
 
-    ``prompts`` holds one row per (split, shot) file -- a fixed-size corpus -- so it is broadcast.
+    Prompt texts have no bound on their size, so nothing is forced: AQE broadcasts them if their measured size
+    allows, else it splits a hot split's items over tasks.
     """
-    p = F.broadcast(prompts.where("valid").select("split", "shot", "examples", "template"))
+    p = prompts.where(F.col("valid") & one_slot(F.col("template"))).select("split", "shot", "examples", "template")
     j = items.join(p, "split")
     block = question_block(F.col("split"), F.col("question"), F.col("options"))
     return j.withColumn("prompt", assemble_prompt(F.col("examples"), F.col("template"), block))
@@ -58,12 +74,20 @@ def parse_prompt_text(text: Column) -> dict[str, Column]:
     }
 
 
+# ---- fixed values: messages of the argument checks ----
+BAD_BATCHED_TOKENS = "max_batched_tokens must be positive"
+BAD_MAX_TOKENS = "max_tokens must be positive"
+BAD_TEMPERATURE = "temperature must be non-negative"
+BAD_TOP_P = "top_p must be in [0, 1]"
+# ---- end fixed values ----
+
+
 def config_reject_reason(runs: DataFrame) -> Column:
     """The first failing argument check, in the reference's order; null when the config is valid."""
     c = F.col
     return (
-        F.when(c("max_batched_tokens") <= 0, F.lit("max_batched_tokens must be positive"))
-        .when(c("max_tokens") <= 0, F.lit("max_tokens must be positive"))
-        .when(c("temperature") < 0, F.lit("temperature must be non-negative"))
-        .when(~((c("top_p") >= 0) & (c("top_p") <= 1)), F.lit("top_p must be in [0, 1]"))
+        F.when(c("max_batched_tokens") <= 0, F.lit(BAD_BATCHED_TOKENS))
+        .when(c("max_tokens") <= 0, F.lit(BAD_MAX_TOKENS))
+        .when(c("temperature") < 0, F.lit(BAD_TEMPERATURE))
+        .when(~((c("top_p") >= 0) & (c("top_p") <= 1)), F.lit(BAD_TOP_P))
     )

@@ -7,15 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions.metrics import safe_div
 from ..functions.text import py_strip
-from .extract import extract_bool, extract_choice
 
 CELL = ["model", "split", "shot"]
 
 
-def closed_prediction(raw: Column, task_type: Column, mode: str = "reference") -> Column:
-    return F.when(task_type == "mc", extract_choice(raw, mode)).when(task_type == "bool", extract_bool(raw, mode))
-
-
 def match_flag(pred: Column, answer: Column, task_type: Column, mode: str = "reference") -> Column:
     """M1: prediction equals the stripped gold for mc/bool; null for open tasks.
 

@@ -7,23 +7,25 @@ boundary of the literal-tuple parser and of the LCS UDF.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..catalog import task_catalog, with_task_type
+from ..catalog import TASKS, task_catalog, with_task_type
 from ..functions.metrics import precision_recall_f1, safe_div
 from ..functions.text import py_strip
 from ..operators.extract import extract_text, with_parsed_tuples
-from ..operators.pairing import resolve_identifier, token_count
+from ..operators.pairing import pair, token_count
 from ..operators.score_exact import match_flag
 from ..operators.score_text import with_text_scores
 from ..operators.score_tuples import positional_counts, set_counts
+from ..schemas import METRICS, TUPLES
 
 CELL = ["model", "split", "shot"]
 
 
 OPEN_TUPLE_TYPES = ("open_triple", "open_tuple")
-METRICS = ["accuracy", "precision", "recall", "f1", "bleu", "rouge1", "rouge2", "rougeL"]
 
 
 def _by_type(parsed: Column, tt: Column) -> Column:
@@ -32,35 +34,40 @@ def _by_type(parsed: Column, tt: Column) -> Column:
         x["t"] == "open_triple", F.filter(x["v"], lambda t: F.size(t) == 3)).when(x["t"] == "open_tuple", x["v"]))
 
 
-def prepare_items(spark: SparkSession, items: DataFrame, mode: str = "reference", tuple_impl: str = "arrow") -> DataFrame:
-    """P5 + P4 + E9 on the item side: resolve identifiers, attach the task type, parse gold tuples.
-
-    Done once per item *before* J1, not once per (model, shot) response after it.
-    """
-    it = with_task_type(resolve_identifier(items).drop("id"), task_catalog(spark))
-    tt = F.col("task_type")
-    it = with_parsed_tuples(it, F.col("answer"), "_ref_parsed", active=tt.isin(*OPEN_TUPLE_TYPES), mode=mode, impl=tuple_impl)
-    return it.withColumn("ref_tuples", _by_type(F.col("_ref_parsed"), tt)).drop("_ref_parsed")
+TUPLE_SPLITS = [t[0] for t in TASKS if t[1] in OPEN_TUPLE_TYPES]
+TEXT_SPLITS = [t[0] for t in TASKS if t[1] == "open_text"]
 
 
 def extract(spark: SparkSession, items: DataFrame, responses: DataFrame, mode: str = "reference",
-            tuple_impl: str = "arrow") -> DataFrame:
-    """J1 + E1-E9 + M1 + P8: one row per paired response with typed prediction and gold."""
-    paired = responses.join(prepare_items(spark, items, mode, tuple_impl), ["split", "identifier"], "inner")
-    tt = F.col("task_type")
-    df = paired.withColumn("response", py_strip(F.coalesce(F.col("text"), F.lit(""))))
-    # the tuple parser only sees open-task rows (null elsewhere), so the E4 UDF skips closed/text rows
-    df = with_parsed_tuples(df, F.col("response"), "_pred_parsed", active=tt.isin(*OPEN_TUPLE_TYPES), mode=mode,
-                            impl=tuple_impl)
-    out = df.select(
-        *CELL, "identifier", "ord", "task_type", "question", "options", "answer", "response",
-        extract_text(F.col("response"), tt, mode).alias("pred_text"),
-        _by_type(F.col("_pred_parsed"), tt).alias("pred_tuples"),
-        "ref_tuples",
-        F.col("cumulative_logprob").alias("log_probability"),
-        token_count().alias("token_count"),
-    )
-    return out.withColumn("match", match_flag(F.col("pred_text"), F.col("answer"), tt, mode))
+            families: tuple[bool, ...] = (False, True)) -> DataFrame:
+    """J1 + E1-E9 + M1 + P8: one row per paired response with typed prediction and gold.
+
+    Two branches by task family, chosen by split before any join: only the open-tuple branch holds the
+    Python step of the tuple parser, and its gold tuples are parsed once per item, not once per response (E9).
+    ``families``: which branches to build, the one of open tuples (True) or of all other tasks (False).
+    """
+    is_tuple = F.col("split").isin(TUPLE_SPLITS)
+    branches = []
+    for tuples in families:
+        side = is_tuple if tuples else (~is_tuple | F.col("split").isNull())
+        it = with_task_type(items.where(side), task_catalog(spark))
+        if tuples:
+            it = with_parsed_tuples(it, F.col("answer"), "_ref_parsed", mode)
+            it = it.withColumn("ref_tuples", _by_type(F.col("_ref_parsed"), F.col("task_type"))).drop("_ref_parsed")
+        df = pair(it, responses.where(side)).withColumn("response", py_strip(F.coalesce(F.col("text"), F.lit(""))))
+        tt = F.col("task_type")
+        none = F.lit(None).cast(TUPLES)
+        if tuples:
+            df = with_parsed_tuples(df, F.col("response"), "_pred_parsed", mode)
+        branches.append(df.select(
+            *CELL, "identifier", "ord", "task_type", "question", "options", "answer", "response",
+            extract_text(F.col("response"), tt, mode, F.col("options")).alias("pred_text"),
+            (_by_type(F.col("_pred_parsed"), tt) if tuples else none).alias("pred_tuples"),
+            (F.col("ref_tuples") if tuples else none).alias("ref_tuples"),
+            F.col("cumulative_logprob").alias("log_probability"),
+            token_count().alias("token_count"),
+        ).withColumn("match", match_flag(F.col("pred_text"), F.col("answer"), F.col("task_type"), mode)))
+    return reduce(DataFrame.unionByName, branches)
 
 
 def _let(value: Column, body) -> Column:
@@ -72,35 +79,49 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def score_rows(extracted: DataFrame, stem: bool = False) -> DataFrame:
-    """Per-row score parts for every task family, so that one aggregate produces the summary."""
+def score_rows(extracted: DataFrame, stem: bool = False, text: bool = True) -> DataFrame:
+    """Per-row score parts for every task family of an extracted table, so that one aggregate produces the summary."""
     tt = F.col("task_type")
 
     def counts(x):
         p, r = x["p"], x["r"]
-        s_tp, s_fp, s_fn = set_counts(p, r)
-        o_tp = F.size(F.filter(F.zip_with(p, r, lambda a, b: a == b), lambda z: z)).cast("bigint")
-        tri = x["t"] == "open_triple"
-        return F.struct(
-            F.when(tri, o_tp).otherwise(s_tp).alias("tp"),
-            F.when(tri, F.greatest(F.size(p) - o_tp, F.lit(0))).otherwise(s_fp).cast("bigint").alias("fp"),
-            F.when(tri, F.greatest(F.size(r) - o_tp, F.lit(0))).otherwise(s_fn).cast("bigint").alias("fn"),
-        )
+        by_set, by_place = set_counts(p, r), positional_counts(p, r)
+        return F.struct(*[F.when(x["t"] == "open_triple", o).otherwise(s).alias(n)
+                          for n, s, o in zip(("tp", "fp", "fn"), by_set, by_place)])
 
+    is_text = F.col("split").isin(TEXT_SPLITS)
     c = _let(F.struct(F.col("pred_tuples").alias("p"), F.col("ref_tuples").alias("r"), tt.alias("t")), counts)
-    counted = extracted.withColumn("_c", F.when(tt.isin(*OPEN_TUPLE_TYPES), c))
+    counted = extracted.where(~is_text | F.col("split").isNull()).withColumn("_c", F.when(tt.isin(*OPEN_TUPLE_TYPES), c))
     counted = counted.select("*", *[F.col("_c." + k).alias(k) for k in ("tp", "fp", "fn")]).drop("_c")
-    return with_text_scores(counted, F.col("pred_text"), F.col("answer"), active=(tt == "open_text"), stem=stem)
+    if not text:
+        return counted
+    scored = with_text_scores(extracted.where(is_text), F.col("pred_text"), F.col("answer"), stem=stem)
+    return counted.unionByName(scored, allowMissingColumns=True)
 
 
 def summarize(spark: SparkSession, extracted: DataFrame, items: DataFrame, dataset: str = "local",
-              prompt_root: str = "./prompt", stem: bool = False) -> DataFrame:
+              prompt_root: str = "./prompt", stem: bool = True) -> DataFrame:
     """One wide summary row per cell; metric columns are null unless they apply to the task type.
 
+    ROUGE tokens are stemmed, as in the reference; ``stem=False`` gives the values that SQL can check.
+
     One partial+final aggregate over the scored rows (BIGINT sums and means), joined to the
     per-split item counts (a tiny aggregate) for accuracy's denominator.
     """
-    scored = score_rows(extracted, stem=stem)
+    return _summary(score_rows(extracted, stem=stem), items, dataset, prompt_root)
+
+
+def summarize_run(spark: SparkSession, items: DataFrame, responses: DataFrame, mode: str = "reference", dataset: str = "local",
+                  prompt_root: str = "./prompt", stem: bool = True) -> DataFrame:
+    """M11 from items and responses: open text is a branch of its own from the start, chosen by split, so that
+    only its rows reach the Python step of the text scores and each Python step is in the plan once."""
+    is_text = F.col("split").isin(TEXT_SPLITS)
+    rest = score_rows(extract(spark, items, responses.where(~is_text), mode), text=False)
+    text = with_text_scores(extract(spark, items.where(is_text), responses.where(is_text), mode, (False,)), F.col("pred_text"), F.col("answer"), stem=stem)
+    return _summary(rest.unionByName(text, allowMissingColumns=True), items, dataset, prompt_root)
+
+
+def _summary(scored: DataFrame, items: DataFrame, dataset: str, prompt_root: str) -> DataFrame:
     # task_type depends on split only: grouping by it keeps the aggregate buffer fixed-width (hash aggregate)
     agg = scored.groupBy(*CELL, "task_type").agg(
         F.sum(F.col("match").cast("bigint")).alias("correct"),

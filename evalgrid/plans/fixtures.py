@@ -1,7 +1,7 @@
 """Bindings of the test tables to the evaluation data model (FIXTURES.md section 4).
 
 Every derivation uses only integer arithmetic, ``%``, ``floor``, ``CASE`` and string
-concatenation, so the DuckDB oracle (``plans/oracle.py``) can rebuild the same rows.
+concatenation, so the DuckDB oracle (``plans/oracle_fixtures.py``) can rebuild the same rows.
 Models and shot levels are expanded with ``explode`` (a generator, not a join).
 """
 
@@ -27,8 +27,7 @@ def _spread(df: DataFrame, key: str) -> DataFrame:
     The test tables are single small files (one or two scan splits); without this, the whole
     models x shots fan-out and its per-row parsing run in the scan's one or two tasks.
     """
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(n, key)
+    return df.repartition(F.col(key))  # no count: AQE sizes the partitions
 
 
 def _models_shots(df: DataFrame, models: int = N_MODELS, shots: bool = True) -> DataFrame:
@@ -47,6 +46,8 @@ def _models_shots(df: DataFrame, models: int = N_MODELS, shots: bool = True) ->
 
 # ------------------------------------------------------------------ mc (part)
 
+MC_SPLITS = [s for s in SPLITS if s < "2_5"]
+_MC_SPLIT = "element_at(array(" + ", ".join(f"'{s}'" for s in MC_SPLITS) + f"), CAST(p_partkey % {len(MC_SPLITS)} + 1 AS INT))"
 _MC_IDENT = (
     "CASE WHEN p_partkey % 9 = 0 AND p_partkey % 2 = 0 THEN NULL "
     "WHEN p_partkey % 9 = 0 THEN NULL ELSE concat('part-', p_partkey) END"
@@ -59,7 +60,7 @@ def mc_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """fx_mc items: one four-option question per part."""
     p = _spread(table(spark, sf_dir, "part"), "p_partkey")
     return p.selectExpr(
-        "concat('1_', p_partkey % 5 + 1) AS split",
+        f"{_MC_SPLIT} AS split",
         "CAST(p_partkey AS BIGINT) AS ord",
         f"{_MC_IDENT} AS identifier",
         f"{_MC_ID} AS id",
@@ -93,7 +94,7 @@ def mc_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     return g.selectExpr(
         "model",
-        "concat('1_', p_partkey % 5 + 1) AS split",
+        f"{_MC_SPLIT} AS split",
         "shot",
         f"CASE WHEN (p_partkey + m + s) % 23 = 0 THEN concat({_MC_RESOLVED}, '#lost') ELSE {_MC_RESOLVED} END AS identifier",
         f"CASE WHEN (p_partkey + s) % 8 = 0 THEN concat('  ', {text}, '\\n') ELSE {text} END AS text",
@@ -244,7 +245,7 @@ def text_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
     return d.selectExpr(
         "'3_1' AS split",
-        "CAST(doc_id AS BIGINT) AS ord",
+        "1000000000000 + doc_id AS ord",
         "concat('doc-', doc_id) AS identifier",
         "CAST(NULL AS STRING) AS id",
         "concat('Define document ', doc_id) AS question",
@@ -262,11 +263,10 @@ def text_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prediction = the whole lower-cased token list minus 1-based positions i with
     (i + m + doc_id) % (4 + m) = 0, joined by spaces.  Three models, zero-shot.
 
-    Documents are spread over the shuffle partitions before tokenising (a small text table can
-    be a single scan split) and tokenised once, not once per model.
+    Documents are spread by id before tokenising (a small text table can be a single scan
+    split) and tokenised once, not once per model.
     """
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    d = table(spark, sf_dir, "documents").select("doc_id", "text").repartition(n, "doc_id")
+    d = _spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     d = d.select("doc_id", F.regexp_extract_all(F.lower("text"), F.lit(_bleu_pat()), 0).alias("toks"))
     g = _models_shots(d, shots=False)
     return g.selectExpr(
@@ -354,7 +354,7 @@ def padded_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ------------------------------------------------------------------ whole evaluation inputs
 
 def all_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = [mc_items, bool_items, triple_items, tuple_items, conversation_items]
+    parts = [mc_items, bool_items, triple_items, tuple_items, conversation_items, text_items]
     out = parts[0](spark, sf_dir)
     for f in parts[1:]:
         out = out.unionByName(f(spark, sf_dir))
@@ -362,7 +362,7 @@ def all_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def all_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = [mc_responses, bool_responses, triple_responses, tuple_responses, conversation_responses]
+    parts = [mc_responses, bool_responses, triple_responses, tuple_responses, conversation_responses, text_responses]
     out = parts[0](spark, sf_dir)
     for f in parts[1:]:
         out = out.unionByName(f(spark, sf_dir))

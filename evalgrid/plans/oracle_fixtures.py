@@ -28,7 +28,7 @@ MC_RESOLVED = f"coalesce({MC_IDENT}, {MC_ID}, 'example_' || p_partkey)"
 
 
 def mc_items() -> str:
-    return f"""(SELECT '1_' || (p_partkey % 5 + 1) AS split, CAST(p_partkey AS BIGINT) AS ord,
+    return f"""(SELECT ['1_1', '1_2', '1_3', '1_4', '1_5', '2_1', '2_2', '2_3', '2_4'][p_partkey % 9 + 1] AS split, CAST(p_partkey AS BIGINT) AS ord,
     {MC_IDENT} AS identifier, {MC_ID} AS id,
     (CASE WHEN p_partkey % 4 = 1 THEN '  ' ELSE '' END) || 'Which item is ' || p_name || '?'
       || (CASE WHEN p_partkey % 10 = 0 THEN ' {{x}}' ELSE '' END) AS question,
@@ -43,7 +43,7 @@ def mc_responses() -> str:
     text = (f"CASE (p_partkey * 7 + m * 3 + s) % 6 WHEN 0 THEN 'Answer: ' || {letter} "
             f"WHEN 1 THEN lower({letter}) || '.' WHEN 2 THEN 'The option is (' || {letter} || ')' "
             f"WHEN 3 THEN 'I think it is a bolt, so ' || {letter} WHEN 4 THEN 'none of these' ELSE {letter} END")
-    return f"""(SELECT 'org/model-' || m AS model, '1_' || (p_partkey % 5 + 1) AS split,
+    return f"""(SELECT 'org/model-' || m AS model, ['1_1', '1_2', '1_3', '1_4', '1_5', '2_1', '2_2', '2_3', '2_4'][p_partkey % 9 + 1] AS split,
     {SHOTS_LIST}[s + 1] AS shot,
     CASE WHEN (p_partkey + m + s) % 23 = 0 THEN {MC_RESOLVED} || '#lost' ELSE {MC_RESOLVED} END AS identifier,
     CASE WHEN (p_partkey + s) % 8 = 0 THEN '  ' || ({text}) || {NL} ELSE {text} END AS text,
@@ -130,7 +130,7 @@ def tuple_responses() -> str:
 
 
 def text_items() -> str:
-    return """(SELECT '3_1' AS split, CAST(doc_id AS BIGINT) AS ord, 'doc-' || doc_id AS identifier,
+    return """(SELECT '3_1' AS split, 1000000000000 + doc_id AS ord, 'doc-' || doc_id AS identifier,
     CAST(NULL AS VARCHAR) AS id, 'Define document ' || doc_id AS question, CAST(NULL AS VARCHAR) AS options,
     text AS answer FROM documents)"""
 
@@ -183,10 +183,10 @@ def padded_documents() -> str:
 
 
 def all_items() -> str:
-    return "(" + " UNION ALL ".join(f"SELECT * FROM {f()}" for f in (mc_items, bool_items, triple_items, tuple_items, conversation_items)) + ")"
+    return "(" + " UNION ALL ".join(f"SELECT * FROM {f()}" for f in (mc_items, bool_items, triple_items, tuple_items, conversation_items, text_items)) + ")"
 
 
 def all_responses() -> str:
     return "(" + " UNION ALL ".join(
-        f"SELECT * FROM {f()}" for f in (mc_responses, bool_responses, triple_responses, tuple_responses, conversation_responses)
+        f"SELECT * FROM {f()}" for f in (mc_responses, bool_responses, triple_responses, tuple_responses, conversation_responses, text_responses)
     ) + ")"

@@ -22,16 +22,12 @@ RESPONSES = T.StructType([
     T.StructField("token_ids", T.ArrayType(T.IntegerType()), True),
 ])
 
-PROMPTS = T.StructType([
-    T.StructField("split", T.StringType(), True),
-    T.StructField("shot", T.StringType(), True),
-    T.StructField("path", T.StringType(), False),
-    T.StructField("examples", T.StringType(), True),
-    T.StructField("template", T.StringType(), True),
-])
+# generator output that numbers its requests instead of naming items
+REQUEST_RESPONSES = T.StructType([T.StructField("request_id", T.LongType(), False), *RESPONSES.fields])
 
 TUPLES = T.ArrayType(T.ArrayType(T.StringType()))
 
+# ---- fixed values: field names of the benchmark's output files ----
 DETAILS = T.StructType([
     T.StructField("identifier", T.StringType()),
     T.StructField("question", T.StringType()),
@@ -49,25 +45,6 @@ DETAILS = T.StructType([
     T.StructField("shot", T.StringType()),
 ])
 
-SUMMARY_COLUMNS = [
-    "timestamp", "dataset", "split", "model", "prompt_path", "task_type",
-    "accuracy", "precision", "recall", "f1", "bleu", "rouge1", "rouge2", "rougeL",
-]
-
-SUMMARY = T.StructType(
-    [T.StructField(c, T.StringType()) for c in SUMMARY_COLUMNS[:6]]
-    + [T.StructField(c, T.DoubleType()) for c in SUMMARY_COLUMNS[6:]]
-)
-
-RUNS = T.StructType([
-    T.StructField("dataset", T.StringType()),
-    T.StructField("split", T.StringType()),
-    T.StructField("model", T.StringType()),
-    T.StructField("prompt_path", T.StringType()),
-    T.StructField("output_dir", T.StringType()),
-    T.StructField("max_batched_tokens", T.IntegerType()),
-    T.StructField("max_tokens", T.IntegerType()),
-    T.StructField("temperature", T.DoubleType()),
-    T.StructField("top_p", T.DoubleType()),
-    T.StructField("stop", T.ArrayType(T.StringType())),
-])
+METRICS = ["accuracy", "precision", "recall", "f1", "bleu", "rouge1", "rouge2", "rougeL"]
+SUMMARY_COLUMNS = ["timestamp", "dataset", "split", "model", "prompt_path", "task_type", *METRICS]
+# ---- end fixed values ----

@@ -18,11 +18,14 @@ _CKPT_KEY = "spark.checkpoint.dir"
 
 
 def get_spark(master: str | None = None, app: str = "evalgrid", shuffle_partitions: int | None = None) -> SparkSession:
-    """Build (or reuse) a session with AQE on, UI off, UTC time zone."""
+    """Build (or reuse) a session with AQE on, UI off, UTC time zone.
+
+    Under ``spark-submit`` the master, the sizes and the number of shuffle partitions are the cluster's;
+    they are only set here for a local session.
+    """
     cpus = os.environ.get("BENCH_CPUS", "8")
     builder = (
-        SparkSession.builder.master(master or f"local[{cpus}]")
-        .appName(app)
+        SparkSession.builder.appName(app)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
@@ -36,11 +39,15 @@ def get_spark(master: str | None = None, app: str = "evalgrid", shuffle_partitio
         # rows here are small but CPU-heavy (regex parsing, Arrow UDFs): do not let AQE coalesce
         # post-shuffle stages below ~64 KB per partition, or they run on a couple of cores
         .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
-        .config("spark.sql.shuffle.partitions", str(shuffle_partitions or int(cpus) * 4))
-        .config("spark.sql.adaptive.coalescePartitions.minPartitionNum", str(int(cpus) * 2))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.driver.memory", os.environ.get("EVALGRID_DRIVER_MEMORY", "16g"))
     )
+    if master or not submitted():
+        builder = (
+            builder.master(master or f"local[{cpus}]")
+            .config("spark.sql.shuffle.partitions", str(shuffle_partitions or int(cpus) * 4))
+            .config("spark.sql.adaptive.coalescePartitions.minPartitionNum", str(int(cpus) * 2))
+            .config("spark.driver.memory", os.environ.get("EVALGRID_DRIVER_MEMORY", "8g"))
+        )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
@@ -48,6 +55,11 @@ def get_spark(master: str | None = None, app: str = "evalgrid", shuffle_partitio
     return spark
 
 
+def submitted() -> bool:
+    """Whether spark-submit started this process (it hands Python the port of its JVM)."""
+    return "PYSPARK_GATEWAY_PORT" in os.environ
+
+
 _SHIPPED: set[str] = set()
 
 
@@ -78,16 +90,24 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the session's checkpoint folder, setting a local one only if none is configured."""
+    """Return the session's checkpoint folder.  A local session without one gets a temporary folder; on a cluster
+    executors would each write to their own disk, so there it is an error."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()  # set from spark.checkpoint.dir at start-up, or earlier here
     if current:
         return current
-    configured = sc.getConf().get(_CKPT_KEY, None)
-    sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="evalgrid-ckpt-"))
+    sc.setCheckpointDir(checkpoint_folder(sc.getConf().get(_CKPT_KEY, None), sc.master))
     return sc.getCheckpointDir()
 
 
+def checkpoint_folder(configured: str | None, master: str) -> str:
+    if configured:
+        return configured
+    if master.startswith("local") and not master.startswith("local-cluster"):
+        return tempfile.mkdtemp(prefix="evalgrid-ckpt-")
+    raise RuntimeError(f"set {_CKPT_KEY} to a folder that the driver and all executors share")
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, never-reused folder under the shared checkpoint folder."""
     base = ensure_checkpoint_dir(spark).rstrip("/")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..catalog import SPLITS
 from ..schemas import ITEMS
 
 
@@ -32,20 +33,15 @@ def write_items(items: DataFrame, path: str, fmt: str = "parquet") -> None:
 def select_split(items: DataFrame, key: str, mode: str = "reference") -> DataFrame:
     """The rows of the split named by ``key``.
 
-    reference: every split whose name *contains* ``key`` matches and the last one wins, in
-    split-name order (Q9).  corrected: equality.  No match raises at execution time with the
-    list of available splits.  The choice is a one-row aggregate joined back -- nothing
-    passes through the driver.
+    reference: every split whose name *contains* ``key`` matches and the last one wins, by the splits' order
+    in the catalog (Q9), after any other names.  corrected: equality.  No match raises here, with the list of
+    available splits: the names are read first (a benchmark has tens of splits, and reading them prunes all other
+    columns), so that the rows are then filtered by a literal on the partition column.
     """
-    names = items.select("split").distinct()
-    hit = F.col("split").contains(key) if mode == "reference" else (F.col("split") == F.lit(key))
-    chosen = names.agg(
-        F.max(F.when(hit, F.col("split"))).alias("_chosen"),
-        F.array_join(F.array_sort(F.collect_set("split")), ", ").alias("_available"),
-    ).select(
-        F.coalesce(
-            F.col("_chosen"),
-            F.raise_error(F.concat(F.lit(f"Split '{key}' not found. Available splits: "), F.col("_available"))),
-        ).alias("_chosen")
-    )
-    return items.join(F.broadcast(chosen), items["split"] == chosen["_chosen"], "inner").drop("_chosen")
+    place = {s: i for i, s in enumerate(SPLITS)}
+    names = sorted((r[0] for r in items.select("split").distinct().collect() if r[0] is not None),
+                   key=lambda s: (place.get(s, -1), s))
+    hit = [s for s in names if (key in s if mode == "reference" else key == s)]
+    if not hit:
+        raise ValueError(f"Split '{key}' not found. Available splits: {', '.join(names)}")
+    return items.where(F.col("split") == hit[-1])

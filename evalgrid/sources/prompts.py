@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import shot_label
+from ..functions.text import SHOT_LABEL_PATTERN
 from ..operators.prompting import parse_prompt_text
 
 # ---- fixed values: corpus layout ----
@@ -19,11 +19,11 @@ def parse_prompts(df: DataFrame, text_col: str = "text") -> DataFrame:
     return df.select("*", *[c.alias(n) for n, c in parsed.items()])
 
 
-def read_prompt_corpus(spark: SparkSession, root: str, glob: str = "**/*.txt") -> DataFrame:
+def read_prompt_corpus(spark: SparkSession, root: str) -> DataFrame:
     """Read every prompt file below ``root`` whole, one row per file.
 
     ``split`` and ``shot`` come from the file path (``_metadata.file_path``): the split from a
-    ``bench_<split>`` directory, the shot from the last ``<level>_shot`` in the path.  Files
+    ``bench_<split>`` directory, the shot from the last ``<level>_shot`` in the path, in the words of GRID_SHOTS.  Files
     that fail S3 stay in the result with ``valid = false`` -- the rejects.
     """
     raw = (
@@ -31,12 +31,11 @@ def read_prompt_corpus(spark: SparkSession, root: str, glob: str = "**/*.txt") -
         .text(root, wholetext=True)
         .select(F.col("value").alias("text"), F.col("_metadata.file_path").alias("path"))
     )
-    shot_any = F.regexp_extract_all(F.col("path"), F.lit(r"(?i)(zero|one|two|three|four)_shot"), 1)
+    shot_any = F.regexp_extract_all(F.col("path"), F.lit(SHOT_LABEL_PATTERN), 0)
     df = raw.select(
         "path",
         F.when(F.regexp_extract("path", SPLIT_DIR_PATTERN, 1) != "", F.regexp_extract("path", SPLIT_DIR_PATTERN, 1)).alias("split"),
-        F.coalesce(shot_label(F.col("path")),
-                   F.when(F.size(shot_any) > 0, F.lower(F.concat(F.element_at(shot_any, -1), F.lit("_shot"))))).alias("shot"),
+        F.when(F.size(shot_any) > 0, F.lower(F.element_at(shot_any, -1))).alias("shot"),
         "text",
     )
     return parse_prompts(df)

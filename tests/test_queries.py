@@ -62,9 +62,19 @@ def test_plan_has_no_cross_products(spark, small_sf, name):
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
-def test_summary_is_one_aggregate_over_scored_rows(spark, small_sf):
-    """M11 evaluates each Python step once: gold parsing on the item side, then one pass for
-    prediction parsing + text overlap after the join (no per-family re-computed branches)."""
-    plan = QUERIES["m11_summary"](spark, small_sf)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("ArrowEvalPython") == 2
-    assert plan.count("_overlap_udf(") == 1
+def _plan(spark, small_sf, name):
+    return QUERIES[name](spark, small_sf)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_summary_runs_each_python_step_once(spark, small_sf):
+    """Gold tuples, predicted tuples and text scores, each in its own family's branch."""
+    plan = _plan(spark, small_sf, "m11_summary")
+    assert plan.count("ArrowEvalPython") == 3
+
+
+def test_closed_rows_reach_no_python(spark, small_sf):
+    assert "ArrowEvalPython" not in _plan(spark, small_sf, "m2_accuracy").split("Union")[0]
+
+
+def test_bleu_alone_has_no_lcs(spark, small_sf):
+    assert "lcs" not in _plan(spark, small_sf, "m5_bleu")

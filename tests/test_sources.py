@@ -51,8 +51,8 @@ def test_prompt_corpus_scan_reference_layout(spark):
         with open(f"{root}/bench_{split}/{shot}.txt", "w") as f:
             f.write(body)
     rows = {(r.split, r.shot): r for r in sp.read_prompt_corpus(spark, root).collect()}
-    assert rows[("1_1", "two")].valid and rows[("1_1", "two")].template == "\nQuestion: {}\nAnswer:"
-    assert not rows[("3_2", "zero")].valid
+    assert rows[("1_1", "two_shot")].valid and rows[("1_1", "two_shot")].template == "\nQuestion: {}\nAnswer:"
+    assert not rows[("3_2", "zero_shot")].valid
 
 
 def test_prompt_assembly_braces_inert(spark):
@@ -105,3 +105,53 @@ def test_items_csv_round_trip(spark, items):
     back = si.read_items(spark, path, fmt="csv")
     got = sorted((r.split, r.ord, r.options) for r in back.collect())
     assert got == sorted((r[0], r[1], r[5]) for r in ITEMS)
+
+
+def test_items_in_order_within_files(spark, small_sf):
+    from evalgrid.plans import fixtures as fx
+    from evalgrid.plans.evaluate import extract
+    e = extract(spark, fx.mc_items(spark, small_sf), fx.mc_responses(spark, small_sf))
+    cols = ["identifier", "question", "options", "response", "answer", "pred_text", "pred_tuples",
+            "log_probability", "token_count", "match", "ord", "model", "split", "shot"]
+    path = scratch_path(spark, "t_order")
+    sk.write_details(e.select(*cols), path)
+    read = sk.read_details(spark, path).select("ord", F.col("_metadata.file_path").alias("f"), F.monotonically_increasing_id().alias("at"))
+    files = {}
+    for r in read.collect():
+        files.setdefault(r.f, []).append((r["at"], r["ord"]))
+    assert files and all([o for _, o in sorted(v)] == sorted(o for _, o in v) for v in files.values())
+
+
+def test_replayed_batch_adds_no_row(spark, small_sf):
+    from evalgrid.plans import fixtures as fx
+    from evalgrid.plans.evaluate import extract, summarize
+    items = fx.mc_items(spark, small_sf)
+    s = summarize(spark, extract(spark, items, fx.mc_responses(spark, small_sf)), items)
+    path = scratch_path(spark, "t_replay")
+    for _ in range(2):
+        sk.write_summary_batch(s, path, 7)
+    assert sk.read_summary(spark, path).count() == s.count()
+    assert sk.read_summary(spark, path).columns[:6] == ["timestamp", "dataset", "split", "model", "prompt_path", "task_type"]
+
+
+def test_checkpoint_folder_must_be_shared():
+    from evalgrid.session import checkpoint_folder
+    assert checkpoint_folder("hdfs://x", "yarn") == "hdfs://x" and checkpoint_folder(None, "local[2]")
+    for master in ("yarn", "local-cluster[2,1,1024]", "spark://h:7077"):
+        with pytest.raises(RuntimeError):
+            checkpoint_folder(None, master)
+
+
+def test_repeated_keys_count_once(spark):
+    from evalgrid.operators import pairing, score_exact
+    from evalgrid.plans.evaluate import extract
+    items = spark.createDataFrame([("1_1", i, k, None, "?", None, "A") for i, k in ((0, "x"), (1, "x"), (2, "y"))], si.ITEMS)
+    rows = [("m", "1_1", "zero_shot", k, "A", None, None) for k in ("x", "x", "y", "z")]
+    from evalgrid.schemas import REQUEST_RESPONSES, RESPONSES
+    resp = spark.createDataFrame(rows, RESPONSES)
+    acc = score_exact.accuracy(extract(spark, items, resp), items).first()
+    assert (acc.correct, acc.n_items) == (2, 3) and acc.accuracy <= 1
+    kinds = [r.kind for r in pairing.coverage(items, resp, resp.select("model", "split", "shot").distinct()).collect()]
+    assert sorted(kinds) == ["duplicate_key", "duplicate_key", "orphan_response"]
+    numbered = spark.createDataFrame([(i, *r) for i, r in ((0, rows[0]), (1, rows[1]), (1, rows[1]), (2, rows[2]))], REQUEST_RESPONSES)
+    assert score_exact.accuracy(extract(spark, items, numbered), items).first().accuracy == 1.0
