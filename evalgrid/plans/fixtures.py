@@ -104,6 +104,28 @@ def mc_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def repeated_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """mc items in which every seventh part's question occurs again, later, with another gold letter."""
+    items = mc_items(spark, sf_dir)
+    again = items.where("ord % 7 = 0").withColumn("ord", F.expr("ord + 1000000000")).withColumn("answer", F.lit("Z"))
+    return items.unionByName(again)
+
+
+def repeated_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """mc responses in which those to every fifth part landed twice."""
+    r = mc_responses(spark, sf_dir)
+    return r.unionByName(r.where("CAST(regexp_extract(identifier, '([0-9]+)', 1) AS BIGINT) % 5 = 0"))
+
+
+def numbered_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Generator output that numbers its requests: the item's place in its split instead of its identifier."""
+    p = table(spark, sf_dir, "part").select("p_partkey")
+    return _models_shots(p).selectExpr(
+        "model", f"{_MC_SPLIT} AS split", "shot", "CAST(NULL AS STRING) AS identifier",
+        "substr('ABCD', CAST((p_partkey + m) % 4 + 1 AS INT), 1) AS text", "CAST(NULL AS DOUBLE) AS cumulative_logprob",
+        "CAST(NULL AS array<int>) AS token_ids", "CAST(p_partkey AS BIGINT) AS request_id")
+
+
 # ------------------------------------------------------------------ bool (orders)
 
 def bool_items(spark: SparkSession, sf_dir: str) -> DataFrame:

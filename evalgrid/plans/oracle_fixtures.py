@@ -53,6 +53,23 @@ def mc_responses() -> str:
   FROM part {GRID})"""
 
 
+def repeated_items() -> str:
+    return f"""(SELECT * FROM {mc_items()} UNION ALL
+    SELECT split, ord + 1000000000 AS ord, identifier, id, question, options, 'Z' AS answer FROM {mc_items()} WHERE ord % 7 = 0)"""
+
+
+def repeated_responses() -> str:
+    return f"""(SELECT * FROM {mc_responses()} UNION ALL
+    SELECT * FROM {mc_responses()} WHERE CAST(regexp_extract(identifier, '([0-9]+)', 1) AS BIGINT) % 5 = 0)"""
+
+
+def numbered_responses() -> str:
+    return f"""(SELECT 'org/model-' || m AS model,
+    ['1_1', '1_2', '1_3', '1_4', '1_5', '2_1', '2_2', '2_3', '2_4'][p_partkey % 9 + 1] AS split,
+    {SHOTS_LIST}[s + 1] AS shot, substr('ABCD', CAST((p_partkey + m) % 4 + 1 AS INT), 1) AS text, CAST(p_partkey AS BIGINT) AS request_id
+  FROM part {GRID})"""
+
+
 def bool_items() -> str:
     return """(SELECT '2_5' AS split, CAST(o_orderkey AS BIGINT) AS ord, 'order-' || o_orderkey AS identifier,
     CAST(NULL AS VARCHAR) AS id, 'Is order ' || o_orderkey || ' satisfiable?' AS question,

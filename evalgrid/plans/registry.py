@@ -184,6 +184,32 @@ def j5_coverage(spark, sf):
     return pr.coverage(items, resp, cells)
 
 
+@register("j1_duplicates", f"""
+WITH it AS (SELECT split, identifier, arg_min(answer, ord) AS answer FROM
+              (SELECT split, ord, coalesce(identifier, id, 'example_' || ord) AS identifier, answer FROM {ofx.repeated_items()}) GROUP BY 1, 2),
+     rs AS (SELECT DISTINCT model, split, shot, identifier, text FROM {ofx.repeated_responses()}),
+     n AS (SELECT split, count(*) AS n_items FROM {ofx.repeated_items()} GROUP BY 1)
+SELECT rs.model, rs.split, rs.shot, CAST(sum(CASE WHEN coalesce({q.e1('rs.text')} = {q.strip('it.answer')}, false) THEN 1 ELSE 0 END) AS BIGINT) AS correct,
+  n.n_items FROM rs JOIN it ON rs.split = it.split AND rs.identifier = it.identifier JOIN n ON n.split = rs.split GROUP BY ALL""")
+def j1_duplicates(spark, sf):
+    """Repeated identifiers and responses that landed twice: one of each counts."""
+    from .evaluate import extract
+    items = fx.repeated_items(spark, sf)
+    a = se.accuracy(extract(spark, items, fx.repeated_responses(spark, sf)), items)
+    return a.select("model", "split", "shot", "correct", "n_items")
+
+
+@register("j1_request_order", f"""
+SELECT r.model, r.split, r.shot, coalesce(i.identifier, i.id, 'example_' || i.ord) AS identifier, i.ord,
+  r.text = {q.strip('i.answer')} AS match
+FROM {ofx.numbered_responses()} r JOIN {ofx.mc_items()} i ON r.split = i.split AND r.request_id = i.ord""")
+def j1_request_order(spark, sf):
+    """Responses that carry a request number instead of an identifier pair by place."""
+    from .evaluate import extract
+    e = extract(spark, fx.mc_items(spark, sf), fx.numbered_responses(spark, sf))
+    return e.select("model", "split", "shot", "identifier", "ord", "match")
+
+
 # =============================================================== M1 / M2
 
 _CLOSED_PAIRED_SQL = f"""(SELECT r.model, r.split, r.shot, i.identifier, i.answer,
