@@ -336,6 +336,14 @@ def m4_triple_f1(spark, sf):
     return _f1_out(triple_f1(e))
 
 
+@register("q7_triple_set_f1", _f1_sql(ofx.triple_responses(), ofx.triple_items(), arity3=True, positional=False))
+def q7_triple_set_f1(spark, sf):
+    """Q7 corrected: the order of triples doesn't matter."""
+    from ..operators.score_tuples import tuple_f1
+    e = _open_extracted(spark, sf, fx.triple_items, fx.triple_responses)
+    return _f1_out(tuple_f1(e))
+
+
 # =============================================================== M5-M9 text metrics
 
 def _doc_pairs(spark, sf):
