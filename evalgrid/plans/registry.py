@@ -688,9 +688,12 @@ JOIN c ON c.split = it.split AND c.valid AND c.shot IN ('zero_shot', 'two_shot',
 def p3_prompt(spark, sf):
     from ..catalog import GRID_SHOTS
     from ..operators.prompting import prompts_for
-    from ..sources.prompts import build_prompt_corpus, parse_prompts
+    from ..session import scratch_path
+    from ..sources.prompts import build_prompt_corpus, read_prompt_corpus, write_prompt_corpus
     items = pr.resolve_identifier(fx.mc_items(spark, sf).unionByName(fx.bool_items(spark, sf)))
-    corpus = parse_prompts(build_prompt_corpus(fx.all_items(spark, sf))).where(F.col("shot").isin(*GRID_SHOTS))
+    root = scratch_path(spark, "p3_prompts")
+    write_prompt_corpus(build_prompt_corpus(fx.all_items(spark, sf)), root)
+    corpus = read_prompt_corpus(spark, root).where(F.col("shot").isin(*GRID_SHOTS))
     return prompts_for(items, corpus).select("split", "shot", "identifier", "prompt")
 
 
