@@ -234,7 +234,7 @@ def _contexts(docs: DataFrame, wanted: DataFrame, min_match: int) -> DataFrame:
     """``wanted`` (kmer, n, doc_id, spot) with ``edge`` and ``bytes`` of the context."""
     by_doc = wanted.groupBy("doc_id", F.col("spot").bitwiseAND(0xFFFF).cast("int").alias("fp")).agg(
         F.collect_list(F.struct("kmer", "hot", "n", "spot")).alias("spots"))
-    texts = _packed(docs).dropDuplicates(["doc_id", "fp"]).withColumnsRenamed({"doc_id": "_id", "fp": "_fp"})
+    texts = _packed(docs).withColumnsRenamed({"doc_id": "_id", "fp": "_fp"})
     kind = pa.schema([("kmer", pa.int64()), ("hot", pa.bool_()), ("n", pa.int64()), ("doc_id", pa.int64()), ("spot", pa.int64()),
                       ("edge", pa.int32()), ("bytes", pa.binary())])
 
@@ -252,7 +252,8 @@ def _contexts(docs: DataFrame, wanted: DataFrame, min_match: int) -> DataFrame:
 
     joined = by_doc.join(texts, by_doc["doc_id"].eqNullSafe(texts["_id"]) & (by_doc["fp"] == texts["_fp"]))
     return joined.select("doc_id", "spots", "text").mapInArrow(
-        run, "kmer long, hot boolean, n long, doc_id long, spot long, edge int, bytes binary")
+        run, "kmer long, hot boolean, n long, doc_id long, spot long, edge int, bytes binary").dropDuplicates(
+        ["kmer", "doc_id", "spot"])  # repeated rows bring a context again
 
 
 def _packed(docs: DataFrame) -> DataFrame:
