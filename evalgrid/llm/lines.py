@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evalgrid.llm.common import cut
+from evalgrid.llm.quality import let
 
 MIN_CHARS = 20
 SEGMENTS = 16
@@ -81,11 +82,11 @@ def find_removed(docs: DataFrame, min_chars: int = MIN_CHARS) -> tuple[DataFrame
     half_keys = first.select("id", "place", F.posexplode("keys").alias("at", "key"))
     near = _shared(half_keys).groupBy("place").agg(F.collect_set("at").alias("halves"), F.min("id").alias("id"))
     wanted = near.groupBy("place.doc_id", "place._fp").agg(F.collect_list(F.struct("place.no", "id", "halves")).alias("lines"))
-    picked = _keyed(docs.select("doc_id", "text")).dropDuplicates(["doc_id", "_fp"])
+    picked = _keyed(docs.select("doc_id", "text"))
     kept = cut(picked.join(wanted, picked["doc_id"].eqNullSafe(wanted["doc_id"]) & (picked["_fp"] == wanted["_fp"]))
-               .select(picked["doc_id"], picked["_fp"], F.split("text", "\n", -1).alias("text"), F.explode("lines").alias("l"))
-               .select(F.col("l.id").alias("id"), F.struct("doc_id", "_fp", F.col("l.no").alias("no")).alias("place"),
-                       F.get("text", F.col("l.no")).alias("line"), F.col("l.halves").alias("halves")), "lines-near")
+               .select(picked["doc_id"], picked["_fp"], F.explode(let(F.split("text", "\n", -1), lambda text: F.transform(
+                   "lines", lambda l: F.struct(l["id"].alias("id"), l["no"].alias("no"), F.get(text, l["no"]).alias("line"), l["halves"].alias("halves"))))).alias("l"))
+               .select("l.id", F.struct("doc_id", "_fp", "l.no").alias("place"), "l.line", "l.halves").dropDuplicates(["id"]), "lines-near")  # repeated rows bring a line again
 
     length = F.length("line")
     halves = kept.select("id", F.length("line").alias("length"), "line", F.explode("halves").alias("at")).select(
