@@ -7,8 +7,8 @@ projected gradient from rate 1: each step needs one distributed sum per domain,
 rate is a function of its posteriors and the short list of past gradients, so no per-document state is
 carried and a lost executor costs one sum.
 
-Features: lower-cased words hashed to ``FEATURES`` buckets, and each word's shape (the classes of its first
-two and its last character).  Texts are scored per feature on average (``TEMPERATURE`` tokens' worth), as raw naive Bayes
+Features: words hashed to ``FEATURES`` buckets, and the text's style: its shares of capitals, of other marks and of
+different words, in steps.  Texts are scored per feature on average (``TEMPERATURE`` tokens' worth), as raw naive Bayes
 is far too sure of long texts.
 
 Defined cases: null and empty texts have no tokens, posteriors equal to the priors and rate 1, as no
@@ -32,25 +32,29 @@ TEMPERATURE = 12.0
 MAX_TRAIN = 20_000
 STEPS = 24
 SNAP = 0.1
+STYLE = 2.0
 
 
-def _kind(char: Column) -> Column:
-    """Class of a character: small, capital, digit, beyond ASCII, or the mark itself."""
-    c = F.ascii(char)
-    return (F.when(c.between(97, 122), 1).when(c.between(65, 90), 2).when(c.between(48, 57), 3).when(c >= 128, 4).otherwise(c + 5))
+def _bucket(*parts: Column) -> Column:
+    return F.pmod(F.xxhash64(*parts), F.lit(FEATURES)).cast("int")
 
 
 def _features(text: Column) -> Column:
-    """Buckets of a text's words and of their shapes (the classes of the first two and the last character)."""
-    def shape(w):
-        kinds = _kind(w) * 40_000 + _kind(F.substring(w, 2, 1)) * 200 + _kind(F.substring(w, -1, 1))
-        return F.pmod(F.xxhash64(kinds), F.lit(FEATURES)).cast("int")
-    return let(words_of(text), lambda w: F.concat(
-        F.transform(w, lambda x: F.pmod(F.xxhash64(F.lower(x)), F.lit(FEATURES)).cast("int")), F.transform(w, shape)))
+    """``words``: bucket of each word; ``marks``: buckets of the text's style (shares of capitals, of marks and of
+    different words, in steps)."""
+    size = F.greatest(F.length(text), F.lit(1))
+    capitals = F.length(F.regexp_replace(text, r"\P{Lu}+", "")) / size
+    others = F.length(F.regexp_replace(text, r"[\p{L}\x20\x09-\x0D]+", "")) / size
+    def style(w):
+        variety = F.size(F.array_distinct(w)) / F.greatest(F.size(w), F.lit(1))
+        return F.array(*[_bucket(F.lit(f"\x01{name}"), F.floor(share * 12).cast("int"))
+                         for name, share in (("capitals", capitals), ("others", others), ("variety", variety))])
+    return let(words_of(text), lambda w: F.struct(F.transform(w, lambda x: _bucket(x)).alias("words"), style(w).alias("marks")))
 
 
 def fit_classifier(docs: DataFrame, labelled: DataFrame, max_train: int = MAX_TRAIN) -> DataFrame:
-    """One row: ``domains`` array<string>, ``priors`` array<double>, ``weights`` array<array<double>> by domain, then feature.
+    """One row: ``domains`` array<string>; ``priors`` array<double> and ``weights`` array<array<double>> (by feature) of all
+    domains but the first, less those of the first.
 
     ``labelled``: doc_id, domain.  Fitted on a hash sample of about ``max_train`` labelled ids; the row is
     bounded by domains x FEATURES."""
@@ -60,7 +64,8 @@ def fit_classifier(docs: DataFrame, labelled: DataFrame, max_train: int = MAX_TR
         known = known.where(below(max_train / n, "doc_id"))
     rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
     # each feature counts once per document, so that one repetitive text is one vote
-    counts = (rows.select("domain", F.explode(F.array_distinct(_features(F.col("text")))).alias("f"))
+    counts = (rows.select("domain", F.explode(
+        let(_features(F.coalesce("text", F.lit(""))), lambda f: F.concat(F.array_distinct(f["words"]), f["marks"]))).alias("f"))
               .groupBy("domain", "f").agg(F.count(F.lit(1)).alias("n")))
     weights = counts.groupBy("domain").agg(F.map_from_entries(F.collect_list(F.struct("f", "n"))).alias("by"), F.sum("n").alias("total"))
     sizes = known.groupBy("domain").agg(F.count(F.lit(1)).alias("docs"))
@@ -68,25 +73,29 @@ def fit_classifier(docs: DataFrame, labelled: DataFrame, max_train: int = MAX_TR
         "domain", "docs", F.transform(F.sequence(F.lit(0), F.lit(FEATURES - 1)), lambda f: F.log(
             (F.coalesce(F.try_element_at("by", f), F.lit(0)) + 0.5) / (F.coalesce("total", F.lit(0)) + 0.5 * FEATURES))).alias("w"))
     row = table.agg(F.sort_array(F.collect_list(F.struct("domain", "docs", "w"))).alias("t"))
-    every = F.aggregate("t", F.lit(0).cast("long"), lambda a, x: a + x["docs"])
+    first, rest = F.get("t", F.lit(0)), F.slice("t", 2, F.greatest(F.size("t") - 1, F.lit(0)))
     return row.select(
         F.when(F.size("t") > 0, F.transform("t", lambda x: x["domain"])).otherwise(F.array(F.lit("all"))).alias("domains"),
-        F.when(F.size("t") > 0, F.transform("t", lambda x: F.log(x["docs"] / every))).otherwise(F.array(F.lit(0.0))).alias("priors"),
-        F.when(F.size("t") > 0, F.transform("t", lambda x: x["w"])).otherwise(F.array(F.array_repeat(F.lit(0.0), FEATURES))).alias("weights"))
+        F.transform(rest, lambda x: F.log(x["docs"] / first["docs"])).alias("priors"),
+        F.transform(rest, lambda x: F.zip_with(x["w"], first["w"], lambda a, b: a - b)).alias("weights"))
 
 
 def posteriors(docs: DataFrame, classifier: DataFrame) -> DataFrame:
     """``docs`` with tokens long and posterior array<double> (in the order of the classifier's domains)."""
     # scalar subqueries: one row, domains x FEATURES numbers
     model = {c: classifier.select(c).scalar() for c in ("priors", "weights")}
+    def total(w, buckets):
+        return F.aggregate(buckets, F.lit(0.0), lambda a, k: a + F.get(w, k))
     def likelihood(f):
-        scale = TEMPERATURE / F.greatest(F.size(f), F.lit(1))
-        return F.zip_with("priors", "weights", lambda p, w: p + scale * F.aggregate(f, F.lit(0.0), lambda a, k: a + F.get(w, k)))
+        scale = TEMPERATURE / F.greatest(F.size(f["words"]), F.lit(1))
+        # priors and weights are relative to the first domain, whose own are 0
+        return F.concat(F.array(F.lit(0.0)), F.zip_with(
+            "priors", "weights", lambda p, w: p + scale * total(w, f["words"]) + STYLE * total(w, f["marks"])))
     def softmax(z):
         return let(F.transform(z, lambda x: F.exp(x - F.array_max(z))),
                    lambda e: let(F.aggregate(e, F.lit(0.0), lambda a, x: a + x), lambda s: F.transform(e, lambda x: x / s)))
-    scored = let(_features(F.col("text")), lambda f: F.struct(
-        (F.size(f) / 2).cast("long").alias("tokens"), let(likelihood(f), softmax).alias("posterior")))
+    scored = let(_features(F.coalesce("text", F.lit(""))), lambda f: F.struct(
+        F.size(f["words"]).cast("long").alias("tokens"), let(likelihood(f), softmax).alias("posterior")))
     return (docs.withColumns(model).withColumn("_s", scored)
             .withColumns({"tokens": F.col("_s.tokens"), "posterior": F.col("_s.posterior")}).drop("priors", "weights", "_s"))
 
