@@ -20,6 +20,7 @@ of domains that the labels don't know are refused.
 from __future__ import annotations
 
 import math
+import warnings
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,7 +32,6 @@ FEATURES = 8192
 TEMPERATURE = 12.0
 MAX_TRAIN = 20_000
 STEPS = 24
-SNAP = 0.1
 STYLE = 2.0
 
 
@@ -111,8 +111,9 @@ def fit_rates(scored: DataFrame, targets: list[float], steps: int = STEPS, toler
     """Moves of the projected gradient.  ``scored``: tokens, posterior; read once per step, so give a stored table.
 
     Minimises sum_k ((expected_k - target_k)^2 / size_k) over rates >= 0; divided by the present domain
-    sizes the Hessian's largest eigenvalue is at most 1, so step 1 is safe."""
-    k = len(targets)
+    sizes the Hessian's largest eigenvalue is at most 1, so step 1 is safe.  Warns if the totals are still
+    further from the targets than ``tolerance`` (a share of all tokens) after ``steps``."""
+    k, wanted = len(targets), max(sum(targets), 1e-9)
     def totals(moves):
         r = _rate(F.col("posterior"), moves)
         row = scored.select("tokens", "posterior", r.alias("r")).agg(
@@ -120,11 +121,14 @@ def fit_rates(scored: DataFrame, targets: list[float], steps: int = STEPS, toler
         return [float(x or 0.0) for x in row]
     moves: list[list[float]] = []
     now = size = totals(moves)
-    for _ in range(steps):
-        if sum(abs(a - b) for a, b in zip(now, targets)) <= tolerance * max(sum(targets), 1e-9):
-            break
+    def off():
+        return sum(abs(a - b) for a, b in zip(now, targets)) / wanted
+    while off() > tolerance and len(moves) < steps:
         moves.append([(a - b) / max(s, 1.0) for a, b, s in zip(now, targets, size)])
         now = totals(moves)
+    if off() > tolerance:
+        warnings.warn(f"rates leave the totals {off():.4f} of all tokens off their targets after {len(moves)} steps (tolerance {tolerance})",
+                      stacklevel=2)
     return moves
 
 
@@ -134,8 +138,8 @@ def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], total_t
 
     ``weights``: share of tokens wanted per domain; domains left out get 0.  ``total_tokens``: wanted in all
     (default: as many as there are, or with ``keep`` so many that this domain keeps its expected tokens).
-    ``copies``: the rate if it is within ``SNAP`` of a whole number, else rounded up or down by a hash of
-    (doc_id, text), with the rate as its mean and the same in every run."""
+    ``copies``: the rate rounded up or down by a hash of (doc_id, text), with the rate as its mean and the same in
+    every run, so what is used meets the targets as the rates do."""
     classifier = cut(fit_classifier(docs, labelled, max_train), "mix-model")
     domains = classifier.select("domains").first()[0]
     if domains != ["all"] and set(weights) - set(domains):
@@ -152,6 +156,5 @@ def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], total_t
     moves = fit_rates(scored, [s * total_tokens for s in share])
     u = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) / float(1 << 20)
     rate = F.when(F.col("tokens") > 0, _rate(F.col("posterior"), moves)).otherwise(1.0)
-    whole = F.abs(F.col("rate") - F.round("rate")) <= SNAP
-    return scored.withColumn("rate", rate).withColumn("copies", F.when(whole, F.round("rate")).otherwise(
-        F.floor("rate") + (u < F.col("rate") - F.floor("rate")).cast("int")).cast("int"))
+    return scored.withColumn("rate", rate).withColumn(
+        "copies", (F.floor("rate") + (u < F.col("rate") - F.floor("rate")).cast("int")).cast("int"))

@@ -46,3 +46,21 @@ def test_odd_rows(spark, make_docs, odd_rows):
     assert M.mix(make_docs([]), some, {"a": 0.5, "b": 0.5}).count() == 0
     with pytest.raises(ValueError):
         M.mix(docs, some, {"c": 1.0})
+
+
+def test_copies_meet_targets(spark):
+    """Rates close to a whole number, and a domain that is wanted at a tenth of its size or less, also in what is used."""
+    rows = [(i, ("alpha beta gamma delta " if i % 2 else "uno dos tres cuatro ") * 5) for i in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, "b" if i % 2 else "a") for i in range(400)], "doc_id long, domain string")
+    for weights, total in (({"a": 0.5, "b": 0.5}, 80000 * 1.08), ({"a": 0.5, "b": 0.5}, 80000 * 0.92), ({"a": 0.96, "b": 0.04}, 80000)):
+        out = M.mix(docs, labels, weights, total_tokens=float(total)).collect()
+        for k, d in enumerate(("a", "b")):
+            used = sum(r.copies * r.tokens * r.posterior[k] for r in out)
+            assert abs(used - weights[d] * total) < 0.02 * total and used > 0.5 * weights[d] * total
+
+
+def test_unmet_targets_are_told(spark):
+    scored = spark.createDataFrame([(10, [1.0, 0.0])], "tokens long, posterior array<double>")
+    with pytest.warns(UserWarning, match="off their targets"):
+        M.fit_rates(scored, [5.0, 5.0], steps=3)
