@@ -14,8 +14,8 @@ variant and its place; a line that is another one plus a character has that line
 Groups of equal variants are aggregated to their earliest member, never paired; the pair of a line and
 its earliest neighbour is then verified with the edit distance itself.
 
-Defined cases: lines with fewer than ``MIN_CHARS`` characters are always kept (one edit of a short line
-says little), so are empty lines; a null or empty text stays as it is; null ids sort first; rows equal
+Defined cases: lines with fewer than ``MIN_CHARS`` characters have no neighbours (one edit of a short line
+says little); their exact repeats go from ``min_repeat`` characters on; empty lines are kept; a null or empty text stays as it is; null ids sort first; rows equal
 in doc_id and text are one document and share its result; an empty table gives no rows; other columns
 pass through.
 """
@@ -67,15 +67,16 @@ def _shared(rows: DataFrame) -> DataFrame:
     return rows.join(often, "key")
 
 
-def find_removed(docs: DataFrame, min_chars: int = MIN_CHARS) -> tuple[DataFrame, DataFrame]:
-    """(first, removed): ``first`` has the first occurrence (doc_id, _fp, no) of each line of ``min_chars``; ``removed``
-    those of them (same columns) that have an earlier neighbour."""
+def find_removed(docs: DataFrame, min_chars: int = MIN_CHARS, min_repeat: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(first, removed): ``first`` has the first occurrence (doc_id, _fp, no) of each line of ``min_repeat`` (default
+    ``min_chars``); ``removed`` those of them (same columns) of ``min_chars`` that have an earlier neighbour."""
     lines = (_keyed(docs.select("doc_id", "text")).select("doc_id", "_fp", F.posexplode(F.split("text", "\n", -1)).alias("no", "line"))
-             .where(F.length("line") >= min_chars).withColumn("length", F.length("line")))
+             .where(F.length("line") >= (min_chars if min_repeat is None else min_repeat)).withColumn("length", F.length("line")))
     place = F.struct("doc_id", "_fp", "no")
     # a line is known by a 128-bit fingerprint; its text is fetched again for the few that need it
+    keys = F.transform(_halves(F.col("line"), F.col("length")), lambda k: k["key"])
     first = cut(lines.select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line", "length").alias("h2"), place.alias("place"),
-                             F.transform(_halves(F.col("line"), F.col("length")), lambda k: k["key"]).alias("keys"))
+                             F.when(F.col("length") >= min_chars, keys).otherwise(F.array().cast("array<bigint>")).alias("keys"))
                 .groupBy("h1", "h2").agg(F.min("place").alias("place"), F.min("keys").alias("keys"))
                 .select("place", "keys", F.xxhash64("h1", "h2").alias("id")), "lines-first")
 
@@ -116,16 +117,20 @@ def find_removed(docs: DataFrame, min_chars: int = MIN_CHARS) -> tuple[DataFrame
     return first.select("place.*"), pairs.select("place.*").distinct()
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """``docs`` with ``text`` reduced to its kept lines, and n_lines, n_removed long."""
-    first, removed = find_removed(docs, min_chars)
+def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_repeat: int | None = None) -> DataFrame:
+    """``docs`` with ``text`` reduced to its kept lines, and n_lines, n_removed long.
+
+    ``min_chars``: least length of lines that are compared up to one edit; ``min_repeat``: of lines whose exact repeats
+    go (default ``min_chars``; the query and the pipeline take 1, every line that is not empty)."""
+    min_repeat = min_chars if min_repeat is None else min_repeat
+    first, removed = find_removed(docs, min_chars, min_repeat)
     keep = ["doc_id", "_fp", "no"]
     stays = first.alias("f").join(removed.alias("r"), F.expr("f.doc_id <=> r.doc_id and f._fp = r._fp and f.no = r.no"), "left_anti")
     stays = stays.select(*keep).groupBy(F.col("doc_id").alias("_id"), F.col("_fp").alias("_key")).agg(F.collect_set("no").alias("_stays"))
     keyed = _keyed(docs)
     joined = keyed.join(stays, keyed["doc_id"].eqNullSafe(stays["_id"]) & (keyed["_fp"] == stays["_key"]), "left")
     lines = F.split("text", "\n", -1)
-    left = F.filter(lines, lambda line, i: (F.length(line) < min_chars) | F.coalesce(F.array_contains("_stays", i), F.lit(False)))
+    left = F.filter(lines, lambda line, i: (F.length(line) < min_repeat) | F.coalesce(F.array_contains("_stays", i), F.lit(False)))
     return joined.withColumn("_left", left).withColumns({
         "n_lines": F.coalesce(F.size(F.when(F.col("text").isNotNull(), lines)), F.lit(0)).cast("long"),
         "n_removed": F.when(F.col("text").isNull(), 0).otherwise(F.size(lines) - F.size("_left")).cast("long"),

@@ -17,7 +17,7 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    return lines.dedup_lines(docs).select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("n_chars"),
+    return lines.dedup_lines(docs, min_repeat=1).select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("n_chars"),
                                           F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 

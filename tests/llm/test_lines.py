@@ -56,3 +56,17 @@ def test_equals_brute_force(spark, make_docs, odd_rows):
 
 def test_empty_table(make_docs):
     assert L.dedup_lines(make_docs([])).count() == 0
+
+
+def test_short_lines_are_removed_when_equal(spark, make_docs, tmp_path):
+    """The query and the pipeline keep the earliest of equal short lines; a short line one edit away stays."""
+    from corpus_pipeline import dedup_lines
+    from evalgrid.llm.queries import op2_lines
+    rows = [(i, f"line number {i} of its own and long enough {i * 7919}\n\nRead more\nx\nRead mor{i}") for i in range(1, 6)]
+    want = [rows[0][1]] + [f"line number {i} of its own and long enough {i * 7919}\n\nRead mor{i}" for i in range(2, 6)]
+    docs = spark.createDataFrame([(i, t, len(t)) for i, t in rows], "doc_id long, text string, n_chars long")
+    assert [r.text for r in dedup_lines(spark, docs, "").orderBy("doc_id").collect()] == want
+    assert [r.text for r in L.dedup_lines(make_docs(rows)).orderBy("doc_id").collect()] == [t for _, t in rows]
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    assert [(r.n_lines, r.n_removed, r.n_chars) for r in op2_lines(spark, str(tmp_path)).orderBy("doc_id").collect()] == [
+        (5, 0 if i == 0 else 2, len(t)) for i, t in enumerate(want)]
