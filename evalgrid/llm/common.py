@@ -40,14 +40,16 @@ def below(share: float, *cols: str) -> Column:
 
 
 class Memo(dict):
-    """A memo of ``fn`` that starts over when it holds ``limit`` entries, so a worker's memory is bounded."""
+    """A memo of ``fn`` that holds ``limit`` entries in each of two generations, so a worker's memory is bounded and what
+    is in use stays: when the newer is full it becomes the older, whose entries come back as they are asked for."""
 
     def __init__(self, fn: Callable, limit: int = 300_000):
         super().__init__()
-        self.fn, self.limit = fn, limit
+        self.fn, self.limit, self.older = fn, limit, {}
 
     def __missing__(self, key):
         if len(self) >= self.limit:
+            self.older = dict(self)
             self.clear()
-        value = self[key] = self.fn(key)
+        value = self[key] = self.older[key] if key in self.older else self.fn(key)
         return value

@@ -12,58 +12,14 @@ columns are ignored.  Texts of any length are taken whole.
 
 from __future__ import annotations
 
-from itertools import chain
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalgrid.llm.common import Memo
+from evalgrid.llm.tokens import TOKENIZER, WordEncoder, token_pieces  # noqa: F401
 
-TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
 SEQ_LEN = 4096
-# Punctuation that the vocabulary's splitter keeps together as one run after a word.
-TRAILING = ".,!?;:#$%&*"
-
-
-def _printable_bytes() -> dict[int, int]:
-    """The byte-level alphabet: printable Latin-1 bytes stand for themselves, the rest for 256, 257, ..."""
-    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    rest = [b for b in range(256) if b not in plain]
-    return {b: b for b in plain} | {b: 256 + i for i, b in enumerate(rest)}
-
-
-class WordEncoder:
-    """Ids of a text by its words.
-
-    The vocabulary's splitter never joins across a space or line feed, so a text's ids are the ids of
-    its words in order, and words repeat.  Plain words go straight to the merge model; any other word
-    takes the tokenizer's whole path.
-    """
-
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-        self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
-        self.alphabet = _printable_bytes()
-        self.memo = Memo(self._word)
-
-    def _letters(self, text: str) -> list[int]:
-        mapped = text if text.isascii() else text.encode().decode("latin-1").translate(self.alphabet)
-        return [t.id for t in self.model.tokenize(mapped)]
-
-    def _word(self, word: str) -> list[int]:
-        core = word.rstrip(TRAILING)
-        if core.isalpha() and max(core) < "Ā":
-            ids = self._letters(core.lower())
-            return ids + self._letters(word[len(core):]) if len(core) < len(word) else ids
-        return self.tokenizer.encode(word, add_special_tokens=False).ids
-
-    def encode(self, text: str) -> np.ndarray:
-        words = filter(None, text.replace("\n", " ").split(" "))
-        return np.fromiter(chain.from_iterable(map(self.memo.__getitem__, words)), dtype="<u4")
 
 
 def piece_lengths(n: int, seq_len: int = SEQ_LEN) -> list[int]:
@@ -72,7 +28,12 @@ def piece_lengths(n: int, seq_len: int = SEQ_LEN) -> list[int]:
     return [seq_len] * (n // seq_len) + [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1]
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
+def cut_documents(tokens: np.ndarray, seq_len: int) -> tuple[np.ndarray, np.ndarray]:
+    """``piece_lengths`` of many documents: the powers of two from ``seq_len`` down, and how often each comes."""
+    powers = seq_len >> np.arange(seq_len.bit_length())
+    times = (tokens[:, None] // powers) % 2
+    times[:, 0] = tokens // seq_len
+    return powers, times
 
 
 def pack(docs: DataFrame, tokenizer_path: str, seq_len: int = SEQ_LEN, end_id: int = END_ID) -> DataFrame:
@@ -80,34 +41,10 @@ def pack(docs: DataFrame, tokenizer_path: str, seq_len: int = SEQ_LEN, end_id: i
     sequence_id, offset, bucket (log2 of the length).  No shuffle: a piece is a sequence by itself."""
     if seq_len & (seq_len - 1):
         raise ValueError("seq_len must be a power of two")
-
-    def run(batches):
-        encoder = _ENCODERS.get(tokenizer_path) or _ENCODERS.setdefault(tokenizer_path, WordEncoder(tokenizer_path))
-        for batch in batches:
-            rows = {k: [] for k in ("doc_id", "start", "length", "ids", "doc_tokens")}
-            held = 0
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = np.append(encoder.encode(text.as_py() or ""), np.uint32(end_id)).astype("<u4")
-                start = 0
-                for n in piece_lengths(len(ids), seq_len):
-                    for k, v in zip(rows, (doc, start, n, ids[start:start + n].tobytes(), len(ids))):
-                        rows[k].append(v)
-                    start += n
-                held += start
-                if held > 4_000_000:  # ids; bounds what one output batch holds
-                    yield pa.RecordBatch.from_pydict(rows, schema=_PIECES)
-                    rows, held = {k: [] for k in rows}, 0
-            yield pa.RecordBatch.from_pydict(rows, schema=_PIECES)
-
-    pieces = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        run, "doc_id long, start long, length long, ids binary, doc_tokens long")
+    pieces = token_pieces(docs, tokenizer_path, end_id, lambda tokens: cut_documents(tokens, seq_len))
     return pieces.select(
-        "*", F.monotonically_increasing_id().alias("sequence_id"), F.lit(0).cast("long").alias("offset"),
-        F.log2("length").cast("int").alias("bucket"))
-
-
-_PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()),
-                     ("ids", pa.binary()), ("doc_tokens", pa.int64())])
+        "doc_id", "start", "length", "ids", "doc_tokens", F.monotonically_increasing_id().alias("sequence_id"),
+        F.lit(0).cast("long").alias("offset"), F.log2("length").cast("int").alias("bucket"))
 
 
 def write_buckets(pieces: DataFrame, path: str) -> None:

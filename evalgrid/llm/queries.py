@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalgrid.llm import extract_html, language, lines, mixing, nearcopies, neighbours, packing, quality, suffix_dedup, toxicity
+from evalgrid.llm import bestfit, extract_html, language, lines, mixing, nearcopies, neighbours, packing, quality, suffix_dedup, toxicity
 from evalgrid.llm.common import id_fold, read_table
+from evalgrid.llm.tokens import tokenizer_path
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,11 +61,6 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "tokens", "posterior", "rate", "copies")
 
 
-def tokenizer_path() -> str:
-    import public_tokenizers
-    return public_tokenizers.path(packing.TOKENIZER)
-
-
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(read_table(spark, sf_dir, "documents"), tokenizer_path())
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket")
@@ -78,5 +74,11 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_html.extract(read_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_lines, op3_toxicity, op4_language, op5_quality, op6_mixing, op7_near_copies, op8_packing, op9_neighbours, op10_html)}
+def op11_bestfit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = bestfit.pack(bestfit.tokenize(read_table(spark, sf_dir, "documents"), tokenizer_path()))
+    return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_lines, op3_toxicity, op4_language, op5_quality, op6_mixing, op7_near_copies, op8_packing,
+                                   op9_neighbours, op10_html, op11_bestfit)}
 ORACLE: dict[str, str] = {}
