@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalgrid.llm import bestfit, extract_html, language, lines, mixing, nearcopies, neighbours, packing, quality, suffix_dedup, toxicity
+from evalgrid.llm import bestfit, extract_html, language, lines, mixing, nearcopies, negatives, neighbours, packing, quality, suffix_dedup, toxicity, variants
 from evalgrid.llm.common import id_fold, read_table
 from evalgrid.llm.tokens import tokenizer_path
 
@@ -79,6 +79,36 @@ def op11_bestfit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = negatives.valid_rows(read_table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label")
+    rows = rows.withColumn("label", F.when(F.col("id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return negatives.hard_negatives(rows, F.col("id") % 50 == 0)
+
+
+_OP12_SQL = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: coalesce(NOT isfinite(x), true))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, r.vec_id, r.label = a.label AS same, CAST(list_inner_product(a.e, r.e) AS BIGINT) AS score
+  FROM v a JOIN v r ON a.vec_id % 50 = 0 AND r.vec_id <> a.vec_id),
+p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+n AS (
+  SELECT p.anchor_id, p.positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.vec_id) AS INTEGER) AS rank,
+    s.vec_id AS negative_id, p.positive_score, s.score AS negative_score
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same
+  WHERE 50 * p.positive_score <= 100 * s.score AND 100 * s.score <= 95 * p.positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3"""
+
+
+def op13_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variants(variants.vocabulary(read_table(spark, sf_dir, "documents")))
+
+
 QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_lines, op3_toxicity, op4_language, op5_quality, op6_mixing, op7_near_copies, op8_packing,
-                                   op9_neighbours, op10_html, op11_bestfit)}
-ORACLE: dict[str, str] = {}
+                                   op9_neighbours, op10_html, op11_bestfit, op12_negatives, op13_variants)}
+ORACLE: dict[str, str] = {"op12_negatives": _OP12_SQL}
