@@ -11,6 +11,11 @@ def safe_div(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
 
 
+def exact_sum(c: str) -> Column:
+    """Sum of scores between 0 and 1 that is the same in any order: decimals of 18 places, which 10^20 scores do not exceed."""
+    return F.sum(F.col(c).cast("decimal(28,18)"))
+
+
 def precision_recall_f1(tp: Column, fp: Column, fn: Column) -> tuple[Column, Column, Column]:
     """Micro P/R/F1 from summed counts; each is 0.0 when its denominator is zero."""
     p = safe_div(tp, tp + fp)

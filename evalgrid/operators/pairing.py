@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.window import Window
+
+from ..session import store
 
 CELL = ["model", "split", "shot"]
 KEY = ["split", "identifier"]
@@ -19,48 +24,82 @@ def resolve_identifier(items: DataFrame) -> DataFrame:
     )
 
 
-def unique_items(items: DataFrame) -> DataFrame:
-    """The first item (by ``ord``) of each (split, identifier), so that no response meets two items."""
-    it = resolve_identifier(items)
-    rest = [c for c in it.columns if c not in (*KEY, "id")]
-    first = it.groupBy(*KEY).agg(F.min_by(F.struct(*rest), "ord").alias("_first"))
-    return first.select(*KEY, *[F.col("_first." + c).alias(c) for c in rest])
-
-
-def unique_responses(responses: DataFrame) -> DataFrame:
-    """One response of each (cell, identifier): the smallest by its text.  A response landed twice counts once.
-
-    Dealt out by the pairing key first: that partitioning also serves this aggregate and the join."""
-    rest = [c for c in responses.columns if c not in (*CELL, "identifier")]
-    order = F.struct(F.col("text").isNull(), "text")
-    one = (responses.repartition(*KEY).groupBy(*CELL, "identifier")
-           .agg(F.min_by(F.struct(*rest), order).alias("_one")))
-    return one.select(*CELL, "identifier", *[F.col("_one." + c).alias(c) for c in rest])
+def repeated_keys(df: DataFrame, key: list[str]) -> DataFrame:
+    """The values of ``key`` that more than one row has.  Only the key's columns are read; a frequent key is counted map-side."""
+    return df.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
+
+
+def number_occurrences(df: DataFrame, key: list[str], order: list[str], out: str = "occurrence") -> DataFrame:
+    """``df`` with the number of each row among the rows of its ``key``, from 1, in the order of ``order`` and then of the row's content.
+
+    Rows are dealt by ranges of (key, order), so a key that holds a third of all rows spans many tasks.  Each task numbers
+    its sorted rows from 1 for each key; a key that goes on from earlier ranges starts after the rows it has there.  Those counts are
+    at most one for each range, which bounds what is broadcast.  The dealt rows are stored, since ranges are drawn from a sample."""
+    rest = [c for c in df.columns if c not in (*key, *order)]
+    by = [*key, *order, "_content"]
+    dealt = df.withColumn("_content", F.xxhash64(*rest) if rest else F.lit(0)).repartitionByRange(*by).sortWithinPartitions(*by)
+    schema = T.StructType([*df.schema.fields, T.StructField("_part", T.IntegerType()), T.StructField("_local", T.LongType())])
+
+    def run(batches):
+        last, n = None, 0
+        for batch in batches:
+            local = []
+            for value in zip(*(batch.column(c).to_pylist() for c in key)):
+                n = n + 1 if value == last else 1
+                last = value
+                local.append(n)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(local, pa.int64())], names=[*batch.schema.names, "_local"])
+
+    numbered = store(dealt.drop("_content").withColumn("_part", F.spark_partition_id()).mapInArrow(run, schema), "occurrences")
+    per_range = numbered.groupBy(*key, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(*key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    # only a range's first key can have begun earlier: at most one row for each range
+    begun = per_range.withColumn("_before", before).where("_before > 0").select(*[F.col(c).alias("_k_" + c) for c in key], F.col("_part").alias("_k_part"), "_before")
+    same = F.col("_part") == F.col("_k_part")
+    for c in key:
+        same = same & F.col(c).eqNullSafe(F.col("_k_" + c))
+    joined = numbered.join(F.broadcast(begun), same, "left")
+    return joined.select(*df.columns, (F.col("_local") + F.coalesce("_before", F.lit(0))).alias(out))
 
 
 def pair(items: DataFrame, responses: DataFrame) -> DataFrame:
     """Each response with its item, at most one of each, so that accuracy never exceeds 1.
 
     Responses that carry ``request_id`` pair with the item of that position in its split (``ord``), as
-    generators number their requests; otherwise the key is (split, identifier).  Repeated keys are settled
-    before the join and reported by :func:`coverage` as ``duplicate_key``."""
-    if "request_id" in responses.columns:
-        it = resolve_identifier(items).drop("id")
-        numbered = responses.withColumn("identifier", F.col("request_id").cast("string"))
-        resp = unique_responses(numbered).withColumn("ord", F.col("request_id")).drop("identifier", "request_id")
-        return resp.join(it, ["split", "ord"], "inner")
-    return unique_responses(responses).join(unique_items(items), KEY, "inner")
+    generators number their requests; the first of a repeated number counts.  Otherwise the key is (split, identifier), and the k-th
+    response of a cell to an identifier pairs with the k-th item that has it, as outputs listed in the order of their
+    items do: items in the order of ``ord``, responses in that of ``response_no`` if there is one (their place in the run's output), and
+    by their content if not.  Surplus ones stay without partner and are reported by :func:`coverage` as ``duplicate_key``.
+
+    Keys are looked up first, without texts, in one job when the plan is built; where none repeats, which is the rule, rows join
+    as they are and each text is shuffled once."""
+    by_number = "request_id" in responses.columns
+    it = resolve_identifier(items).drop("id")
+    it_key, resp_key = (["split", "ord"], [*CELL, "request_id"]) if by_number else (KEY, [*CELL, "identifier"])
+    twice = (repeated_keys(it.select(*it_key), it_key).select(F.lit("items").alias("side"))
+             .unionByName(repeated_keys(responses.select(*resp_key), resp_key).select(F.lit("responses").alias("side"))).distinct())
+    sides = {r.side for r in twice.collect()}
+    order = [c for c in ("response_no",) if c in responses.columns]
+    k = "occurrence"
+    if sides:
+        it = number_occurrences(it, it_key, [] if by_number else ["ord"], k) if "items" in sides else it.withColumn(k, F.lit(1).cast("bigint"))
+        responses = (number_occurrences(responses, resp_key, order, k) if "responses" in sides
+                     else responses.withColumn(k, F.lit(1).cast("bigint")))
+    on = [k] if sides else []
+    if by_number:
+        numbered = responses.withColumn("ord", F.col("request_id")).drop("identifier", "request_id", *order)
+        return numbered.join(it, ["split", "ord", *on]).drop(k)
+    return responses.drop(*order).join(it, [*KEY, *on]).drop(k)
 
 
 def coverage(items: DataFrame, responses: DataFrame, cells: DataFrame) -> DataFrame:
     """Items lacking a response in a run cell, responses that match no item, and keys that occur more than once.
 
     ``cells`` holds the expected (model, split, shot) cells.  They are gathered per split (models x shots of a
-    run, a few hundred at most) and exploded next to each item: items meet one row per split, by a broadcast
-    of at most one row per split of the catalog."""
+    run) and exploded next to each item: items meet one row per split; whether that row is broadcast is left to its measured size."""
     it = resolve_identifier(items).select(*KEY)
     per_split = cells.groupBy("split").agg(F.collect_set(F.struct("model", "shot")).alias("_cells"))
-    expected = (it.distinct().join(F.broadcast(per_split), "split").withColumn("_c", F.explode("_cells"))
+    expected = (it.distinct().join(per_split, "split").withColumn("_c", F.explode("_cells"))
                 .select("_c.model", "split", "_c.shot", "identifier"))
     resp = responses.select(*CELL, "identifier")
     missing = expected.join(resp, CELL + ["identifier"], "left_anti").withColumn("kind", F.lit("missing_response"))

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.metrics import f_measure, safe_div
+from ..functions.metrics import exact_sum, f_measure, safe_div
 from ..functions.stem import rouge_stem_tokens
 from ..functions.text import bleu_tokens, py_strip, rouge_tokens
 
@@ -244,9 +244,9 @@ def text_scores(pairs: DataFrame, key: list[str] | None = None, pred: str = "pre
 
 
 def text_summary(scores: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """M9: mean of per-pair scores per cell; 0.0 for an empty cell."""
+    """M9: mean of per-pair scores per cell, whatever order they come in; 0.0 for an empty cell."""
     by = by or CELL
     return scores.groupBy(*by).agg(
-        *[F.coalesce(F.avg(c), F.lit(0.0)).alias(c) for c in ("bleu", "rouge1", "rouge2", "rougeL")],
+        *[safe_div(exact_sum(c), F.count(c)).alias(c) for c in ("bleu", "rouge1", "rouge2", "rougeL")],
         F.count(F.lit(1)).alias("n_pairs"),
     )

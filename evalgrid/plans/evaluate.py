@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..catalog import TASKS, task_catalog, with_task_type
-from ..functions.metrics import precision_recall_f1, safe_div
+from ..functions.metrics import exact_sum, precision_recall_f1, safe_div
 from ..functions.text import py_strip
 from ..operators.extract import extract_text, with_parsed_tuples
 from ..operators.pairing import pair, token_count
@@ -21,6 +21,7 @@ from ..operators.score_exact import match_flag
 from ..operators.score_text import with_text_scores
 from ..operators.score_tuples import positional_counts, set_counts
 from ..schemas import METRICS, TUPLES
+from .report import split_sizes
 
 CELL = ["model", "split", "shot"]
 
@@ -111,32 +112,55 @@ def summarize(spark: SparkSession, extracted: DataFrame, items: DataFrame, datas
     return _summary(score_rows(extracted, stem=stem), items, dataset, prompt_root)
 
 
-def summarize_run(spark: SparkSession, items: DataFrame, responses: DataFrame, mode: str = "reference", dataset: str = "local",
-                  prompt_root: str = "./prompt", stem: bool = True) -> DataFrame:
-    """M11 from items and responses: open text is a branch of its own from the start, chosen by split, so that
+def score_run(spark: SparkSession, items: DataFrame, responses: DataFrame, mode: str = "reference", stem: bool = True) -> DataFrame:
+    """Per-row score parts from items and responses: open text is a branch of its own from the start, chosen by split, so that
     only its rows reach the Python step of the text scores and each Python step is in the plan once."""
     is_text = F.col("split").isin(TEXT_SPLITS)
     rest = score_rows(extract(spark, items, responses.where(~is_text), mode), text=False)
     text = with_text_scores(extract(spark, items.where(is_text), responses.where(is_text), mode, (False,)), F.col("pred_text"), F.col("answer"), stem=stem)
-    return _summary(rest.unionByName(text, allowMissingColumns=True), items, dataset, prompt_root)
+    return rest.unionByName(text, allowMissingColumns=True)
 
 
-def _summary(scored: DataFrame, items: DataFrame, dataset: str, prompt_root: str) -> DataFrame:
+def summarize_run(spark: SparkSession, items: DataFrame, responses: DataFrame, mode: str = "reference", dataset: str = "local",
+                  prompt_root: str = "./prompt", stem: bool = True) -> DataFrame:
+    """M11 from items and responses."""
+    return _summary(score_run(spark, items, responses, mode, stem), items, dataset, prompt_root)
+
+
+_WHOLE, _TEXT = ["correct", "tp", "fp", "fn", "n_text"], ["bleu", "rouge1", "rouge2", "rougeL"]
+COUNTS = ("model string, split string, shot string, task_type string, " + ", ".join(f"{c} long" for c in _WHOLE) + ", "
+          + ", ".join(f"{c}_sum decimal(38,18)" for c in _TEXT))
+
+
+def cell_counts(scored: DataFrame) -> DataFrame:
+    """The sums of each cell (``COUNTS``), all exact: whole numbers, and text scores (0 to 1) as decimals of 18 places, so that
+    no result depends on the order in which rows or partial sums meet."""
     # task_type depends on split only: grouping by it keeps the aggregate buffer fixed-width (hash aggregate)
-    agg = scored.groupBy(*CELL, "task_type").agg(
+    return scored.groupBy(*CELL, "task_type").agg(
         F.sum(F.col("match").cast("bigint")).alias("correct"),
-        F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum("fn").alias("fn"),
-        *[F.avg(c).alias(c) for c in ("bleu", "rouge1", "rouge2", "rougeL")],
-    )
-    n_items = items.groupBy("split").agg(F.count(F.lit(1)).alias("n_items"))
-    j = agg.join(n_items, "split", "left")
+        F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum("fn").alias("fn"), F.count("bleu").alias("n_text"),
+        *[exact_sum(c).cast("decimal(38,18)").alias(c + "_sum") for c in _TEXT])
+
+
+def merge_counts(counts: DataFrame) -> DataFrame:
+    """One row for each cell from any number of partial ones."""
+    return counts.groupBy(*CELL, "task_type").agg(
+        *[F.sum(c).alias(c) for c in _WHOLE], *[F.sum(c + "_sum").cast("decimal(38,18)").alias(c + "_sum") for c in _TEXT])
+
+
+def _summary(scored: DataFrame, items: DataFrame, dataset: str, prompt_root: str) -> DataFrame:
+    return summary_of_counts(cell_counts(scored), split_sizes(items), dataset, prompt_root)
+
+
+def summary_of_counts(counts: DataFrame, sizes: DataFrame, dataset: str, prompt_root: str) -> DataFrame:
+    j = counts.join(sizes, "split", "left")
     tt = F.col("task_type")
     closed, tuples, text = tt.isin("mc", "bool"), tt.isin(*OPEN_TUPLE_TYPES), tt == "open_text"
     prec, rec, f1 = precision_recall_f1(F.col("tp"), F.col("fp"), F.col("fn"))
     metric = {
         "accuracy": F.when(closed, safe_div(F.col("correct"), F.coalesce(F.col("n_items"), F.lit(0)))),
         "precision": F.when(tuples, prec), "recall": F.when(tuples, rec), "f1": F.when(tuples, f1),
-        **{c: F.when(text, F.coalesce(F.col(c), F.lit(0.0))) for c in ("bleu", "rouge1", "rouge2", "rougeL")},
+        **{c: F.when(text, safe_div(F.col(c + "_sum"), F.col("n_text"))) for c in _TEXT},
     }
     return j.select(
         F.lit(dataset).alias("dataset"), "split", "model",

@@ -112,9 +112,12 @@ def repeated_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def repeated_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """mc responses in which those to every fifth part landed twice."""
-    r = mc_responses(spark, sf_dir)
-    return r.unionByName(r.where("CAST(regexp_extract(identifier, '([0-9]+)', 1) AS BIGINT) % 5 = 0"))
+    """mc responses in their run's order; those to every fifth part come again later, every second one with another text."""
+    number = "CAST(regexp_extract(identifier, '([0-9]+)', 1) AS BIGINT)"
+    r = mc_responses(spark, sf_dir).withColumn("response_no", F.expr(number))
+    again = (r.where("response_no % 5 = 0").withColumn("text", F.expr("CASE WHEN response_no % 2 = 0 THEN 'Z' ELSE text END"))
+             .withColumn("response_no", F.expr("response_no + 1000000000")))
+    return r.unionByName(again)
 
 
 def numbered_responses(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -59,8 +59,10 @@ def repeated_items() -> str:
 
 
 def repeated_responses() -> str:
-    return f"""(SELECT * FROM {mc_responses()} UNION ALL
-    SELECT * FROM {mc_responses()} WHERE CAST(regexp_extract(identifier, '([0-9]+)', 1) AS BIGINT) % 5 = 0)"""
+    number = "CAST(regexp_extract(identifier, '([0-9]+)', 1) AS BIGINT)"
+    return f"""(SELECT model, split, shot, identifier, text, {number} AS response_no FROM {mc_responses()} UNION ALL
+    SELECT model, split, shot, identifier, CASE WHEN {number} % 2 = 0 THEN 'Z' ELSE text END, {number} + 1000000000
+    FROM {mc_responses()} WHERE {number} % 5 = 0)"""
 
 
 def numbered_responses() -> str:

@@ -16,6 +16,7 @@ from .. import catalog as cat
 from ..functions import text as tx
 from ..operators import extract as ex
 from ..operators import pairing as pr
+from ..operators import prompting as pm
 from ..operators import score_exact as se
 from ..schemas import METRICS as _METRICS
 from . import fixtures as fx
@@ -91,19 +92,24 @@ def s10_shot_label(spark, sf):
     return h.select("event_id", "path", tx.shot_label(F.col("path")).alias("shot_label"))
 
 
+@register("p11_timestamp", """
+SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') AS timestamp FROM events""")
+def p11_timestamp(spark, sf):
+    return fx.table(spark, sf, "events").select("event_id", tx.iso_timestamp(F.col("ts")).alias("timestamp"))
+
+
 # =============================================================== P1 config predicates
 
 @register("p1_config_check", f"""
-SELECT CASE WHEN max_batched_tokens <= 0 THEN 'max_batched_tokens must be positive'
-            WHEN max_tokens <= 0 THEN 'max_tokens must be positive'
-            WHEN temperature < 0 THEN 'temperature must be non-negative'
-            WHEN NOT (top_p >= 0 AND top_p <= 1) THEN 'top_p must be in [0, 1]'
+SELECT CASE WHEN max_batched_tokens <= 0 THEN {ofx.sql_str(pm.BAD_BATCHED_TOKENS)}
+            WHEN max_tokens <= 0 THEN {ofx.sql_str(pm.BAD_MAX_TOKENS)}
+            WHEN temperature < 0 THEN {ofx.sql_str(pm.BAD_TEMPERATURE)}
+            WHEN NOT (top_p >= 0 AND top_p <= 1) THEN {ofx.sql_str(pm.BAD_TOP_P)}
             ELSE 'ok' END AS reason, count(*) AS n
 FROM {ofx.run_configs()} GROUP BY 1""")
 def p1_config_check(spark, sf):
-    from ..operators.prompting import config_reject_reason
     c = fx.run_configs(spark, sf)
-    return c.groupBy(F.coalesce(config_reject_reason(c), F.lit("ok")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+    return c.groupBy(F.coalesce(pm.config_reject_reason(c), F.lit("ok")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
 # =============================================================== P2 question block, P4 task type
@@ -184,18 +190,31 @@ def j5_coverage(spark, sf):
     return pr.coverage(items, resp, cells)
 
 
+_OCCURRENCE_SQL = f"""(SELECT rs.model, rs.split, rs.shot, it.identifier, it.ord, {q.e1('rs.text')} AS pred_text, it.answer
+  FROM (SELECT *, row_number() OVER (PARTITION BY model, split, shot, identifier ORDER BY response_no) AS k FROM {ofx.repeated_responses()}) rs
+  JOIN (SELECT split, ord, coalesce(identifier, id, 'example_' || ord) AS identifier, answer,
+          row_number() OVER (PARTITION BY split, coalesce(identifier, id, 'example_' || ord) ORDER BY ord) AS k FROM {ofx.repeated_items()}) it
+    ON rs.split = it.split AND rs.identifier = it.identifier AND rs.k = it.k)"""
+
+
+@register("j1_occurrence", f"""
+SELECT model, split, shot, identifier, ord, pred_text, coalesce(pred_text = {q.strip('answer')}, false) AS match FROM {_OCCURRENCE_SQL}""")
+def j1_occurrence(spark, sf):
+    """Repeated identifiers: the k-th response to one meets the k-th item that has it."""
+    from .evaluate import extract
+    e = extract(spark, fx.repeated_items(spark, sf), fx.repeated_responses(spark, sf), families=(False,))
+    return e.select("model", "split", "shot", "identifier", "ord", "pred_text", "match")
+
+
 @register("j1_duplicates", f"""
-WITH it AS (SELECT split, identifier, arg_min(answer, ord) AS answer FROM
-              (SELECT split, ord, coalesce(identifier, id, 'example_' || ord) AS identifier, answer FROM {ofx.repeated_items()}) GROUP BY 1, 2),
-     rs AS (SELECT DISTINCT model, split, shot, identifier, text FROM {ofx.repeated_responses()}),
-     n AS (SELECT split, count(*) AS n_items FROM {ofx.repeated_items()} GROUP BY 1)
-SELECT rs.model, rs.split, rs.shot, CAST(sum(CASE WHEN coalesce({q.e1('rs.text')} = {q.strip('it.answer')}, false) THEN 1 ELSE 0 END) AS BIGINT) AS correct,
-  n.n_items FROM rs JOIN it ON rs.split = it.split AND rs.identifier = it.identifier JOIN n ON n.split = rs.split GROUP BY ALL""")
+WITH n AS (SELECT split, count(*) AS n_items FROM {ofx.repeated_items()} GROUP BY 1)
+SELECT p.model, p.split, p.shot, CAST(sum(CASE WHEN coalesce(p.pred_text = {q.strip('p.answer')}, false) THEN 1 ELSE 0 END) AS BIGINT) AS correct,
+  n.n_items FROM {_OCCURRENCE_SQL} p JOIN n ON n.split = p.split GROUP BY ALL""")
 def j1_duplicates(spark, sf):
-    """Repeated identifiers and responses that landed twice: one of each counts."""
+    """Accuracy where identifiers repeat: every item counts, and each of its responses meets its own item."""
     from .evaluate import extract
     items = fx.repeated_items(spark, sf)
-    a = se.accuracy(extract(spark, items, fx.repeated_responses(spark, sf)), items)
+    a = se.accuracy(extract(spark, items, fx.repeated_responses(spark, sf), families=(False,)), items)
     return a.select("model", "split", "shot", "correct", "n_items")
 
 
@@ -206,7 +225,7 @@ FROM {ofx.numbered_responses()} r JOIN {ofx.mc_items()} i ON r.split = i.split A
 def j1_request_order(spark, sf):
     """Responses that carry a request number instead of an identifier pair by place."""
     from .evaluate import extract
-    e = extract(spark, fx.mc_items(spark, sf), fx.numbered_responses(spark, sf))
+    e = extract(spark, fx.mc_items(spark, sf), fx.numbered_responses(spark, sf), families=(False,))
     return e.select("model", "split", "shot", "identifier", "ord", "match")
 
 
@@ -224,7 +243,7 @@ def _closed_extracted(spark, sf, mode="reference"):
     from .evaluate import extract
     items = fx.mc_items(spark, sf).unionByName(fx.bool_items(spark, sf))
     resp = fx.mc_responses(spark, sf).unionByName(fx.bool_responses(spark, sf))
-    return items, extract(spark, items, resp, mode)
+    return items, extract(spark, items, resp, mode, (False,))
 
 
 @register("m1_match", f"""
@@ -235,12 +254,16 @@ def m1_match(spark, sf):
     return e.select("model", "split", "shot", "identifier", "pred_text", "match")
 
 
-def _acc_sql() -> str:
+def _r6_sql(x: str) -> str:
+    return f"round({x}, 6)"
+
+
+def _acc_sql(rounded=_r6_sql) -> str:
     return f"""
 WITH s AS (SELECT model, split, shot, CAST(sum(CASE WHEN coalesce(pred_text = {q.strip('answer')}, false) THEN 1 ELSE 0 END) AS BIGINT) AS correct
            FROM {_CLOSED_PAIRED_SQL} GROUP BY 1, 2, 3),
      n AS (SELECT split, count(*) AS n_items FROM (SELECT split FROM {ofx.mc_items()} UNION ALL SELECT split FROM {ofx.bool_items()}) GROUP BY 1)
-SELECT s.model, s.split, s.shot, s.correct, n.n_items, round({q.safe_div('s.correct', 'n.n_items')}, 6) AS accuracy
+SELECT s.model, s.split, s.shot, s.correct, n.n_items, {rounded(q.safe_div('s.correct', 'n.n_items'))} AS accuracy
 FROM s JOIN n ON s.split = n.split"""
 
 
@@ -290,7 +313,7 @@ def e7_triple_arity(spark, sf):
 
 # =============================================================== M3 / M4 micro F1
 
-def _f1_sql(resp: str, items: str, arity3: bool, positional: bool) -> str:
+def _f1_sql(resp: str, items: str, arity3: bool, positional: bool, rounded=_r6_sql) -> str:
     def parse(x):
         c = q.cascade(q.strip(x))
         return f"list_filter({c}, lambda t: len(t) = 3)" if arity3 else c
@@ -308,8 +331,8 @@ c AS (SELECT model, split, shot, {counts} FROM pairs),
 s AS (SELECT model, split, shot, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(fn) AS BIGINT) AS fn
       FROM c GROUP BY 1, 2, 3),
 m AS (SELECT *, {q.safe_div('tp', 'tp + fp')} AS precision, {q.safe_div('tp', 'tp + fn')} AS recall FROM s)
-SELECT model, split, shot, tp, fp, fn, round(precision, 6) AS precision, round(recall, 6) AS recall,
-  round({q.f1('precision', 'recall')}, 6) AS f1 FROM m"""
+SELECT model, split, shot, tp, fp, fn, {rounded('precision')} AS precision, {rounded('recall')} AS recall,
+  {rounded(q.f1('precision', 'recall'))} AS f1 FROM m"""
 
 
 def _f1_out(df):
@@ -319,7 +342,7 @@ def _f1_out(df):
 
 def _open_extracted(spark, sf, items_fn, resp_fn, mode="reference"):
     from .evaluate import extract
-    return extract(spark, items_fn(spark, sf), resp_fn(spark, sf), mode)
+    return extract(spark, items_fn(spark, sf), resp_fn(spark, sf), mode, (True,))
 
 
 @register("m3_tuple_f1", _f1_sql(ofx.tuple_responses(), ofx.tuple_items(), arity3=False, positional=False))
@@ -465,14 +488,13 @@ def _text_pairs(spark, sf):
     return pairs.unionByName(_doc_pairs(spark, sf).select(pairs.columns))
 
 
-def _text_summary_sql() -> str:
+def _text_summary_sql(rounded=_r6_sql) -> str:
     pairs = f"(SELECT * FROM {ofx.conversation_pairs()} UNION ALL SELECT * FROM {_DOC_PAIRS_SQL})"
     return f"""WITH {_overlap_sql(pairs)},
 l AS (SELECT *, CASE WHEN identifier LIKE 'doc-%' THEN len(pr) ELSE {_lcs_sql('rr', 'pr')} END AS lcs FROM sc),
 s AS (SELECT model, split, shot, {_BLEU_SQL} AS bleu, {_rouge_n_sql(1)} AS rouge1, {_rouge_n_sql(2)} AS rouge2,
         {_rouge_l_sql()} AS rougeL FROM l)
-SELECT model, split, shot, round(coalesce(avg(bleu), 0.0), 6) AS bleu, round(coalesce(avg(rouge1), 0.0), 6) AS rouge1,
-  round(coalesce(avg(rouge2), 0.0), 6) AS rouge2, round(coalesce(avg(rougeL), 0.0), 6) AS rougeL, count(*) AS n_pairs
+SELECT model, split, shot, {", ".join(f"{rounded(f'coalesce(avg({c}), 0.0)')} AS {c}" for c in ("bleu", "rouge1", "rouge2", "rougeL"))}, count(*) AS n_pairs
 FROM s GROUP BY ALL"""
 
 
@@ -492,14 +514,14 @@ def _summary(spark, sf):
     return summarize_run(spark, fx.all_items(spark, sf), fx.all_responses(spark, sf), stem=False)  # SQL has no stemmer
 
 
-def _summary_sql() -> str:
+def _summary_sql(rounded=_r6_sql) -> str:
     parts = [
-        f"SELECT model, split, shot, accuracy FROM ({_acc_sql()})",
+        f"SELECT model, split, shot, accuracy FROM ({_acc_sql(rounded)})",
         f"SELECT model, split, shot, precision, recall, f1 FROM "
-        f"({_f1_sql(ofx.tuple_responses(), ofx.tuple_items(), arity3=False, positional=False)})",
+        f"({_f1_sql(ofx.tuple_responses(), ofx.tuple_items(), arity3=False, positional=False, rounded=rounded)})",
         f"SELECT model, split, shot, precision, recall, f1 FROM "
-        f"({_f1_sql(ofx.triple_responses(), ofx.triple_items(), arity3=True, positional=True)})",
-        f"SELECT model, split, shot, bleu, rouge1, rouge2, rougeL FROM ({_text_summary_sql()})",
+        f"({_f1_sql(ofx.triple_responses(), ofx.triple_items(), arity3=True, positional=True, rounded=rounded)})",
+        f"SELECT model, split, shot, bleu, rouge1, rouge2, rougeL FROM ({_text_summary_sql(rounded)})",
     ]
     union = " UNION ALL BY NAME ".join(f"({p})" for p in parts)
     return f"""(SELECT 'local' AS dataset, u.split, u.model, './prompt/bench_' || u.split || '/' || u.shot || '.txt' AS prompt_path,
@@ -519,10 +541,36 @@ _HEADLINE_SQL = f"""(SELECT s.model, s.split, s.shot, c.task_id, c.capability, c
   FROM {_summary_sql()} s LEFT JOIN {cat.catalog_values_sql()} c ON s.split = c.split)"""
 
 
+_GRID: dict[tuple[str, str], str] = {}
+
+
+def _stored_grid(spark, sf) -> str:
+    """The folder of stored sums of the whole grid, a run for each model; scored once in an application."""
+    from ..session import scratch_path
+    from .partials import add_run, write_sizes
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _GRID:
+        path = scratch_path(spark, "grid_sums")
+        items, responses = fx.all_items(spark, sf), fx.all_responses(spark, sf)
+        write_sizes(items, path)
+        add_run(spark, items, responses.where("model = 'org/model-0'"), path, "model-0", stem=False)
+        add_run(spark, items, responses.where("model <> 'org/model-0'"), path, "others", stem=False)
+        _GRID[key] = path
+    return _GRID[key]
+
+
+@register("m11_stored", f"SELECT * FROM {_summary_sql()}")
+def m11_stored(spark, sf):
+    """M11 from the stored sums of two runs."""
+    from .partials import stored_summary
+    s = stored_summary(spark, _stored_grid(spark, sf))
+    return s.select(*[r6(F.col(c)).alias(c) if c in _METRICS else F.col(c) for c in s.columns])
+
+
 def _heads(spark, sf):
-    """Headlines from the summary as reported (metrics rounded to 6 decimals, as in m11_summary)."""
+    """Headlines from the stored summary as reported (metrics rounded to 6 decimals, as in m11_summary)."""
     from .report import headline
-    return headline(spark, m11_summary(spark, sf))
+    return headline(spark, m11_stored(spark, sf))
 
 
 @register("rp1_headline", f"SELECT model, split, shot, task_id, capability, metric, round(headline, 6) AS headline FROM {_HEADLINE_SQL}")
@@ -733,41 +781,67 @@ def s6_detail(spark, sf):
         "n_pred_tuples", F.when(F.col("n_pred_tuples") >= 0, F.col("n_pred_tuples")))
 
 
+@register("o1_detail_order", f"""
+SELECT model, split, shot, count(*) AS n_rows, CAST(0 AS BIGINT) AS n_out_of_order FROM {_details_sql()}
+WHERE split IN ('1_1', '2_5', '3_5') GROUP BY ALL""")
+def o1_detail_order(spark, sf):
+    """The order of the written detail rows: how often a line's ``ord`` is below that of the line before it in its file."""
+    from pyspark.sql.window import Window
+
+    from ..session import scratch_path
+    from ..sources.sinks import read_details, write_details
+    from .evaluate import extract
+    some = F.col("split").isin("1_1", "2_5", "3_5")  # a choice, a boolean and a tuple task
+    e = extract(spark, fx.all_items(spark, sf).where(some), fx.all_responses(spark, sf).where(some))
+    path = scratch_path(spark, "o1_details")
+    write_details(e.select("identifier", "question", F.coalesce("options", F.lit("")).alias("options"), "response", "answer", "pred_text", "pred_tuples",
+                           "log_probability", "token_count", "match", "ord", "model", "split", "shot"), path)
+    # a file is read from its start in blocks; within a block ids grow line by line
+    lines = read_details(spark, path).select("model", "split", "shot", "ord", F.col("_metadata.file_path").alias("file"),
+                                             F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    before = F.lag("ord").over(Window.partitionBy("file").orderBy("block", "line"))  # files hold a bounded number of lines
+    return lines.withColumn("before", before).groupBy("model", "split", "shot").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.sum(F.when(F.col("before") > F.col("ord"), 1).otherwise(0)).cast("bigint").alias("n_out_of_order"))
+
+
 def _fmt4_sql(x: str) -> str:
     return f"CASE WHEN {x} IS NULL THEN NULL ELSE printf('%.4f', {x}) END"
 
 
-@register("s7_summary", f"""
-SELECT dataset, split, model, prompt_path, task_type, {", ".join(_fmt4_sql(m) + " AS " + m for m in _METRICS)}, CAST(2 AS BIGINT) AS n_appends
-FROM (SELECT dataset, split, model, prompt_path, task_type, {", ".join(m for m in _METRICS)} FROM {_summary_sql()})""")
+def _summary_text_sql(n_appends: int) -> str:
+    """The summary as its file has it: four decimals of the unrounded metrics."""
+    return f"""SELECT dataset, split, model, prompt_path, task_type, {", ".join(_fmt4_sql(m) + " AS " + m for m in _METRICS)},
+  CAST({n_appends} AS BIGINT) AS n_appends FROM {_summary_sql(str)}"""
+
+
+_SUMMARY_KEYS = ["dataset", "split", "model", "prompt_path", "task_type", *_METRICS]
+
+
+@register("s7_summary", _summary_text_sql(2))
 def s7_summary(spark, sf):
-    from ..session import scratch_path
+    from ..session import scratch_path, store
     from ..sources.sinks import append_summary, read_summary
-    s = _summary(spark, sf).cache()
+    s = store(_summary(spark, sf), "s7_rows")  # read by both appends
     path = scratch_path(spark, "s7_summary")
     append_summary(s, path)
     append_summary(s, path)
-    back = read_summary(spark, path)
-    cols = ["dataset", "split", "model", "prompt_path", "task_type", *_METRICS]
-    out = back.groupBy(*cols).agg(F.count(F.lit(1)).alias("n_appends"))
-    return out
+    return read_summary(spark, path).groupBy(*_SUMMARY_KEYS).agg(F.count(F.lit(1)).alias("n_appends"))
 
 
 # =============================================================== streaming S7
 
-@register("s7_summary_stream", f"""
-SELECT dataset, split, model, prompt_path, task_type, {", ".join(_fmt4_sql(m) + " AS " + m for m in _METRICS)}, CAST(1 AS BIGINT) AS n_appends
-FROM (SELECT dataset, split, model, prompt_path, task_type, {", ".join(m for m in _METRICS)} FROM {_summary_sql()})""")
+@register("s7_summary_stream", _summary_text_sql(1))
 def s7_summary_stream(spark, sf):
-    """Responses land as one parquet drop; the stream scores them and appends the summary once."""
+    """Responses land as three parquet drops, each a part of every cell; the stream scores them one by one and the summary is one row a cell."""
     from ..session import scratch_path
-    from ..sources.sinks import read_summary
+    from ..sources.sinks import append_summary, read_summary
     from ..streaming.incremental import score_stream
-    drop, out, ckpt = (scratch_path(spark, n) for n in ("stream_in", "stream_summary", "stream_ckpt"))
-    fx.all_responses(spark, sf).write.parquet(drop)
-    score_stream(spark, fx.all_items(spark, sf), drop, out, ckpt, stem=False)
-    cols = ["dataset", "split", "model", "prompt_path", "task_type", *_METRICS]
-    return read_summary(spark, out).groupBy(*cols).agg(F.count(F.lit(1)).alias("n_appends"))
+    from .partials import stored_summary
+    drop, sums, out, ckpt = (scratch_path(spark, n) for n in ("stream_in", "stream_sums", "stream_summary", "stream_ckpt"))
+    fx.all_responses(spark, sf).repartition(3).write.parquet(drop)
+    score_stream(spark, fx.all_items(spark, sf), drop, sums, ckpt, stem=False, files_per_batch=1)
+    append_summary(stored_summary(spark, sums), out)
+    return read_summary(spark, out).groupBy(*_SUMMARY_KEYS).agg(F.count(F.lit(1)).alias("n_appends"))
 
 
 @register("m9_text_summary_stem")  # stemmed ROUGE: no SQL stemmer; unit-tested on the paper's examples
