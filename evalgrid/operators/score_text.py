@@ -18,6 +18,7 @@ thousands of tokens are fine.  Only the features of the wanted metrics are compu
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.metrics import exact_sum, f_measure, safe_div
-from ..functions.stem import rouge_stem_tokens
+from ..functions.stem import rouge_stem_tokens, stem_words
 from ..functions.text import bleu_tokens, py_strip, rouge_tokens
 
 CELL = ["model", "split", "shot"]
@@ -185,15 +186,18 @@ def overlap_features(tok: DataFrame, key: list[str]) -> DataFrame:
     return j.na.fill(0, [c for c in counts.columns if c.endswith("_clip")])
 
 
-def with_text_scores(df: DataFrame, pred: Column, ref: Column, stem: bool = False, metrics: list[str] | None = None) -> DataFrame:
-    """Row-level M5-M8: add the wanted ``metrics`` (default all; ``rougeL`` brings ``lcs``) to ``df`` in one Arrow step."""
+def with_text_scores(df: DataFrame, pred: Column, ref: Column, stem: bool = False, metrics: list[str] | None = None,
+                     tokens: Callable[[Column], Column] = bleu_tokens) -> DataFrame:
+    """Row-level M5-M8: add the wanted ``metrics`` (default all; ``rougeL`` brings ``lcs``) to ``df`` in one Arrow step.
+
+    ``tokens``: BLEU's tokeniser, e.g. ``functions.treebank.treebank_tokens`` with its learned abbreviations."""
     wanted = metrics or METRICS
     features = [f for m in wanted for f in NEEDS[m]]
     empty = F.array().cast("array<string>")
     p, r = py_strip(pred), py_strip(ref)
     bleu, rouge = "bleu" in wanted, any(m != "bleu" for m in wanted)
     tok = {
-        "pred_bt": bleu_tokens(p) if bleu else empty, "ref_bt": bleu_tokens(r) if bleu else empty,
+        "pred_bt": tokens(p) if bleu else empty, "ref_bt": tokens(r) if bleu else empty,
         "pred_rt": rouge_tokens(p) if rouge else empty, "ref_rt": rouge_tokens(r) if rouge else empty,
     }
     with_tok = df.select("*", *[F.coalesce(c, empty).alias("_" + n) for n, c in tok.items()])
@@ -226,16 +230,18 @@ def _score_columns(tok: dict, clip: dict, wanted: list[str]) -> dict:
 
 
 def text_scores(pairs: DataFrame, key: list[str] | None = None, pred: str = "pred", ref: str = "ref",
-                impl: str = "arrow", stem: bool = False, metrics: list[str] | None = None) -> DataFrame:
+                impl: str = "arrow", stem: bool = False, metrics: list[str] | None = None,
+                tokens: Callable[[Column], Column] = bleu_tokens) -> DataFrame:
     """Per pair: the wanted ``metrics`` (default bleu, rouge1, rouge2, rougeL with the LCS length).
 
     impl: "arrow" (row-local UDF) or "native" (explode + groupBy, LCS by UDF; all metrics, unstemmed: the
-    second derivation that tests compare).  stem: Porter-stem ROUGE tokens longer than 3 characters.
+    second derivation that tests compare).  stem: Porter-stem ROUGE tokens longer than 3 characters.  tokens: as in
+    ``with_text_scores``.
     """
     key = key or PAIR_KEY
     plain = pairs.select(*key, F.col(pred).alias("pred"), F.col(ref).alias("ref"))
     if impl == "arrow" or stem:
-        return with_text_scores(plain, F.col("pred"), F.col("ref"), stem, metrics).drop("pred", "ref")
+        return with_text_scores(plain, F.col("pred"), F.col("ref"), stem, metrics, tokens).drop("pred", "ref")
     base = tokenize_pairs(plain.select(*key, py_strip(F.col("pred")).alias("pred"), py_strip(F.col("ref")).alias("ref")))
     j = overlap_features(base, key)
     tok = {n: F.col(n) for n in ("pred_bt", "ref_bt", "pred_rt", "ref_rt")}
@@ -250,3 +256,10 @@ def text_summary(scores: DataFrame, by: list[str] | None = None) -> DataFrame:
         *[safe_div(exact_sum(c), F.count(c)).alias(c) for c in ("bleu", "rouge1", "rouge2", "rougeL")],
         F.count(F.lit(1)).alias("n_pairs"),
     )
+
+
+def stem_dictionary(texts: DataFrame, column: str = "text") -> DataFrame:
+    """word, stem of every distinct ROUGE token longer than 3 characters: the vocabulary is deduplicated first, so each word is stemmed
+    once, by SQL expressions alone.  For joins and reports; the scores stem inside their own step, by the same rules."""
+    words = texts.select(F.explode(F.array_distinct(rouge_tokens(F.col(column)))).alias("word")).where(F.length("word") > 3).distinct()
+    return stem_words(words)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..catalog import TASKS, task_catalog, with_task_type
 from ..functions.metrics import exact_sum, precision_recall_f1, safe_div
 from ..functions.text import py_strip
-from ..operators.extract import extract_text, with_parsed_tuples
+from ..operators.extract import extract_text, listed_names, with_parsed_tuples
 from ..operators.pairing import pair, token_count
 from ..operators.score_exact import match_flag
 from ..operators.score_text import with_text_scores
@@ -53,13 +53,15 @@ def extract(spark: SparkSession, items: DataFrame, responses: DataFrame, mode: s
         side = is_tuple if tuples else (~is_tuple | F.col("split").isNull())
         it = with_task_type(items.where(side), task_catalog(spark))
         if tuples:
-            it = with_parsed_tuples(it, F.col("answer"), "_ref_parsed", mode)
+            names = F.col("_names") if mode == "corrected" else None
+            it = it.withColumn("_names", listed_names(F.col("question"))) if mode == "corrected" else it
+            it = with_parsed_tuples(it, F.col("answer"), "_ref_parsed", mode, names)
             it = it.withColumn("ref_tuples", _by_type(F.col("_ref_parsed"), F.col("task_type"))).drop("_ref_parsed")
         df = pair(it, responses.where(side)).withColumn("response", py_strip(F.coalesce(F.col("text"), F.lit(""))))
         tt = F.col("task_type")
         none = F.lit(None).cast(TUPLES)
         if tuples:
-            df = with_parsed_tuples(df, F.col("response"), "_pred_parsed", mode)
+            df = with_parsed_tuples(df, F.col("response"), "_pred_parsed", mode, names)
         branches.append(df.select(
             *CELL, "identifier", "ord", "task_type", "question", "options", "answer", "response",
             extract_text(F.col("response"), tt, mode, F.col("options")).alias("pred_text"),

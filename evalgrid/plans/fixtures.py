@@ -212,6 +212,39 @@ def triple_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_RELATION = ("CASE l_linenumber % 3 WHEN 0 THEN 'contains' WHEN 1 THEN 'contains, in part' ELSE 'contains, in part, late' END")
+_LOT = "CASE WHEN l_suppkey % 2 = 0 THEN concat('part_', l_partkey) ELSE concat('part_', l_partkey, ', lot ', l_suppkey) END"
+
+
+def _order_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per order with its lines' triples, whose relations and parts may hold commas."""
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
+    named = li.selectExpr("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", f"{_LOT} AS lot",
+                          f"concat('(order_', l_orderkey, ', ', {_RELATION}, ', ', {_LOT}, ')') AS line")
+    return named.groupBy("l_orderkey").agg(
+        F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "lot", "line"))).alias("lines"))
+
+
+def named_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Triple tasks whose question lists the names to use, one a line."""
+    return _order_names(spark, sf_dir).selectExpr(
+        "concat('3_', 2 + l_orderkey % 3) AS split", "CAST(l_orderkey AS BIGINT) AS ord", "concat('named-', l_orderkey) AS identifier",
+        "CAST(NULL AS STRING) AS id",
+        "concat('List the parts of the order.\\nClasses:\\n- order_', l_orderkey, '\\n- ', array_join(transform(lines, x -> x.lot), '\\n- '),"
+        " '\\nObject Properties:\\n- contains\\n- contains, in part\\n- contains, in part, late') AS question",
+        "CAST(NULL AS STRING) AS options", "array_join(transform(lines, x -> x.line), '\\n') AS answer")
+
+
+def named_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``triple_responses``, over the named lines."""
+    kept = "transform(filter(lines, x -> (x.l_partkey + m + s) % 5 <> 0), x -> x.line)"
+    text = (f"CASE (l_orderkey + m + s) % 3 WHEN 0 THEN array_join({kept}, '\\n') "
+            f"WHEN 1 THEN concat('Triples: ', array_join({kept}, ' '), '.') ELSE concat('[', array_join({kept}, ', '), ']') END")
+    return _models_shots(_order_names(spark, sf_dir)).selectExpr(
+        "model", "concat('3_', 2 + l_orderkey % 3) AS split", "shot", "concat('named-', l_orderkey) AS identifier", f"{text} AS text",
+        "CAST(NULL AS DOUBLE) AS cumulative_logprob", "CAST(NULL AS array<int>) AS token_ids")
+
+
 # ------------------------------------------------------------------ tuples (supplier by nation)
 
 _PAIR = "concat('(''', s_name, ''', ''', n_name, ''')')"

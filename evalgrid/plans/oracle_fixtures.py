@@ -116,6 +116,28 @@ def triple_responses() -> str:
   FROM lineitem {GRID} GROUP BY l_orderkey, m, s)"""
 
 
+LOT = "CASE WHEN l_suppkey % 2 = 0 THEN 'part_' || l_partkey ELSE 'part_' || l_partkey || ', lot ' || l_suppkey END"
+NAMED_LINE = ("'(order_' || l_orderkey || ', ' || CASE l_linenumber % 3 WHEN 0 THEN 'contains' WHEN 1 THEN 'contains, in part' "
+              f"ELSE 'contains, in part, late' END || ', ' || {LOT} || ')'")
+
+
+def named_items() -> str:
+    """With the list of listed names."""
+    return f"""(SELECT '3_' || (2 + l_orderkey % 3) AS split, CAST(l_orderkey AS BIGINT) AS ord, 'named-' || l_orderkey AS identifier,
+    list_distinct(list({LOT}) || ['order_' || l_orderkey, 'contains', 'contains, in part', 'contains, in part, late']) AS names,
+    string_agg({NAMED_LINE}, {NL} ORDER BY l_linenumber, l_partkey, l_suppkey) AS answer
+  FROM lineitem GROUP BY l_orderkey)"""
+
+
+def named_responses() -> str:
+    def agg(sep):
+        return f"coalesce(string_agg({NAMED_LINE}, {sep} ORDER BY l_linenumber, l_partkey, l_suppkey) FILTER (WHERE (l_partkey + m + s) % 5 <> 0), '')"
+    return f"""(SELECT 'org/model-' || m AS model, '3_' || (2 + l_orderkey % 3) AS split, {SHOTS_LIST}[s + 1] AS shot,
+    'named-' || l_orderkey AS identifier,
+    CASE (l_orderkey + m + s) % 3 WHEN 0 THEN {agg(NL)} WHEN 1 THEN 'Triples: ' || {agg("' '")} || '.' ELSE '[' || {agg("', '")} || ']' END AS text
+  FROM lineitem {GRID} GROUP BY l_orderkey, m, s)"""
+
+
 PAIR = "'(''' || s_name || ''', ''' || n_name || ''')'"
 
 

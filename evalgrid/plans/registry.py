@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from .. import catalog as cat
 from ..functions import text as tx
+from ..functions import treebank as tb
+from ..functions.stem import last_choice, letter_kinds, stem_steps
 from ..operators import extract as ex
 from ..operators import pairing as pr
 from ..operators import prompting as pm
@@ -367,6 +369,27 @@ def q7_triple_set_f1(spark, sf):
     return _f1_out(tuple_f1(e))
 
 
+def _vocabulary_sql() -> str:
+    # names as alternatives of one pattern, the longest first; each match ends at a comma
+    longest = "list_transform(list_sort(list_transform(i.names, lambda n: {'l': -length(n), 'n': n})), lambda x: regexp_escape(x.n))"
+
+    def triples(text):
+        spans = f"regexp_extract_all(translate({text}, '[{{]}}', '(())'), '\\(([^()]*)\\)', 1)"
+        return f"list_filter(list_transform({spans}, lambda sp: regexp_extract_all(sp || ',', pat, 1)), lambda t: len(t) = 3)"
+    return f"""WITH j AS (
+  SELECT r.model, r.split, r.shot, i.identifier, r.text, i.answer, '\\s*(' || array_to_string({longest}, '|') || '|[^,]*?)\\s*,' AS pat
+  FROM {ofx.named_responses()} r JOIN {ofx.named_items()} i ON r.split = i.split AND r.identifier = i.identifier)
+SELECT model, split, shot, identifier, {q.render(triples('text'))} AS tuples, {q.render(triples('answer'))} AS gold FROM j"""
+
+
+@register("q5_vocabulary_match", _vocabulary_sql())
+def q5_vocabulary_match(spark, sf):
+    """Q5 corrected: names that the question lists stay whole although they hold commas."""
+    e = _open_extracted(spark, sf, fx.named_items, fx.named_responses, "corrected")
+    return e.select("model", "split", "shot", "identifier", ex.render_tuples(F.col("pred_tuples")).alias("tuples"),
+                    ex.render_tuples(F.col("ref_tuples")).alias("gold"))
+
+
 # =============================================================== M5-M9 text metrics
 
 def _doc_pairs(spark, sf):
@@ -382,7 +405,26 @@ _ROUGE_PAT = "'[a-z0-9]+'"
 _KEY = "model, split, shot, identifier"
 
 
-def _overlap_sql(pairs: str, families=(("b", 4), ("r", 2))) -> str:
+def _stem_ctes(words: str) -> str:
+    """CTEs ending in ``st`` (word, stem) for a subquery of distinct words."""
+    steps = stem_steps()
+    chain = [f"st0 AS (SELECT word, word AS w, {letter_kinds('word')} AS p FROM {words})"]
+    chain += [f"st{i} AS (SELECT word, {w} AS w, {p} AS p FROM st{i - 1})" for i, (w, p) in enumerate(steps, 1)]
+    return ", ".join(chain) + f", st AS (SELECT word, {last_choice()} AS stem FROM st{len(steps)})"
+
+
+def _stemmed_tokens_sql() -> str:
+    """CTEs from ``plain_tok`` to ``tok``: ROUGE tokens of more than three letters replaced by their stems, each distinct word stemmed once."""
+    sides = " UNION ALL ".join(f"SELECT {_KEY}, '{c}' AS side, unnest({c}) AS t, generate_subscripts({c}, 1) AS pos FROM plain_tok" for c in ("pr", "rr"))
+    return f"""ex AS ({sides}),
+{_stem_ctes("(SELECT DISTINCT t AS word FROM ex WHERE length(t) > 3)")},
+lists AS (SELECT {_KEY}, side, list(coalesce(stem, t) ORDER BY pos) AS ts FROM ex LEFT JOIN st ON t = word GROUP BY ALL),
+tok AS (SELECT t.* REPLACE (coalesce(p.ts, CAST([] AS VARCHAR[])) AS pr, coalesce(r.ts, CAST([] AS VARCHAR[])) AS rr) FROM plain_tok t
+  LEFT JOIN (SELECT * FROM lists WHERE side = 'pr') p USING ({_KEY}) LEFT JOIN (SELECT * FROM lists WHERE side = 'rr') r USING ({_KEY})),
+"""
+
+
+def _overlap_sql(pairs: str, families=(("b", 4), ("r", 2)), stem: bool = False) -> str:
     """CTE chain ending in ``sc``: both tokenisations of each pair plus clipped overlap counts
     b1..b4 (BLEU tokens) and r1..r2 (ROUGE tokens); families not requested count 0.
 
@@ -403,11 +445,11 @@ def _overlap_sql(pairs: str, families=(("b", 4), ("r", 2))) -> str:
         for n in range(1, top + 1):
             sel.append(f"coalesce(sum(least(cp, cr)) FILTER (WHERE fam = '{fam}' AND n = {n}), 0) AS {fam}{n}")
     outs = ", ".join(f"coalesce({c}, 0) AS {c}" for c in ("b1", "b2", "b3", "b4", "r1", "r2"))
-    return f"""tok AS (
+    return f"""{"plain_tok" if stem else "tok"} AS (
   SELECT {_KEY}, regexp_extract_all(lower(pred), {ofx.BLEU_PAT}) AS pb, regexp_extract_all(lower(ref), {ofx.BLEU_PAT}) AS rb,
     regexp_extract_all(lower(pred), {_ROUGE_PAT}) AS pr, regexp_extract_all(lower(ref), {_ROUGE_PAT}) AS rr
   FROM (SELECT {_KEY}, {q.strip('pred')} AS pred, {q.strip('ref')} AS ref FROM {pairs})),
-u AS ({" UNION ALL ".join(units)}),
+{_stemmed_tokens_sql() if stem else ""}u AS ({" UNION ALL ".join(units)}),
 gr AS ({" UNION ALL ".join(grams)}),
 pg AS (SELECT {_KEY}, fam, n, g, count(*) FILTER (WHERE side = 'p') AS cp, count(*) FILTER (WHERE side = 'r') AS cr
        FROM gr WHERE g IS NOT NULL GROUP BY ALL),
@@ -488,9 +530,9 @@ def _text_pairs(spark, sf):
     return pairs.unionByName(_doc_pairs(spark, sf).select(pairs.columns))
 
 
-def _text_summary_sql(rounded=_r6_sql) -> str:
+def _text_summary_sql(rounded=_r6_sql, stem: bool = False) -> str:
     pairs = f"(SELECT * FROM {ofx.conversation_pairs()} UNION ALL SELECT * FROM {_DOC_PAIRS_SQL})"
-    return f"""WITH {_overlap_sql(pairs)},
+    return f"""WITH {_overlap_sql(pairs, stem=stem)},
 l AS (SELECT *, CASE WHEN identifier LIKE 'doc-%' THEN len(pr) ELSE {_lcs_sql('rr', 'pr')} END AS lcs FROM sc),
 s AS (SELECT model, split, shot, {_BLEU_SQL} AS bleu, {_rouge_n_sql(1)} AS rouge1, {_rouge_n_sql(2)} AS rouge2,
         {_rouge_l_sql()} AS rougeL FROM l)
@@ -505,6 +547,85 @@ def m9_text_summary(spark, sf):
     return s.select("model", "split", "shot", *[r6(F.col(c)).alias(c) for c in ("bleu", "rouge1", "rouge2", "rougeL")], "n_pairs")
 
 
+@register("m6_stem_dictionary", f"""
+WITH {_stem_ctes(f"(SELECT DISTINCT word FROM (SELECT unnest(regexp_extract_all(lower(text), {_ROUGE_PAT})) AS word FROM (SELECT text FROM documents UNION ALL SELECT text FROM conversations)) WHERE length(word) > 3)")}
+SELECT word, stem FROM st""")
+def m6_stem_dictionary(spark, sf):
+    """The stems of the whole vocabulary of documents and conversations."""
+    from ..operators.score_text import stem_dictionary
+    texts = fx.table(spark, sf, "documents").select("text").unionByName(fx.table(spark, sf, "conversations").select("text"))
+    return stem_dictionary(texts)
+
+
+_TREEBANK_WORDS = lambda t: f"regexp_split_to_array({q.strip(f'lower({t})')}, {ofx.sql_str(tb.SPACES)})"
+
+
+def _abbreviation_ctes(texts: str) -> str:
+    """CTEs ending in ``abbr`` (word), learned from the ``text`` column of a subquery."""
+    return f"""ty AS (SELECT CASE WHEN e THEN left(w, length(w) - 1) ELSE w END AS word, e FROM (
+  SELECT w, right(w, 1) = '.' AND right(w, 2) <> '..' AS e FROM (
+    SELECT regexp_replace(w, {ofx.sql_str(tb.AROUND_PATTERN)}, '', 'g') AS w FROM (SELECT unnest({_TREEBANK_WORDS('text')}) AS w FROM {texts})) WHERE w <> '')),
+ct AS (SELECT word, count(*) FILTER (WHERE e) AS a, count(*) FILTER (WHERE NOT e) AS b FROM ty GROUP BY word),
+sh AS (SELECT sum(a) / sum(a + b) AS share FROM ct),
+ab AS (SELECT word, a, b, share, length(word) - length(replace(word, '.', '')) AS inn FROM ct, sh WHERE a > 0 AND share < 1 AND regexp_matches(word, '\\p{{L}}')),
+abbr AS (SELECT word FROM ab WHERE -2 * (a * (ln(share) - ln({tb.ABBREVIATION_PERIOD})) + b * (ln(1 - share) - ln(1 - {tb.ABBREVIATION_PERIOD})))
+  * exp(-(length(word) - inn)) * (inn + 1) * pow(length(word) - inn, -b) >= {tb.ABBREVIATION_SCORE}),
+known AS (SELECT coalesce(list(word), CAST([] AS VARCHAR[])) AS known FROM abbr)"""
+
+
+def _treebank_sql(text: str) -> str:
+    """The token list of a column beside ``known``."""
+    core = f"regexp_replace(w, {ofx.sql_str(tb.CLOSERS_PATTERN)}, '')"
+    opened = ofx.sql_str(r"^[(\"'\[{<«“‘„]+|\.$")
+    marked = (f"w || CASE WHEN right({core}, 1) IN ('?', '!') OR (right({core}, 1) = '.' AND right({core}, 2) <> '..' "
+              f"AND NOT list_contains(known, regexp_replace({core}, {opened}, '', 'g'))) THEN chr(10) ELSE ' ' END")
+    rules = "trim(s)"
+    for pattern, new in tb.RULES:
+        rules = f"regexp_replace({rules}, {ofx.sql_str(pattern)}, {ofx.sql_str(new)}, 'g')"
+    parts = f"list_filter(string_split(array_to_string(list_transform({_TREEBANK_WORDS(text)}, lambda w: {marked}), ''), chr(10)), lambda s: trim(s) <> '')"
+    return f"list_filter(flatten(list_transform({parts}, lambda s: regexp_split_to_array(trim({rules}), ' +'))), lambda t: t <> '')"
+
+
+_ALL_TEXTS_SQL = ("(SELECT 'doc-' || doc_id AS key, text FROM documents UNION ALL "
+                  "SELECT 'conv-' || conv_id || '-' || turn, text FROM conversations)")
+
+
+@register("m5_treebank_tokens", f"""WITH {_abbreviation_ctes(_ALL_TEXTS_SQL)}
+SELECT key, CAST(len(ts) AS INTEGER) AS n_tokens, md5(array_to_string(ts, chr(10))) AS tokens_md5
+FROM (SELECT key, {_treebank_sql('text')} AS ts FROM {_ALL_TEXTS_SQL}, known)""")
+def m5_treebank_tokens(spark, sf):
+    """Treebank tokens of all documents and turns."""
+    docs = fx.table(spark, sf, "documents").selectExpr("concat('doc-', doc_id) AS key", "text")
+    texts = docs.unionByName(fx.table(spark, sf, "conversations").selectExpr("concat('conv-', conv_id, '-', turn) AS key", "text"))
+    known = texts.withColumn("known", tb.as_list(tb.learn_abbreviations(texts)))
+    t = known.select("key", tb.treebank_tokens(F.col("text"), F.col("known")).alias("ts"))
+    return t.select("key", F.size("ts").alias("n_tokens"), F.md5(F.array_join("ts", "\n").cast("binary")).alias("tokens_md5"))
+
+
+_BOTH_PAIRS_SQL = f"(SELECT * FROM {ofx.conversation_pairs()} UNION ALL SELECT * FROM {_DOC_PAIRS_SQL})"
+_TREEBANK_GRAMS_SQL = " UNION ALL ".join(
+    f"SELECT {_KEY}, '{c}' AS side, {n} AS n, t{''.join(f' || chr(32) || lead(t, {k}) OVER win' for k in range(1, n))} AS g "
+    f"FROM (SELECT {_KEY}, unnest({c}) AS t, generate_subscripts({c}, 1) AS pos FROM tok) WINDOW win AS (PARTITION BY {_KEY} ORDER BY pos)"
+    for c in ("pb", "rb") for n in range(1, 5))
+
+
+@register("m5_bleu_treebank", f"""WITH pairs AS MATERIALIZED (SELECT * FROM {_BOTH_PAIRS_SQL}),
+{_abbreviation_ctes("(SELECT ref AS text FROM pairs)")},
+tok AS MATERIALIZED (SELECT {_KEY}, {_treebank_sql('pred')} AS pb, {_treebank_sql('ref')} AS rb FROM pairs, known),
+gr AS ({_TREEBANK_GRAMS_SQL}),
+pg AS (SELECT {_KEY}, n, g, count(*) FILTER (WHERE side = 'pb') AS cp, count(*) FILTER (WHERE side = 'rb') AS cr FROM gr WHERE g IS NOT NULL GROUP BY ALL),
+cl AS (SELECT {_KEY}, {", ".join(f"sum(least(cp, cr)) FILTER (WHERE n = {n}) AS b{n}" for n in range(1, 5))} FROM pg GROUP BY ALL),
+sc AS (SELECT t.*, {", ".join(f"coalesce(b{n}, 0) AS b{n}" for n in range(1, 5))} FROM tok t LEFT JOIN cl USING ({_KEY}))
+SELECT {_KEY}, round({_BLEU_SQL}, 6) AS bleu FROM sc""")
+def m5_bleu_treebank(spark, sf):
+    """BLEU over Treebank tokens; abbreviations are learned from the references."""
+    from ..operators.score_text import with_text_scores
+    pairs = _text_pairs(spark, sf)
+    known = pairs.withColumn("_known", tb.as_list(tb.learn_abbreviations(pairs, "ref")))
+    scored = with_text_scores(known, F.col("pred"), F.col("ref"), metrics=["bleu"], tokens=lambda text: tb.treebank_tokens(text, F.col("_known")))
+    return scored.select("model", "split", "shot", "identifier", r6(F.col("bleu")).alias("bleu"))
+
+
 # =============================================================== M11 summary and reports
 
 
@@ -844,7 +965,7 @@ def s7_summary_stream(spark, sf):
     return read_summary(spark, out).groupBy(*_SUMMARY_KEYS).agg(F.count(F.lit(1)).alias("n_appends"))
 
 
-@register("m9_text_summary_stem")  # stemmed ROUGE: no SQL stemmer; unit-tested on the paper's examples
+@register("m9_text_summary_stem", _text_summary_sql(stem=True))
 def m9_text_summary_stem(spark, sf):
     from ..operators.score_text import text_scores, text_summary
     s = text_summary(text_scores(_text_pairs(spark, sf), stem=True))
