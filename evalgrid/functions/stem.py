@@ -246,7 +246,8 @@ def last_choice(word: str = "word") -> str:
 
 def stem_words(words: DataFrame) -> DataFrame:
     """word, stem of each row of ``words`` (a column ``word``: lower-case letters and digits), by SQL expressions alone."""
-    now = words.selectExpr("word", "word AS w", f"{letter_kinds('word')} AS p")
+    # a generator of one row ends each step: the steps stay apart instead of growing into one expression
+    now = words.selectExpr("word", f"inline(array(struct(word AS w, {letter_kinds('word')} AS p)))")
     for w, p in stem_steps():
-        now = now.selectExpr("word", f"{w} AS w", f"{p} AS p")
+        now = now.selectExpr("word", f"inline(array(struct({w} AS w, {p} AS p)))")
     return now.selectExpr("word", f"{last_choice()} AS stem")
