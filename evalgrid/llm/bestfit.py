@@ -6,7 +6,7 @@ holds the piece takes it.  Open sequences are found by a bitset keyed by free sp
 above a length is the best fit, so placing a piece costs the same whatever is open.  At most ``keep`` sequences are
 open; to open another one, the fullest closes first, which gives up the least space.  The order of arrival is
 free, so each task takes its pieces in runs of ``AHEAD`` and the longest of a run first: short pieces then fill what
-long ones leave (one sequence in 10,000 more than the tokens need on the given lengths, one in 100 without).
+long ones leave (on the given lengths 0.02 % more sequences than the tokens need, 1 % more without).
 
 The ids are stored first; what is dealt out for placing are rows without ids, PER_TASK pieces or so to a task, so that the
 sequences left open at a task's end (at most ``keep``) are few beside those it has filled however the input was split.
