@@ -62,7 +62,21 @@ def number_occurrences(df: DataFrame, key: list[str], order: list[str], out: str
     return joined.select(*df.columns, (F.col("_local") + F.coalesce("_before", F.lit(0))).alias(out))
 
 
-def pair(items: DataFrame, responses: DataFrame) -> DataFrame:
+def _pair_keys(responses: DataFrame) -> tuple[list[str], list[str]]:
+    by_number = "request_id" in responses.columns
+    return (["split", "ord"], [*CELL, "request_id"]) if by_number else (KEY, [*CELL, "identifier"])
+
+
+def repeated_sides(items: DataFrame, responses: DataFrame) -> set[tuple[str, str]]:
+    """(side, split) of the splits where ``items`` or ``responses`` repeat a key: one job over the keys; its result is bounded by the splits."""
+    it_key, resp_key = _pair_keys(responses)
+    it = resolve_identifier(items).select(*it_key)
+    twice = (repeated_keys(it, it_key).select(F.lit("items").alias("side"), "split")
+             .unionByName(repeated_keys(responses.select(*resp_key), resp_key).select(F.lit("responses").alias("side"), "split")).distinct())
+    return {(r.side, r.split) for r in twice.collect()}
+
+
+def pair(items: DataFrame, responses: DataFrame, repeated: set[tuple[str, str]] | None = None) -> DataFrame:
     """Each response with its item, at most one of each, so that accuracy never exceeds 1.
 
     Responses that carry ``request_id`` pair with the item of that position in its split (``ord``), as
@@ -72,13 +86,11 @@ def pair(items: DataFrame, responses: DataFrame) -> DataFrame:
     by their content if not.  Surplus ones stay without partner and are reported by :func:`coverage` as ``duplicate_key``.
 
     Keys are looked up first, without texts, in one job when the plan is built; where none repeats, which is the rule, rows join
-    as they are and each text is shuffled once."""
+    as they are and each text is shuffled once.  ``repeated``: what ``repeated_sides`` found, if it was called before."""
     by_number = "request_id" in responses.columns
     it = resolve_identifier(items).drop("id")
-    it_key, resp_key = (["split", "ord"], [*CELL, "request_id"]) if by_number else (KEY, [*CELL, "identifier"])
-    twice = (repeated_keys(it.select(*it_key), it_key).select(F.lit("items").alias("side"))
-             .unionByName(repeated_keys(responses.select(*resp_key), resp_key).select(F.lit("responses").alias("side"))).distinct())
-    sides = {r.side for r in twice.collect()}
+    it_key, resp_key = _pair_keys(responses)
+    sides = {side for side, _ in (repeated_sides(items, responses) if repeated is None else repeated)}
     order = [c for c in ("response_no",) if c in responses.columns]
     k = "occurrence"
     if sides:

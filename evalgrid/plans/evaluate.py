@@ -16,7 +16,7 @@ from ..catalog import TASKS, task_catalog, with_task_type
 from ..functions.metrics import exact_sum, precision_recall_f1, safe_div
 from ..functions.text import py_strip
 from ..operators.extract import extract_text, listed_names, with_parsed_tuples
-from ..operators.pairing import pair, token_count
+from ..operators.pairing import pair, repeated_sides, token_count
 from ..operators.score_exact import match_flag
 from ..operators.score_text import with_text_scores
 from ..operators.score_tuples import positional_counts, set_counts
@@ -40,13 +40,15 @@ TEXT_SPLITS = [t[0] for t in TASKS if t[1] == "open_text"]
 
 
 def extract(spark: SparkSession, items: DataFrame, responses: DataFrame, mode: str = "reference",
-            families: tuple[bool, ...] = (False, True)) -> DataFrame:
+            families: tuple[bool, ...] = (False, True), repeated: set[tuple[str, str]] | None = None) -> DataFrame:
     """J1 + E1-E9 + M1 + P8: one row per paired response with typed prediction and gold.
 
     Two branches by task family, chosen by split before any join: only the open-tuple branch holds the
     Python step of the tuple parser, and its gold tuples are parsed once per item, not once per response (E9).
     ``families``: which branches to build, the one of open tuples (True) or of all other tasks (False).
+    ``repeated``: see ``pairing.pair``; one look serves all branches.
     """
+    repeated = repeated_sides(items, responses) if repeated is None else repeated
     is_tuple = F.col("split").isin(TUPLE_SPLITS)
     branches = []
     for tuples in families:
@@ -57,7 +59,8 @@ def extract(spark: SparkSession, items: DataFrame, responses: DataFrame, mode: s
             it = it.withColumn("_names", listed_names(F.col("question"))) if mode == "corrected" else it
             it = with_parsed_tuples(it, F.col("answer"), "_ref_parsed", mode, names)
             it = it.withColumn("ref_tuples", _by_type(F.col("_ref_parsed"), F.col("task_type"))).drop("_ref_parsed")
-        df = pair(it, responses.where(side)).withColumn("response", py_strip(F.coalesce(F.col("text"), F.lit(""))))
+        mine = {x for x in repeated if (x[1] in TUPLE_SPLITS) == tuples}
+        df = pair(it, responses.where(side), mine).withColumn("response", py_strip(F.coalesce(F.col("text"), F.lit(""))))
         tt = F.col("task_type")
         none = F.lit(None).cast(TUPLES)
         if tuples:
@@ -118,8 +121,11 @@ def score_run(spark: SparkSession, items: DataFrame, responses: DataFrame, mode:
     """Per-row score parts from items and responses: open text is a branch of its own from the start, chosen by split, so that
     only its rows reach the Python step of the text scores and each Python step is in the plan once."""
     is_text = F.col("split").isin(TEXT_SPLITS)
-    rest = score_rows(extract(spark, items, responses.where(~is_text), mode), text=False)
-    text = with_text_scores(extract(spark, items.where(is_text), responses.where(is_text), mode, (False,)), F.col("pred_text"), F.col("answer"), stem=stem)
+    repeated = repeated_sides(items, responses)
+    texts = {x for x in repeated if x[1] in TEXT_SPLITS}
+    rest = score_rows(extract(spark, items, responses.where(~is_text), mode, repeated=repeated - texts), text=False)
+    open_text = extract(spark, items.where(is_text), responses.where(is_text), mode, (False,), texts)
+    text = with_text_scores(open_text, F.col("pred_text"), F.col("answer"), stem=stem)
     return rest.unionByName(text, allowMissingColumns=True)
 
 
