@@ -91,15 +91,15 @@ def anchors(data: np.ndarray, min_match: int = MIN_MATCH) -> tuple[np.ndarray, n
 
 
 def _plain(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (16 bits), text as bytes."""
+    """doc_id, doc (64 bits of the id and the text, by which the job knows a document), fp (16 more bits of the text), text as bytes."""
     text = F.col("text").cast("string")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).bitwiseAND(0xFFFF).cast("int").alias("fp"),
-                       F.coalesce(text.cast("binary"), F.lit(b"")).alias("text"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id").cast("long"), text).alias("doc"),
+                       F.hash(text).bitwiseAND(0xFFFF).cast("int").alias("fp"), F.coalesce(text.cast("binary"), F.lit(b"")).alias("text"))
 
 
 def _anchor_rows(docs: DataFrame, min_match: int, placed: bool) -> DataFrame:
-    """kmer, ctx, and if ``placed`` doc_id and spot: first window << 32 | (last - first) << 24 | (place - first) << 16 | fp."""
-    fields = [("kmer", pa.int64()), ("ctx", pa.int64())] + [("doc_id", pa.int64()), ("spot", pa.int64())] * placed
+    """kmer, ctx, and if ``placed`` doc and spot: first window << 32 | (last - first) << 24 | (place - first) << 16 | fp."""
+    fields = [("kmer", pa.int64()), ("ctx", pa.int64())] + [("doc", pa.int64()), ("spot", pa.int64())] * placed
     kind = pa.schema(fields)
 
     def run(batches):
@@ -124,7 +124,7 @@ def _anchor_rows(docs: DataFrame, min_match: int, placed: bool) -> DataFrame:
             if out:
                 yield from pa.Table.from_batches(out).combine_chunks().to_batches()
 
-    return _plain(docs).mapInArrow(run, "kmer long, ctx long" + ", doc_id long, spot long" * placed)
+    return _plain(docs).select("doc", "fp", "text").mapInArrow(run, "kmer long, ctx long" + ", doc long, spot long" * placed)
 
 
 class SpillQueue:
@@ -231,11 +231,11 @@ def induce(groups: np.ndarray, contexts: list[bytes], edges: np.ndarray, min_mat
 
 
 def _contexts(docs: DataFrame, wanted: DataFrame, min_match: int) -> DataFrame:
-    """``wanted`` (kmer, n, doc_id, spot) with ``edge`` and ``bytes`` of the context."""
-    by_doc = wanted.groupBy("doc_id", F.col("spot").bitwiseAND(0xFFFF).cast("int").alias("fp")).agg(
+    """``wanted`` (kmer, n, doc, spot) with ``edge`` and ``bytes`` of the context."""
+    by_doc = wanted.groupBy("doc", F.col("spot").bitwiseAND(0xFFFF).cast("int").alias("fp")).agg(
         F.collect_list(F.struct("kmer", "hot", "n", "spot")).alias("spots"))
-    texts = _packed(docs).withColumnsRenamed({"doc_id": "_id", "fp": "_fp"})
-    kind = pa.schema([("kmer", pa.int64()), ("hot", pa.bool_()), ("n", pa.int64()), ("doc_id", pa.int64()), ("spot", pa.int64()),
+    texts = _packed(docs).withColumnsRenamed({"doc": "_id", "fp": "_fp"})
+    kind = pa.schema([("kmer", pa.int64()), ("hot", pa.bool_()), ("n", pa.int64()), ("doc", pa.int64()), ("spot", pa.int64()),
                       ("edge", pa.int32()), ("bytes", pa.binary())])
 
     def run(batches):
@@ -250,20 +250,20 @@ def _contexts(docs: DataFrame, wanted: DataFrame, min_match: int) -> DataFrame:
                         rows[k].append(v)
             yield pa.RecordBatch.from_pydict(rows, schema=kind)
 
-    joined = by_doc.join(texts, by_doc["doc_id"].eqNullSafe(texts["_id"]) & (by_doc["fp"] == texts["_fp"]))
-    return joined.select("doc_id", "spots", "text").mapInArrow(
-        run, "kmer long, hot boolean, n long, doc_id long, spot long, edge int, bytes binary").dropDuplicates(
-        ["kmer", "doc_id", "spot"])  # repeated rows bring a context again
+    joined = by_doc.join(texts, (by_doc["doc"] == texts["_id"]) & (by_doc["fp"] == texts["_fp"]))
+    return joined.select("doc", "spots", "text").mapInArrow(
+        run, "kmer long, hot boolean, n long, doc long, spot long, edge int, bytes binary").dropDuplicates(
+        ["kmer", "doc", "spot"])  # repeated rows bring a context again
 
 
 def _packed(docs: DataFrame) -> DataFrame:
-    """doc_id, fp and the text compressed, for shuffles."""
+    """doc_id, doc, fp and the text compressed, for shuffles."""
     def run(batches):
         pack = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([pack(t.as_py()) for t in batch.column(2)], pa.binary())],
-                                             names=["doc_id", "fp", "text"])
-    return _plain(docs).mapInArrow(run, "doc_id long, fp int, text binary")
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([pack(t.as_py()) for t in batch.column(3)], pa.binary())],
+                                             names=["doc_id", "doc", "fp", "text"])
+    return _plain(docs).mapInArrow(run, "doc_id long, doc long, fp int, text binary")
 
 
 def _spans_of(doc, spot: int, offsets: np.ndarray, min_match: int) -> list[tuple]:
@@ -274,7 +274,7 @@ def _spans_of(doc, spot: int, offsets: np.ndarray, min_match: int) -> list[tuple
     return [(doc, spot & 0xFFFF, place - int(b), place - int(a) + min_match) for a, b in zip(starts, ends)]
 
 
-_SPANS = pa.schema([("doc_id", pa.int64()), ("fp", pa.int32()), ("start", pa.int64()), ("end", pa.int64())])
+_SPANS = pa.schema([("doc", pa.int64()), ("fp", pa.int32()), ("start", pa.int64()), ("end", pa.int64())])
 
 
 def _induced_spans(contexts: DataFrame, min_match: int, queue_rows: int) -> DataFrame:
@@ -298,14 +298,14 @@ def _induced_spans(contexts: DataFrame, min_match: int, queue_rows: int) -> Data
         if held:
             yield solve(held)
 
-    return contexts.select("kmer", "n", "doc_id", "spot", "edge", "bytes").repartition("kmer").sortWithinPartitions("kmer").mapInArrow(
-        run, "doc_id long, fp int, start long, end long")
+    return contexts.select("kmer", "n", "doc", "spot", "edge", "bytes").repartition("kmer").sortWithinPartitions("kmer").mapInArrow(
+        run, "doc long, fp int, start long, end long")
 
 
 def _hot_cells(contexts: DataFrame, min_match: int) -> DataFrame:
     """Hot contexts cut into cells of ``CELL`` window offsets: kmer, cell, inner (hash of the bytes that all windows of the
-    cell share), whole (hash of the bytes of this context's windows in it), n, doc_id, spot, low and high offset, bytes."""
-    kind = pa.schema([("kmer", pa.int64()), ("cell", pa.int32()), ("inner", pa.int64()), ("whole", pa.int64()), ("n", pa.int64()), ("doc_id", pa.int64()),
+    cell share), whole (hash of the bytes of this context's windows in it), n, doc, spot, low and high offset, bytes."""
+    kind = pa.schema([("kmer", pa.int64()), ("cell", pa.int32()), ("inner", pa.int64()), ("whole", pa.int64()), ("n", pa.int64()), ("doc", pa.int64()),
                       ("spot", pa.int64()), ("low", pa.int32()), ("high", pa.int32()), ("bytes", pa.binary())])
 
     def run(batches):
@@ -322,8 +322,8 @@ def _hot_cells(contexts: DataFrame, min_match: int) -> DataFrame:
                         rows[k].append(v)
             yield pa.RecordBatch.from_pydict(rows, schema=kind)
 
-    return contexts.select("kmer", "n", "doc_id", "spot", "edge", "bytes").mapInArrow(
-        run, "kmer long, cell int, inner long, whole long, n long, doc_id long, spot long, low int, high int, bytes binary")
+    return contexts.select("kmer", "n", "doc", "spot", "edge", "bytes").mapInArrow(
+        run, "kmer long, cell int, inner long, whole long, n long, doc long, spot long, low int, high int, bytes binary")
 
 
 def _hot_spans(contexts: DataFrame, min_match: int) -> DataFrame:
@@ -332,7 +332,7 @@ def _hot_spans(contexts: DataFrame, min_match: int) -> DataFrame:
     Equal cells are repeated throughout, cells whose shared bytes occur once are not; in the others, each
     different cell's windows are hashed and counted."""
     def windows(batches):
-        kind = pa.schema([("kmer", pa.int64()), ("window", pa.int64()), ("doc_id", pa.int64()), ("spot", pa.int64()), ("o", pa.int32()), ("n", pa.int64())])
+        kind = pa.schema([("kmer", pa.int64()), ("window", pa.int64()), ("doc", pa.int64()), ("spot", pa.int64()), ("o", pa.int32()), ("n", pa.int64())])
         for batch in batches:
             rows = {k: [] for k in kind.names}
             for kmer, n, doc, spot, high, raw in zip(*(batch.column(i).to_pylist() for i in range(6))):
@@ -349,35 +349,35 @@ def _hot_spans(contexts: DataFrame, min_match: int) -> DataFrame:
 
     cells = cut(_hot_cells(contexts, min_match), "suffix-cells")
     key = ["kmer", "cell", "inner", "whole"]
-    different = cut(cells.groupBy(*key).agg(F.sum("n").alias("n"), F.min(F.struct("doc_id", "spot", "high")).alias("one"), F.first("bytes").alias("bytes")),
+    different = cut(cells.groupBy(*key).agg(F.sum("n").alias("n"), F.min(F.struct("doc", "spot", "high")).alias("one"), F.first("bytes").alias("bytes")),
                     "suffix-different")
     place = F.shiftright("spot", 32) + F.shiftright("spot", 16).bitwiseAND(255)
     equal = cells.where("n = 1").join(different.where("n > 1").select(*key), key).select(
-        "doc_id", F.col("spot").bitwiseAND(0xFFFF).cast("int").alias("fp"), (place - F.col("high")).alias("start"), (place - F.col("low") + min_match).alias("end"))
+        "doc", F.col("spot").bitwiseAND(0xFFFF).cast("int").alias("fp"), (place - F.col("high")).alias("start"), (place - F.col("low") + min_match).alias("end"))
     open_cells = different.groupBy("kmer", "cell", "inner").agg(F.count(F.lit(1)).alias("several"), F.min("n").alias("least")).where("several > 1 and least = 1")
-    each = different.join(open_cells, ["kmer", "cell", "inner"]).select("kmer", "n", "one.doc_id", "one.spot", "one.high", "bytes").mapInArrow(
-        windows, "kmer long, window long, doc_id long, spot long, o int, n long")
+    each = different.join(open_cells, ["kmer", "cell", "inner"]).select("kmer", "n", "one.doc", "one.spot", "one.high", "bytes").mapInArrow(
+        windows, "kmer long, window long, doc long, spot long, o int, n long")
     often = each.groupBy("kmer", "window").agg(F.sum("n").alias("times")).where("times > 1").select("kmer", "window")
-    return equal.unionByName(each.where("n = 1").join(often, ["kmer", "window"]).groupBy("doc_id", "spot").agg(
-        F.sort_array(F.collect_list("o")).alias("o")).mapInArrow(spans, "doc_id long, fp int, start long, end long"))
+    return equal.unionByName(each.where("n = 1").join(often, ["kmer", "window"]).groupBy("doc", "spot").agg(
+        F.sort_array(F.collect_list("o")).alias("o")).mapInArrow(spans, "doc long, fp int, start long, end long"))
 
 
 def repeated_spans(docs: DataFrame, min_match: int = MIN_MATCH, hot: int = HOT, queue_rows: int = QUEUE_ROWS) -> DataFrame:
-    """doc_id, fp, start, end: byte spans that repeated strings cover; spans may overlap."""
+    """doc, fp, start, end: byte spans that repeated strings cover; spans may overlap."""
     names = cut(_anchor_rows(docs, min_match, False).groupBy("kmer").agg(
         F.count(F.lit(1)).alias("times"), F.min("ctx").alias("a"), F.max("ctx").alias("b")).where("times > 1")
         .select("kmer", (F.col("a") != F.col("b")).alias("several")), "suffix-names")
     rows = cut(_anchor_rows(docs, min_match, True).join(names, "kmer"), "suffix-anchors")
     span = [F.col("spot").bitwiseAND(0xFFFF).cast("int").alias("fp"), F.shiftright("spot", 32).alias("start"),
             (F.shiftright("spot", 32) + F.shiftright("spot", 24).bitwiseAND(255) + min_match).alias("end")]
-    whole = rows.where("not several").select("doc_id", *span)
+    whole = rows.where("not several").select("doc", *span)
 
     differ = rows.where("several")
-    named = cut(differ.groupBy("kmer", "ctx").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "spot")).alias("one")), "suffix-contexts")
-    copied = differ.join(named.where("n > 1").select("kmer", "ctx"), ["kmer", "ctx"]).select("doc_id", *span)
+    named = cut(differ.groupBy("kmer", "ctx").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "spot")).alias("one")), "suffix-contexts")
+    copied = differ.join(named.where("n > 1").select("kmer", "ctx"), ["kmer", "ctx"]).select("doc", *span)
     # a kmer is repeated, so all of its rows count; those whose contexts are one in number have no others to meet
     sizes = named.groupBy("kmer").agg(F.count(F.lit(1)).alias("size"), F.min("n").alias("least")).where("size > 1 and least = 1")
-    wanted = named.join(sizes, "kmer").select("kmer", (F.col("size") > hot).alias("hot"), "n", "one.doc_id", "one.spot")
+    wanted = named.join(sizes, "kmer").select("kmer", (F.col("size") > hot).alias("hot"), "n", "one.doc", "one.spot")
     contexts = cut(_contexts(docs, wanted, min_match), "suffix-bytes")
     return (whole.unionByName(copied).unionByName(_induced_spans(contexts.where("not hot"), min_match, queue_rows))
             .unionByName(_hot_spans(contexts.where("hot"), min_match)))
@@ -385,10 +385,10 @@ def repeated_spans(docs: DataFrame, min_match: int = MIN_MATCH, hot: int = HOT,
 
 def remove_repeats(docs: DataFrame, min_match: int = MIN_MATCH, hot: int = HOT, queue_rows: int = QUEUE_ROWS) -> DataFrame:
     """doc_id, n_bytes, spans (maximal removed runs), kept (remaining bytes) for every row of ``docs``."""
-    spans = repeated_spans(docs, min_match, hot, queue_rows).groupBy("doc_id", "fp").agg(
-        F.collect_set(F.struct("start", "end")).alias("spans")).withColumnsRenamed({"doc_id": "_id", "fp": "_fp"})
+    spans = repeated_spans(docs, min_match, hot, queue_rows).groupBy("doc", "fp").agg(
+        F.collect_set(F.struct("start", "end")).alias("spans")).withColumnsRenamed({"doc": "_id", "fp": "_fp"})
     texts = _packed(docs)
-    joined = texts.join(spans, texts["doc_id"].eqNullSafe(spans["_id"]) & (texts["fp"] == spans["_fp"]), "left").select("doc_id", "text", "spans")
+    joined = texts.join(spans, (texts["doc"] == spans["_id"]) & (texts["fp"] == spans["_fp"]), "left").select("doc_id", "text", "spans")
     kind = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
                       ("kept", pa.binary())])
 

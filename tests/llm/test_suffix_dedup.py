@@ -50,6 +50,16 @@ def test_shared_line_in_many_documents(make_docs):
     assert result(S.remove_repeats(make_docs(rows), hot=8)) == want
 
 
+def test_texts_without_ids(make_docs):
+    """Many different texts of one null id, each known by itself."""
+    rnd = random.Random(11)
+    part = ["".join(rnd.choice("abcdefgh ") for _ in range(230)) for _ in range(40)]
+    rows = [(None, f"{i} " + "".join(rnd.choice("abcdefgh ") for _ in range(rnd.randrange(60))) + (part[i % 40] if i % 3 else part[i % 40][:150]) + f" {i}")
+            for i in range(1500)]
+    want = sorted((False, 0, *w) for w in expected([t for _, t in rows]))
+    assert result(S.remove_repeats(make_docs(rows))) == want
+
+
 def test_empty_table(make_docs):
     assert S.remove_repeats(make_docs([])).count() == 0
 
