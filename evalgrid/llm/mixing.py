@@ -22,6 +22,7 @@ from __future__ import annotations
 import math
 import warnings
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -100,34 +101,53 @@ def posteriors(docs: DataFrame, classifier: DataFrame) -> DataFrame:
             .withColumns({"tokens": F.col("_s.tokens"), "posterior": F.col("_s.posterior")}).drop("priors", "weights", "_s"))
 
 
-def _rate(posterior: Column, moves: list[list[float]]) -> Column:
-    """The rate after projected steps: each moves along the posteriors, then back to zero or more."""
+def _rate(posterior: Column, moves: list[list[float]], start: Column | float = 1.0) -> Column:
+    """The rate after projected steps from ``start``: each moves along the posteriors, then back to zero or more."""
     steps = F.array(*[F.array(*map(F.lit, m)) for m in moves]) if moves else F.array().cast("array<array<double>>")
-    return F.aggregate(steps, F.lit(1.0), lambda r, m: F.greatest(
+    return F.aggregate(steps, F.lit(start) if isinstance(start, float) else start, lambda r, m: F.greatest(
         F.lit(0.0), r - F.aggregate(F.zip_with(posterior, m, lambda p, g: p * g), F.lit(0.0), lambda a, x: a + x)))
 
 
 def fit_rates(scored: DataFrame, targets: list[float], steps: int = STEPS, tolerance: float = 1e-3) -> list[list[float]]:
     """Moves of the projected gradient.  ``scored``: tokens, posterior; read once per step, so give a stored table.
 
-    Minimises sum_k ((expected_k - target_k)^2 / size_k) over rates >= 0; divided by the present domain
-    sizes the Hessian's largest eigenvalue is at most 1, so step 1 is safe.  Warns if the totals are still
-    further from the targets than ``tolerance`` (a share of all tokens) after ``steps``."""
+    Minimises f = sum_k ((expected_k - target_k)^2 / size_k) over rates >= 0.  One scan tries two steps: the gradient scaled by
+    the inverse of the second derivatives over the rates above zero, taken if it lowers f by a tenth, and the plain one, which
+    is safe (divided by the present domain sizes the largest eigenvalue is at most 1).  Ends when the totals are
+    within ``tolerance`` (a share of all tokens), or after ``steps`` with a warning: no rates meet targets outside
+    the cone of the posteriors, and the least-squares answer to these, a few documents used very often, is only neared."""
     k, wanted = len(targets), max(sum(targets), 1e-9)
-    def totals(moves):
-        r = _rate(F.col("posterior"), moves)
-        row = scored.select("tokens", "posterior", r.alias("r")).agg(
-            *[F.sum(F.col("tokens") * F.col("r") * F.col("posterior")[i]) for i in range(k)]).first()
-        return [float(x or 0.0) for x in row]
+    aim = np.array(targets, dtype=float)
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+
+    def look(moves, tries):
+        """(totals, second derivatives over the free rates) after ``moves`` and each one of ``tries``."""
+        p, t = F.col("posterior"), F.col("tokens")
+        names = [f"r{i}" for i in range(len(tries))]
+        rows = scored.select("tokens", "posterior", _rate(p, moves).alias("r")).select(
+            "tokens", "posterior", *[_rate(p, m, F.col("r")).alias(c) for m, c in zip(tries, names)])
+        got = rows.agg(*[F.sum(t * F.col(c) * p[i]) for c in names for i in range(k)],
+                       *[F.sum(F.when(F.col(c) > 0, t * p[i] * p[j])) for c in names for i, j in pairs]).first()
+        got = np.array([float(x or 0.0) for x in got])
+        second = got[k * len(tries):].reshape(len(tries), -1)
+        return [(now, np.array([[flat[pairs.index((min(i, j), max(i, j)))] for j in range(k)] for i in range(k)]))
+                for now, flat in zip(got[:k * len(tries)].reshape(-1, k), second)]
+
+    def distance(now):
+        return float(((now - aim) ** 2 / size).sum())
+
+    now, second = look([], [[]])[0]
+    size = np.maximum(now, 1.0)
     moves: list[list[float]] = []
-    now = size = totals(moves)
-    def off():
-        return sum(abs(a - b) for a, b in zip(now, targets)) / wanted
-    while off() > tolerance and len(moves) < steps:
-        moves.append([(a - b) / max(s, 1.0) for a, b, s in zip(now, targets, size)])
-        now = totals(moves)
-    if off() > tolerance:
-        warnings.warn(f"rates leave the totals {off():.4f} of all tokens off their targets after {len(moves)} steps (tolerance {tolerance})",
+    while len(moves) < steps and np.abs(now - aim).sum() / wanted > tolerance:
+        tries = [np.linalg.lstsq(second, now - aim, rcond=1e-9)[0].tolist(), ((now - aim) / size).tolist()]
+        after = look(moves, [tries[:1], tries[1:]])
+        best = 0 if distance(after[0][0]) < 0.9 * distance(now) else 1
+        moves.append(tries[best])
+        now, second = after[best]
+    off = np.abs(now - aim).sum() / wanted
+    if off > tolerance:
+        warnings.warn(f"rates leave the totals {off:.4f} of all tokens off their targets after {len(moves)} steps (tolerance {tolerance})",
                       stacklevel=2)
     return moves
 
