@@ -21,6 +21,7 @@ from ..operators import pairing as pr
 from ..operators import prompting as pm
 from ..operators import score_exact as se
 from ..schemas import METRICS as _METRICS
+from ..sources import rejects as rj
 from . import fixtures as fx
 from . import oracle_fixtures as ofx
 from . import sqlfn as q
@@ -790,6 +791,37 @@ def s1_items(spark, sf):
                      F.col("options").isNull().alias("no_options"), F.length("answer").alias("answer_chars"))
 
 
+@register("s1_rejects", f"""
+SELECT source, reason, count(*) AS n, CAST(sum(mark) AS BIGINT) AS marks FROM (
+  SELECT 'items' AS source, CASE WHEN ord % 17 = 0 THEN {ofx.sql_str(rj.MALFORMED)} WHEN ord % 19 = 3 THEN 'no answer' ELSE 'accepted' END AS reason,
+    CASE WHEN ord % 17 = 0 THEN 0 ELSE ord END AS mark FROM {ofx.all_items()}
+  UNION ALL
+  SELECT 'runs', CASE WHEN max_batched_tokens <= 0 THEN {ofx.sql_str(pm.BAD_BATCHED_TOKENS)} WHEN max_tokens <= 0 THEN {ofx.sql_str(pm.BAD_MAX_TOKENS)}
+      WHEN temperature < 0 THEN {ofx.sql_str(pm.BAD_TEMPERATURE)} WHEN NOT (top_p >= 0 AND top_p <= 1) THEN {ofx.sql_str(pm.BAD_TOP_P)}
+      WHEN l_orderkey % 5 = 0 THEN {ofx.sql_str(rj.NO_SHOT)} ELSE 'accepted' END, l_linenumber
+  FROM {ofx.run_configs()})
+GROUP BY 1, 2""")
+def s1_rejects(spark, sf):
+    """Item lines, some cut short or without an answer, and run configs, some invalid or with a prompt path that has no shot label."""
+    from ..session import scratch_path
+    items = fx.all_items(spark, sf).withColumn("answer", F.when(F.col("ord") % 19 != 3, F.col("answer")))
+    line = F.to_json(F.struct("split", "ord", "identifier", "id", "options", "answer", "question"))
+    lines, kept, runs_kept = (scratch_path(spark, name) for name in ("s1_lines", "s1_checked", "s1_runs"))
+    items.select(F.when(F.col("ord") % 17 == 0, F.substring(line, F.lit(1), F.length(line) - 2)).otherwise(line).alias("value")).write.text(lines)
+    rj.store_checked(rj.read_items_checked(spark, lines), kept)
+    runs = fx.run_configs(spark, sf).withColumn("prompt_path", F.when(F.col("l_orderkey") % 5 == 0, "few.txt").otherwise("two_shot.txt"))
+    rj.store_checked(runs.withColumn("reason", rj.run_reject_reason(runs, tx.shot_label(F.col("prompt_path")))), runs_kept)
+
+    def told(path, source, mark):
+        # of a line that doesn't parse no field is certain
+        by_row = F.when(F.col("reason") == rj.MALFORMED, F.lit(0)).otherwise(F.get_json_object("record", f"$.{mark}").cast("long"))
+        return rj.read_accepted(spark, path).select(F.lit(source).alias("source"), F.lit("accepted").alias("reason"), F.col(mark).cast("long").alias("mark")
+                                                    ).unionByName(rj.read_rejects(spark, path, source).select("source", "reason", by_row.alias("mark")))
+
+    rows = told(kept, "items", "ord").unionByName(told(runs_kept, "runs", "l_linenumber"))
+    return rows.groupBy("source", "reason").agg(F.count(F.lit(1)).alias("n"), F.sum("mark").alias("marks"))
+
+
 @register("s2_split_select", f"""
 SELECT split, ord, identifier FROM {ofx.all_items()}
 WHERE split = (SELECT max(split) FROM (SELECT DISTINCT split FROM {ofx.all_items()}) WHERE contains(split, '1_'))""")
