@@ -29,6 +29,17 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def set_aside(docs: DataFrame, *used: str) -> DataFrame:
+    """The columns ``used``, and all others of ``docs`` inside ``_rest``, where they clash with none that an operator adds."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in used]
+    return docs.select(*used, (F.struct(*rest) if rest else F.lit(None).cast("string")).alias("_rest"))
+
+
+def take_back(rows: DataFrame, columns: list[str], *used: str) -> DataFrame:
+    """``columns``, as they were before ``set_aside``, of rows that came of it."""
+    return rows.select(*[F.col(c) if c in used else F.col("_rest").getField(c).alias(c) for c in columns])
+
+
 def id_fold(col: str, mod: int) -> Column:
     """crc32 of the id as text, modulo ``mod``; a null id falls in fold 0."""
     return F.coalesce(F.crc32(F.col(col).cast("string").cast("binary")) % mod, F.lit(0))

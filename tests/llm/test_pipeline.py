@@ -52,3 +52,16 @@ def test_odd_rows(spark, odd_rows):
     for _, stage in C.STAGES:
         empty = cut(stage(spark, empty, SF), "none")
     assert empty.count() == 0
+
+
+def test_clashing_columns(spark):
+    """Extra columns named as the operators' own go through every stage unchanged."""
+    names = ["score", "evidence", "passages", "n_lines", "n_removed", "tokens", "posterior", "rate", "copies", "node", "class_id", "_rest", "_copy", "a.b"]
+    docs = read_table(spark, SF, "documents").where("doc_id % 5 = 0")
+    docs = docs.select("*", *[F.concat(F.lit(f"{c}-"), F.col("doc_id")).alias(c) for c in names])
+    columns = docs.columns
+    for name, stage in C.STAGES[:-1]:
+        docs = cut(stage(spark, docs, SF), f"clash-{name}")
+        assert docs.columns == columns
+        assert docs.where(" or ".join(f"`{c}` is null or `{c}` != concat('{c}-', doc_id)" for c in names)).count() == 0, name
+    assert docs.count() > 0 and C.STAGES[-1][1](spark, docs, SF).count() > 0
