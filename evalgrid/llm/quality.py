@@ -3,23 +3,34 @@
 Base counts: words ([^\\x20\\x09-\\x0D]+), code points in words, symbols, repeated lines, and words in
 8-word windows that occur twice in the text.  The method's verdict compares two histograms of a
 document with references of its language, learned from the whole table: the shares of character
-classes, and the shares of common words of the language with one bin for all other words.  Distance is the Jensen-Shannon distance; as short texts differ by chance, the
-allowed distance widens with 1/sqrt(n), and texts below a minimum length fail the base rule.  Languages
-beyond the ``MAX_LANGS`` most frequent, and null, share one reference of the whole table, so the references
-are at most ``MAX_LANGS + 1`` rows; languages without a word list are judged by their characters alone.
+classes, and the shares of the language's ``TOP_WORDS`` commonest words (by number of documents; at most
+``MAX_WORD`` code points, lower-cased) with one bin for all other words.  Distance is the Jensen-Shannon
+distance; as short texts differ by chance, the allowed distance widens with 1/sqrt(n), and texts below a
+minimum length fail the base rule.
+
+A language is the letters before any region of ``lang``, lower-cased (``EN`` and ``en-US`` are ``en``); rows without
+one (null, or no letter first) are one more language.  Every language has references, however few its documents:
+those of a single document are its own shares, which it fits.
+
+Two passes over the texts: word counts, then base counts and histograms.  Word counts are added up in each
+task before they are shuffled by (language, word), and the commonest words of a language are chosen in each task
+first, so a language that holds most rows is spread over all tasks.  References join by broadcast up to
+``MAX_BROADCAST_LANGS`` languages (at most 2 KB each), by an ordinary join beyond that.
 
 Windows are compared by 64-bit hash within one text.
 
 Defined cases: null and empty texts have no words, fail the base rule and are not kept; null ids and
-languages stay; repeated rows are judged each; extra columns are ignored; an empty table gives no rows.
+languages stay; repeated rows are judged each; extra columns are passed on, but one named as a column that
+``quality`` adds is replaced by it; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from evalgrid.llm.common import cut
+from evalgrid.llm.common import cut, set_aside
 
 # Fixed values of the contract.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
@@ -28,14 +39,9 @@ WINDOW = 8
 MIN_WORDS = 20
 # Character classes of the histogram: lower-case and other letters, capitals, digits, sentence marks, other marks, space.
 N_CLASSES = 6
-# Common words of languages, most frequent first.
-COMMON_WORDS = {
-    "en": "the of and to in is that for it was on are as with be by".split(),
-    "de": "der die und in den von zu das mit sich des auf für ist im dem".split(),
-    "fr": "de la le et les des en un du une que est pour qui dans par".split(),
-    "es": "de la que el en y a los se del las un por con no una".split(),
-}
-MAX_LANGS = 64
+TOP_WORDS = 20
+MAX_WORD = 20
+MAX_BROADCAST_LANGS = 4096
 MAX_CHAR_DISTANCE = 0.2
 MAX_WORD_DISTANCE = 0.55
 
@@ -102,48 +108,53 @@ def _class_counts(text: Column) -> Column:
         counts(F.length(F.regexp_replace(text, r"\P{Lu}+", "")), marks), lambda n: n.cast("double")))
 
 
-def _common(lang: Column) -> Column:
-    """The common words of a language, or none."""
-    chosen = F.array().cast("array<string>")
-    for name, words in COMMON_WORDS.items():
-        chosen = F.when(lang == name, F.array(*map(F.lit, words))).otherwise(chosen)
-    return chosen
+def language_of(lang: Column) -> Column:
+    """The language's letters, lower-cased; empty where there are none."""
+    return F.lower(F.regexp_extract(F.coalesce(lang.cast("string"), F.lit("")), r"^\s*(\p{L}+)", 1))
 
 
-def with_histograms(docs: DataFrame) -> DataFrame:
-    """``docs`` with base counts, ``classes`` and ``shares``: a distribution each; ``shares`` is empty for other languages."""
+def common_words(docs: DataFrame, top_words: int = TOP_WORDS, max_word: int = MAX_WORD) -> DataFrame:
+    """_lang, common: a language's words found in most of its documents, most frequent first, ties in order of the words."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return base_counts(docs).withColumns({  # word_chars is a column by now
-        "classes": _normal(_class_counts(text)),
-        "shares": F.when(F.col("lang").isin(list(COMMON_WORDS)), _normal(_word_histogram(words_of(F.lower(text)), _common(F.col("lang"))))).otherwise(
-            F.array().cast("array<double>"))})
+    found = docs.select(language_of(F.col("lang")).alias("_lang"), F.explode(F.array_distinct(words_of(F.lower(text)))).alias("word"))
+    counted = found.where(F.length("word") <= max_word).groupBy("_lang", "word").agg(F.count(F.lit(1)).alias("n"))
+    rank = F.row_number().over(Window.partitionBy("_lang").orderBy(F.desc("n"), "word"))
+    top = counted.withColumn("rank", rank).where(F.col("rank") <= top_words)
+    return top.groupBy("_lang").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "word"))), lambda x: x["word"]).alias("common"))
+
 
+def _with(rows: DataFrame, per_language: DataFrame) -> DataFrame:
+    """``rows`` with the columns of ``per_language``, a stored table of one row a language: broadcast if its rows are few."""
+    few = per_language.count() <= MAX_BROADCAST_LANGS
+    return rows.join(F.broadcast(per_language) if few else per_language, "_lang", "left")
+
+
+def with_histograms(docs: DataFrame, common: DataFrame) -> DataFrame:
+    """``docs`` with base counts, ``_lang``, and a distribution each in ``classes`` and ``shares``.  ``common``: common_words, stored."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    known = _with(base_counts(docs).withColumn("_lang", language_of(F.col("lang"))), common)
+    words = F.coalesce("common", F.array().cast("array<string>"))
+    return known.withColumns({  # word_chars is a column by now
+        "classes": _normal(_class_counts(text)),
+        "shares": _normal(let(words, lambda c: _word_histogram(words_of(F.lower(text)), c)))}).drop("common")
 
-def language_references(scored: DataFrame, max_langs: int = MAX_LANGS) -> tuple[DataFrame, DataFrame]:
-    """lang, ref_classes, ref_shares of the ``max_langs`` most frequent languages; and one row of all.
 
-    The reference of a language is the mean distribution of its documents that pass the base rule, so each
-    document weighs the same and a few long texts don't shape it."""
-    n = 1 + max(map(len, COMMON_WORDS.values()))
-    means = [F.count(F.lit(1)).alias("docs"), *[F.avg(F.get("classes", F.lit(i))).alias(f"c{i}") for i in range(N_CLASSES)],
-             *[F.avg(F.get("shares", F.lit(i))).alias(f"s{i}") for i in range(n)]]
-    good = scored.where(~F.col("base_failed"))
-    named = good.where(F.col("lang").isNotNull()).groupBy("lang").agg(*means).orderBy(F.desc("docs"), "lang").limit(max_langs)
-    every = good.agg(*means).withColumn("lang", F.lit(None).cast("string"))
+def language_references(scored: DataFrame, top_words: int = TOP_WORDS) -> DataFrame:
+    """_lang, ref_classes, ref_shares: the mean distributions of a language's documents that pass the base rule, so each
+    document weighs the same and a few long texts don't shape them."""
+    means = [F.avg(F.get(c, F.lit(i))).alias(f"{c}{i}") for c, size in (("classes", N_CLASSES), ("shares", top_words + 1)) for i in range(size)]
 
     def held(prefix, size):
-        return F.filter(F.array(*[F.col(f"{prefix}{i}") for i in range(size)]), lambda x: x.isNotNull())
-    columns = ["lang", held("c", N_CLASSES).alias("ref_classes"), held("s", n).alias("ref_shares")]
-    return named.select(*columns), every.select(*columns)
+        return F.filter(F.array(*[F.col(f"{prefix}{i}") for i in range(size)]), lambda x: x.isNotNull()).alias(f"ref_{prefix}")
+    return scored.where(~F.col("base_failed")).groupBy("_lang").agg(*means).select(
+        "_lang", held("classes", N_CLASSES), held("shares", top_words + 1))
 
 
 def _word_histogram(words: Column, common: Column) -> Column:
     """Counts of each common word, then of all other words."""
-    every = sorted({w for words in COMMON_WORDS.values() for w in words})
     def bins(w):
-        return let(F.filter(w, lambda x: x.isin(every)), lambda h: let(
-            F.transform(common, lambda c: F.size(F.filter(h, lambda x: x == c)).cast("double")),
-            lambda n: F.array_append(n, F.size(w) - F.aggregate(n, F.lit(0.0), lambda a, x: a + x))))
+        return let(F.filter(w, lambda x: F.array_contains(common, x)), lambda h: F.array_append(
+            F.transform(common, lambda c: F.size(F.filter(h, lambda x: x == c)).cast("double")), (F.size(w) - F.size(h)).cast("double")))
     return let(words, bins)
 
 
@@ -160,21 +171,22 @@ def js_distance(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest(F.aggregate(parts, F.lit(0.0), lambda s, x: s + x), F.lit(0.0)))
 
 
-def judge(scored: DataFrame, refs: tuple[DataFrame, DataFrame], max_char_distance: float = MAX_CHAR_DISTANCE,
+def judge(scored: DataFrame, refs: DataFrame, max_char_distance: float = MAX_CHAR_DISTANCE,
           max_word_distance: float = MAX_WORD_DISTANCE) -> DataFrame:
-    """``scored`` (a stored table of with_histograms) plus char_distance, word_distance and kept."""
-    named, every = refs
-    known = F.broadcast(named.select(F.col("lang").alias("_lang"), "ref_classes", "ref_shares"))
-    joined = scored.join(known, F.col("lang") == F.col("_lang"), "left").withColumn("_all", every.select("ref_classes").scalar())
-    near = js_distance(F.col("classes"), F.coalesce("ref_classes", "_all"))
-    words = F.when((F.size("shares") > 0) & (F.size("shares") == F.size("ref_shares")), js_distance(F.col("shares"), F.col("ref_shares")))
+    """``scored`` (a stored table of with_histograms) plus char_distance, word_distance and kept.  ``refs``: language_references, stored."""
+    joined = _with(scored, refs)
     slack = 1 / F.sqrt(F.greatest(F.col("n_words"), F.lit(1)))
     fits = (F.col("char_distance") <= max_char_distance + 0.5 * slack) & (F.col("word_distance") <= max_word_distance + slack)
-    return (joined.withColumn("char_distance", F.coalesce(near, F.lit(0.0))).withColumn("word_distance", F.coalesce(words, F.lit(0.0)))
-            .withColumn("kept", ~F.col("base_failed") & fits).drop("_lang", "_all", "ref_classes", "ref_shares", "classes", "shares"))
+    return (joined.withColumns({f"{kind}_distance": F.coalesce(js_distance(F.col(own), F.col(f"ref_{own}")), F.lit(0.0))
+                                for kind, own in (("char", "classes"), ("word", "shares"))})
+            .withColumn("kept", ~F.col("base_failed") & fits).drop("_lang", "ref_classes", "ref_shares", "classes", "shares"))
 
 
 def quality(docs: DataFrame) -> DataFrame:
-    """``docs`` without text, with base counts, distances and kept.  One pass over the texts: their counts and histograms are stored."""
-    scored = cut(with_histograms(docs).drop("text"), "quality")
-    return judge(scored, language_references(scored))
+    """``docs`` without text, with base counts, distances and kept."""
+    common = cut(common_words(docs), "quality-words")
+    scored = cut(with_histograms(set_aside(docs, "doc_id", "lang", "text"), common).drop("text"), "quality")
+    judged = judge(scored, cut(language_references(scored), "quality-references"))
+    added = [c for c in judged.columns if c not in ("doc_id", "lang", "_rest")]
+    rest = [c for c in docs.columns if c not in ("doc_id", "lang", "text", *added)]
+    return judged.select("doc_id", "lang", *[F.col("_rest").getField(c).alias(c) for c in rest], *added)

@@ -1,4 +1,8 @@
+import math
 import re
+from collections import Counter
+
+import pytest
 
 from evalgrid.llm import quality as Q
 from evalgrid.llm.common import read_table
@@ -45,9 +49,90 @@ def test_verdict(spark, make_docs, odd_rows):
     assert not any(r.kept for r in out if r.base_failed)
     bad = [r for r in out if not r.quality]
     assert sum(not r.kept for r in bad) >= 0.5 * len(bad)
-    odd = Q.quality(make_docs(odd_rows).drop("n_words")).collect()
+    odd = Q.quality(make_docs(odd_rows)).collect()
     assert len(odd) == len(odd_rows) and not any(r.kept for r in odd)
-    assert Q.quality(make_docs([]).drop("n_words")).count() == 0
+    assert all(r.score == "a" and isinstance(r.n_words, int) for r in odd)
+    assert Q.quality(make_docs([])).count() == 0
+
+
+def shares_of(counts):
+    return [c / max(sum(counts), 1e-9) for c in counts]
+
+
+def classes_of(text):
+    found = Counter()
+    for c in text:
+        if c in SPACE:
+            found["space"] += 1
+        elif c.isalpha():
+            found["capital" if c.isupper() else "letter"] += 1
+        elif c.isnumeric():
+            found["digit"] += 1
+        else:
+            found["stop" if c in ".,;:!?'\"()-" else "mark"] += 1
+    return shares_of([found[k] for k in ("letter", "capital", "digit", "stop", "mark", "space")])
+
+
+def distance(p, q):
+    def half(a, b):
+        return sum(x * math.log2(2 * x / (x + y)) for x, y in zip(a, b) if x > 0) / 2
+    return math.sqrt(max(half(p, q) + half(q, p), 0))
+
+
+def verdicts(rows, top=Q.TOP_WORDS):
+    """The distances and the verdict of each (id, text, lang), with references by brute force."""
+    groups = {}
+    for i, text, lang in rows:
+        key = re.match(r"\s*([^\W\d_]*)", lang or "").group(1).lower()
+        groups.setdefault(key, []).append((i, text or ""))
+    out = []
+    for docs in groups.values():
+        words = [[w for w in re.split(f"[{SPACE}]+", t.lower()) if w] for _, t in docs]
+        seen = Counter(w for found in words for w in set(found) if len(w) <= Q.MAX_WORD)
+        common = sorted(seen, key=lambda w: (-seen[w], w))[:top]
+        counts = [Counter(found) for found in words]
+        shares = [shares_of([c[w] for w in common] + [len(found) - sum(c[w] for w in common)]) for c, found in zip(counts, words)]
+        classes = [classes_of(t) for _, t in docs]
+        good = [k for k, (_, t) in enumerate(docs) if not base(t)[5]]
+
+        def mean(rows):
+            return [sum(rows[k][j] for k in good) / len(good) for j in range(len(rows[0]))] if good else None
+        for k, (i, t) in enumerate(docs):
+            char, word = (distance(own[k], mean(own)) if good else 0.0 for own in (classes, shares))
+            slack = 1 / math.sqrt(max(len(words[k]), 1))
+            out.append((i, char, word, not base(t)[5] and char <= Q.MAX_CHAR_DISTANCE + slack / 2 and word <= Q.MAX_WORD_DISTANCE + slack))
+    return out
+
+
+def check_verdicts(docs, rows):
+    got = {r.doc_id: (r.char_distance, r.word_distance, r.kept) for r in Q.quality(docs).collect()}
+    expected = verdicts(rows)
+    assert len(got) == len(expected)
+    for i, char, word, kept in expected:
+        assert got[i][:2] == pytest.approx((char, word), abs=1e-6), i
+        assert got[i][2] == kept
+    return got
+
+
+def test_references_and_verdict_by_brute_force(spark, make_docs, monkeypatch):
+    table = read_table(spark, "/root/testdata/sf0.001", "documents").select("doc_id", "text", "lang")
+    rows = [tuple(r) for r in table.collect()]
+    check_verdicts(table, rows)
+    # more languages than may be broadcast: the same by an ordinary join
+    monkeypatch.setattr(Q, "MAX_BROADCAST_LANGS", 0)
+    check_verdicts(table, rows)
+
+
+def test_every_language_is_learned(make_docs):
+    """Languages without any given list, spelled in several ways, or null."""
+    plain = "una casa e il mare di una sera che non si vede e poi il sole torna di nuovo sul mare e la sera viene {} volte"
+    odd = "zq9 " * 3 + " ".join(f"xk{i}%" for i in range(30))
+    rows = [(i, plain.format(i), lang) for i, lang in enumerate(["it", "IT", "it-CH", " it"] * 10 + [None, "", "??"] * 10)]
+    rows += [(100, odd, "it"), (101, odd, None), (102, odd, "fi")]
+    got = check_verdicts(make_docs(rows), rows)
+    assert all(got[i][2] for i in range(70)) and all(got[i][1] > 0 for i in range(70))
+    assert not got[100][2] and not got[101][2]
+    assert got[102][2]  # the only document of its language
 
 
 def test_distance(spark):
