@@ -42,6 +42,7 @@ N_CLASSES = 6
 TOP_WORDS = 20
 MAX_WORD = 20
 MAX_BROADCAST_LANGS = 4096
+MAX_LITERAL_LANGS = 64
 MAX_CHAR_DISTANCE = 0.2
 MAX_WORD_DISTANCE = 0.55
 
@@ -82,18 +83,20 @@ def _repeat_words(words: Column) -> Column:
     return let(_window_hashes(words), lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), 0).otherwise(_covered(h)))
 
 
-def base_counts(docs: DataFrame) -> DataFrame:
-    """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long) and base_failed."""
+def base_counts(docs: DataFrame, **of_words) -> DataFrame:
+    """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long) and base_failed; and with a column
+    for each function of the words in ``of_words``."""
     text = F.coalesce(F.col("text"), F.lit(""))
     dup_lines = let(F.filter(F.split(text, "\n", -1), lambda line: line.rlike(r"[^\x20\x09-\x0D]")),
                     lambda lines: F.size(lines) - F.size(F.array_distinct(lines)))
     counted = docs.withColumns({
-        "_found": let(words_of(text), lambda w: F.struct(F.size(w).alias("n"), _repeat_words(w).alias("repeated"))),
+        "_found": let(words_of(text), lambda w: F.struct(
+            F.size(w).alias("n"), _repeat_words(w).alias("repeated"), *[use(w).alias(name) for name, use in of_words.items()])),
         "word_chars": F.length(F.translate(text, " \t\n\x0b\x0c\r", "")).cast("long"),
         "n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),
         "n_dup_lines": dup_lines.cast("long")})
     n, repeated = F.col("_found.n").cast("long"), F.col("_found.repeated").cast("long")
-    return counted.withColumns({"n_words": n, "n_repeat_words": repeated,
+    return counted.withColumns({"n_words": n, "n_repeat_words": repeated, **{name: F.col(f"_found.{name}") for name in of_words},
                                 "base_failed": (n < MIN_WORDS) | (100 * repeated > 30 * n)}).drop("_found")
 
 
@@ -115,9 +118,11 @@ def language_of(lang: Column) -> Column:
 
 def common_words(docs: DataFrame, top_words: int = TOP_WORDS, max_word: int = MAX_WORD) -> DataFrame:
     """_lang, common: a language's words found in most of its documents, most frequent first, ties in order of the words."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    found = docs.select(language_of(F.col("lang")).alias("_lang"), F.explode(F.array_distinct(words_of(F.lower(text)))).alias("word"))
-    counted = found.where(F.length("word") <= max_word).groupBy("_lang", "word").agg(F.count(F.lit(1)).alias("n"))
+    text = F.lower(F.coalesce(F.col("text"), F.lit("")))
+    for space in "\t\n\x0b\x0c\r":  # then one character splits, which is faster than a class
+        text = F.replace(text, F.lit(space), F.lit(" "))
+    found = docs.select(language_of(F.col("lang")).alias("_lang"), F.explode(F.array_distinct(F.split(text, " "))).alias("word"))
+    counted = found.where(F.length("word").between(1, max_word)).groupBy("_lang", "word").agg(F.count(F.lit(1)).alias("n"))
     rank = F.row_number().over(Window.partitionBy("_lang").orderBy(F.desc("n"), "word"))
     top = counted.withColumn("rank", rank).where(F.col("rank") <= top_words)
     return top.groupBy("_lang").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "word"))), lambda x: x["word"]).alias("common"))
@@ -130,13 +135,15 @@ def _with(rows: DataFrame, per_language: DataFrame) -> DataFrame:
 
 
 def with_histograms(docs: DataFrame, common: DataFrame) -> DataFrame:
-    """``docs`` with base counts, ``_lang``, and a distribution each in ``classes`` and ``shares``.  ``common``: common_words, stored."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    known = _with(base_counts(docs).withColumn("_lang", language_of(F.col("lang"))), common)
-    words = F.coalesce("common", F.array().cast("array<string>"))
-    return known.withColumns({  # word_chars is a column by now
-        "classes": _normal(_class_counts(text)),
-        "shares": _normal(let(words, lambda c: _word_histogram(words_of(F.lower(text)), c)))}).drop("common")
+    """``docs`` with base counts, ``_lang``, and a distribution each in ``classes`` and ``shares``.  ``common``: common_words, stored.
+
+    A word is looked up among its language's; where languages are few, those that are no language's go first, by a set."""
+    own, every = F.coalesce("common", F.array().cast("array<string>")), None
+    if common.count() <= MAX_LITERAL_LANGS:
+        every = sorted(r.word for r in common.select(F.explode("common").alias("word")).distinct().collect())
+    known = _with(docs.withColumn("_lang", language_of(F.col("lang"))), common)
+    counted = base_counts(known, shares=lambda words: let(own, lambda c: _normal(_word_histogram(words, c, every))))
+    return counted.withColumn("classes", _normal(_class_counts(F.coalesce(F.col("text"), F.lit(""))))).drop("common")  # reads word_chars
 
 
 def language_references(scored: DataFrame, top_words: int = TOP_WORDS) -> DataFrame:
@@ -150,12 +157,14 @@ def language_references(scored: DataFrame, top_words: int = TOP_WORDS) -> DataFr
         "_lang", held("classes", N_CLASSES), held("shares", top_words + 1))
 
 
-def _word_histogram(words: Column, common: Column) -> Column:
-    """Counts of each common word, then of all other words."""
-    def bins(w):
-        return let(F.filter(w, lambda x: F.array_contains(common, x)), lambda h: F.array_append(
-            F.transform(common, lambda c: F.size(F.filter(h, lambda x: x == c)).cast("double")), (F.size(w) - F.size(h)).cast("double")))
-    return let(words, bins)
+def _word_histogram(words: Column, common: Column, every: list[str] | None) -> Column:
+    """Counts of each of ``common``, then of all other words; only words of ``every``, if given, can be common."""
+    def bins(h):
+        return F.array_append(F.transform(common, lambda c: F.size(F.filter(h, lambda x: x == c)).cast("double")),
+                              (F.size(words) - F.size(F.filter(h, lambda x: F.array_contains(common, x)))).cast("double"))
+    kept = words if every is None else F.filter(words, lambda x: F.lower(x).isin(every))
+    lowered = F.transform(kept, F.lower)
+    return let(lowered if every is not None else F.filter(lowered, lambda x: F.array_contains(common, x)), bins)
 
 
 def _normal(counts: Column) -> Column:

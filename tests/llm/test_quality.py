@@ -118,8 +118,9 @@ def test_references_and_verdict_by_brute_force(spark, make_docs, monkeypatch):
     table = read_table(spark, "/root/testdata/sf0.001", "documents").select("doc_id", "text", "lang")
     rows = [tuple(r) for r in table.collect()]
     check_verdicts(table, rows)
-    # more languages than may be broadcast: the same by an ordinary join
+    # more languages than may be broadcast or be literals: the same by an ordinary join
     monkeypatch.setattr(Q, "MAX_BROADCAST_LANGS", 0)
+    monkeypatch.setattr(Q, "MAX_LITERAL_LANGS", 0)
     check_verdicts(table, rows)
 
 
