@@ -62,3 +62,22 @@ def test_unique_keys_need_no_numbering(spark):
     responses = spark.createDataFrame([("m", "1_1", "zero_shot", f"q{n}", "A", n) for n in range(5)], RESPONSE)
     plan = P.pair(items, responses)._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" not in plan and "Aggregate" not in plan
+
+
+def test_items_are_never_broadcast(spark):
+    """Small files may hold many rows: neither items nor responses go through the driver, whatever the threshold."""
+    items = spark.createDataFrame([("1_1", n, f"q{n}", None, "A") for n in range(5)], ITEM)
+    responses = spark.createDataFrame([("m", "1_1", "zero_shot", f"q{n}", "A", n) for n in range(4)], RESPONSE)
+    numbered = responses.withColumn("request_id", F.col("response_no"))
+    cells = responses.select("model", "split", "shot").distinct()
+    kept = [spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")]
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10MB")
+        spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "10MB")
+        for joined, rows, broadcasts in ((P.pair(items, responses), 4, 0), (P.pair(items, numbered), 4, 0), (P.coverage(items, responses, cells), 1, 1)):
+            assert len(joined.collect()) == rows
+            plan = joined._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+            assert plan.count("SortMergeJoin") >= 1 and plan.count("BroadcastHashJoin") <= broadcasts  # one row per split may be
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept[0])
+        spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", kept[1])
