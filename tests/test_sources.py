@@ -155,3 +155,18 @@ def test_repeated_keys_pair_in_order(spark):
     assert sorted(kinds) == ["duplicate_key", "duplicate_key", "orphan_response"]
     numbered = spark.createDataFrame([(i, *r) for i, r in ((0, rows[0]), (1, rows[1]), (1, rows[1]), (2, rows[2]))], REQUEST_RESPONSES)
     assert score_exact.accuracy(extract(spark, items, numbered), items).first().accuracy == 1.0
+
+
+def test_compressed_details_read_back(spark, tmp_path):
+    from evalgrid.schemas import DETAILS
+    from evalgrid.sources.sinks import read_details, write_details
+    rows = spark.range(400).selectExpr(*[f"CAST({'id' if f.name == 'ord' else repr(chr(120)) if f.name in ('model', 'split', 'shot', 'question') else 'NULL'} "
+                                         f"AS {f.dataType.simpleString()}) AS {f.name}" for f in DETAILS.fields if f.name != "model_safe"])
+    sizes = {}
+    for codec in ("none", "gzip"):
+        write_details(rows, str(tmp_path / codec), compression=codec)
+        files = [f for f in (tmp_path / codec).rglob("part-*") if not f.name.endswith(".crc")]
+        assert all(f.name.endswith(".gz") == (codec == "gzip") for f in files)
+        sizes[codec] = sum(f.stat().st_size for f in files)
+        assert sorted(r.ord for r in read_details(spark, str(tmp_path / codec)).collect()) == list(range(400))
+    assert 4 * sizes["gzip"] < sizes["none"]
