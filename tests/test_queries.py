@@ -78,3 +78,9 @@ def test_closed_rows_reach_no_python(spark, small_sf):
 
 def test_bleu_alone_has_no_lcs(spark, small_sf):
     assert "lcs" not in _plan(spark, small_sf, "m5_bleu")
+
+
+@pytest.mark.parametrize("name", ["e5_tuple_regex", "e7_triple_arity"])
+def test_tuples_are_parsed_once_for_all_columns(spark, small_sf, name):
+    plan = QUERIES[name](spark, small_sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1
