@@ -133,3 +133,65 @@ def test_porter_examples_and_stemmed_rouge(spark):
     stemmed = stx.text_scores(df, stem=True).first()
     assert stemmed.rouge1 > plain.rouge1 and stemmed.rougeL >= plain.rougeL
     assert stemmed.bleu == plain.bleu  # BLEU never stems
+
+
+def test_text_step_by_slices_equals_brute_force(monkeypatch):
+    """The Arrow step numbers tokens and counts by sorting; its slices of a batch end anywhere."""
+    import random
+    import re
+    from collections import Counter
+
+    import numpy as np
+    import pyarrow as pa
+
+    from evalgrid.functions.stem import rouge_stem_tokens
+    from evalgrid.operators import score_text as st
+
+    def clip(p, r, n):
+        cp, cr = (Counter(zip(*(x[i:] for i in range(n)))) for x in (p, r))
+        return sum(min(c, cr[g]) for g, c in cp.items())
+
+    def lcs(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            new = [0]
+            for j, y in enumerate(b):
+                new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
+            row = new
+        return row[-1]
+
+    draw = random.Random(1)
+    words = ["running", "runs", "é", "ab1", "x", "running!", "—", "b", "ponies", "skies", "c-d", "日本", "w1", "w2", "w3", "w4"]
+    for size in (1, 100, 1 << 20):
+        monkeypatch.setattr(st, "_SLICE_BYTES", size)
+        texts = [[[draw.choice(words[:draw.choice([2, 16])]) for _ in range(draw.choice([0, 1, 2, 3, 4, 90, 150]))] for _ in range(25)] for _ in range(4)]
+        sides = [pa.array(["before"] + [" ".join(x) for x in t]).slice(1) for t in texts]
+        for stem in (False, True):
+            parts = [st._features(*[x.slice(at, n) for x in sides], st._FEATURES, stem) for at, n in st._slices(sides)]
+            got = {c: np.concatenate([p[c] for p in parts]).tolist() for c in parts[0]}
+            for i in range(25):
+                a, b = texts[0][i], texts[1][i]
+                c, d = (re.findall("[a-z0-9]+", " ".join(t[i])) for t in texts[2:])
+                if stem:
+                    c, d = rouge_stem_tokens(c), rouge_stem_tokens(d)
+                want = {"pb": len(a), "rb": len(b), "pr": len(c), "rr": len(d), "lcs": lcs(d, c)}
+                want |= {f"b{n}_clip": clip(a, b, n) for n in (1, 2, 3, 4)} | {f"r{n}_clip": clip(c, d, n) for n in (1, 2)}
+                assert {k: v[i] for k, v in got.items()} == want
+
+
+def test_text_step_gets_strings(spark):
+    """No array of tokens crosses to Python."""
+    pairs = spark.createDataFrame([("m", "3_1", "zero_shot", "i", "A b c.", "a b d")], "model string, split string, shot string, identifier string, pred string, ref string")
+    from evalgrid.operators.score_text import text_scores
+    plan = text_scores(pairs)._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "array<string>" not in plan
+
+
+def test_java_pattern_gives_the_same_bleu_tokens(spark):
+    from pyspark.sql import functions as F
+
+    from evalgrid.functions.text import BLEU_TOKEN_PATTERN, bleu_tokens
+    texts = ["ab1é_x ab1-x", "naïve café!", "日本語 abc日本 x_1", "a\u00a0b\x1cc", "", "..a..", "²a½ b٣", "É A Ab"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    rows = df.select(bleu_tokens(F.col("t")).alias("a"), F.regexp_extract_all(F.lower("t"), F.lit(BLEU_TOKEN_PATTERN), 0).alias("b")).collect()
+    assert all(r.a == r.b for r in rows)
