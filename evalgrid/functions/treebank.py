@@ -52,6 +52,9 @@ RULES = [
     (r" ('t)(is)\b", r" \1 \2 "),
     (r" ('t)(was)\b", r" \1 \2 "),
 ]
+# the places of the rules that can change a sentence of letters, digits, spaces, periods and commas only
+PLAIN_PATTERN = r"^[\p{L}\p{N}_ .,]*$"
+PLAIN_RULES = [5, 6, 7, 8, 10, 16, 20, 23, 25, 26, 27, 28, 30]
 # what may follow the mark that ends a sentence, and what surrounds a word when types are counted
 CLOSERS_PATTERN = r"[)\"'\]}>»”’]+$"
 AROUND_PATTERN = r"^[(\"'\[{<«“‘„]+|[)\"'\]}>»”’,;:?!]+$"
@@ -68,13 +71,18 @@ def _words(text: Column) -> Column:
 
 def learn_abbreviations(texts: DataFrame, column: str = "text") -> DataFrame:
     """word, score of the types that are abbreviations in ``texts``: one count by type, combined map-side, and its totals."""
-    words = texts.select(F.explode(_words(F.col(column))).alias("w")).select(F.regexp_replace("w", AROUND_PATTERN, "").alias("w")).where("w <> ''")
+    # equal words are counted first, so that each is taken apart once and not once for each time it occurs
+    words = texts.select(F.explode(_words(F.col(column))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    # empty ones have no count: a filter on words would be pushed below the first count, and the pattern with it
+    words = words.select(F.regexp_replace("w", AROUND_PATTERN, "").alias("w"), "n").withColumn("n", F.when(F.col("w") != "", F.col("n")))
     ended = F.col("w").endswith(".") & ~F.col("w").endswith("..")
-    typed = words.select(F.when(ended, F.expr("left(w, length(w) - 1)")).otherwise(F.col("w")).alias("word"), ended.cast("bigint").alias("period"))
-    counts = typed.groupBy("word").agg(F.sum("period").alias("n_with"), F.sum(1 - F.col("period")).alias("n_without"))
+    typed = words.select(F.when(ended, F.expr("left(w, length(w) - 1)")).otherwise(F.col("w")).alias("word"), ended.alias("period"), "n")
+    counts = typed.groupBy("word").agg(F.sum(F.when(F.col("period"), F.col("n")).otherwise(0)).alias("n_with"),
+                                       F.sum(F.when(F.col("period"), 0).otherwise(F.col("n"))).alias("n_without"),
+                                       F.bool_or(F.col("word").rlike(r"\p{L}")).alias("lettered"))
     total = counts.agg(F.sum("n_with").alias("p"), F.sum(F.col("n_with") + F.col("n_without")).alias("n"))
     share = total.select((F.col("p") / F.col("n")).alias("share")).scalar()
-    found = counts.where("n_with > 0").where(F.col("word").rlike(r"\p{L}")).withColumn("share", share).where("share < 1")
+    found = counts.where("n_with > 0 AND lettered").withColumn("share", share).where("share < 1")
     inner = F.length("word") - F.length(F.replace(F.col("word"), F.lit("."), F.lit("")))
     scored = found.withColumn("inner", inner).withColumn("letters", F.length("word") - inner)
     ratio = -2 * (F.col("n_with") * (F.log("share") - F.log(F.lit(ABBREVIATION_PERIOD)))
@@ -94,7 +102,8 @@ def sentences(text: Column, abbreviations: Column) -> Column:
     def mark(word):
         core = F.regexp_replace(word, CLOSERS_PATTERN, "")
         period = core.endswith(".") & ~core.endswith("..") & ~F.array_contains(abbreviations, F.regexp_replace(core, r"^[(\"'\[{<«“‘„]+|\.$", ""))
-        return F.when(core.endswith("?") | core.endswith("!") | period, F.concat(word, F.lit("\n"))).otherwise(F.concat(word, F.lit(" ")))
+        marks = F.contains(word, F.lit(".")) | F.contains(word, F.lit("?")) | F.contains(word, F.lit("!"))
+        return F.when(marks & (core.endswith("?") | core.endswith("!") | period), F.concat(word, F.lit("\n"))).otherwise(F.concat(word, F.lit(" ")))
 
     joined = F.array_join(F.transform(_words(text), mark), "")
     return F.filter(F.split(joined, "\n"), lambda s: F.length(F.btrim(s)) > 0)
@@ -102,11 +111,14 @@ def sentences(text: Column, abbreviations: Column) -> Column:
 
 def treebank_tokens(text: Column, abbreviations: Column) -> Column:
     """The tokens of all sentences in order."""
-    def tokens(sentence):
+    def by(rules, sentence):
         s = F.btrim(sentence)
-        for pattern, new in RULES:
+        for pattern, new in rules:
             s = F.regexp_replace(s, pattern, new.replace("\\", "$"))
         return F.split(F.btrim(s), " +")
 
+    def tokens(sentence):
+        return F.when(sentence.rlike(PLAIN_PATTERN), by([RULES[k] for k in PLAIN_RULES], sentence)).otherwise(by(RULES, sentence))
+
     found = F.flatten(F.transform(sentences(text, abbreviations), tokens))
     return F.filter(found, lambda t: t != "")

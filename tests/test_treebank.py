@@ -53,3 +53,36 @@ def test_both_stemmers_agree(spark):
     words.discard("")
     got = S.stem_words(spark.createDataFrame([(w,) for w in sorted(words)], "word string")).collect()
     assert {r.word: r.stem for r in got} == {w: S.porter_stem(w, True) for w in words}
+
+
+def test_plain_sentences_need_the_plain_rules_only():
+    """The rules that are left out for sentences of letters, digits, spaces, periods and commas change none of them."""
+    import random
+    import re
+
+    from evalgrid.functions.treebank import PLAIN_PATTERN, PLAIN_RULES, RULES
+
+    def tokens(rules, s):
+        s = s.strip(" ")
+        for pattern, new in rules:
+            s = re.sub(pattern, lambda m: re.sub(r"\\(\d)", lambda x: m.group(int(x[1])) or "", new), s)
+        return [x for x in re.split(" +", s.strip(" ")) if x]
+
+    draw = random.Random(3)
+    words = ["cannot", "can", "not", "gimme", "gonna", "gotta", "lemme", "wanna", "wan", "na", "dye", "a", "1", "é", "x_y", ".", "..", "...", ",", "a.b",
+             "1,2", "a,b", ",a", "more", "n", "tis", "twas", "t", "s", "e.g.", "end.", " ", "_"]
+    for _ in range(20000):
+        s = "".join(draw.choice(words) + draw.choice(["", " ", " ", ",", "."]) for _ in range(draw.randint(0, 7)))
+        assert tokens(RULES, s) == tokens([RULES[k] for k in PLAIN_RULES], s), s
+    assert r"\p{L}\p{N}_ .," in PLAIN_PATTERN
+
+
+def test_learning_takes_each_distinct_word_apart_once(spark):
+    """Words are counted before they are taken apart: the pattern stands above an aggregate in the plan."""
+    from evalgrid.functions.treebank import learn_abbreviations
+
+    texts = spark.createDataFrame([("dr. no and dr. no, (dr. no)",)], "text string")
+    lines = learn_abbreviations(texts)._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    explode = next(k for k, x in enumerate(lines) if "Generate explode" in x)
+    counted = max(k for k, x in enumerate(lines[:explode]) if "Aggregate" in x)
+    assert not any("regexp_replace" in x for x in lines[counted + 1:])
