@@ -83,6 +83,5 @@ def test_learning_takes_each_distinct_word_apart_once(spark):
 
     texts = spark.createDataFrame([("dr. no and dr. no, (dr. no)",)], "text string")
     lines = learn_abbreviations(texts)._jdf.queryExecution().optimizedPlan().toString().split("\n")
-    explode = next(k for k, x in enumerate(lines) if "Generate explode" in x)
-    counted = max(k for k, x in enumerate(lines[:explode]) if "Aggregate" in x)
-    assert not any("regexp_replace" in x for x in lines[counted + 1:])
+    taken_apart = [x for x in lines if "regexp_replace" in x]
+    assert taken_apart and all("Aggregate [w#" in x for x in taken_apart)
