@@ -1,19 +1,20 @@
 """Operator 4: language-model scoring by context-tree weighting over bytes.
 
-A text is lower-cased (A-Z) and split into words at ASCII white space; it ends with an end token.  A word
-is coded as its bytes and a closing space, the end as one line feed.  Each byte is eight binary decisions, and
-each decision's contexts are the last 0 to ``DEPTH`` bytes of the word so far, back to the space before it.
-Every context counts its zeros and ones and estimates them by Krichevsky-Trofimov; context-tree weighting
-mixes, at every context, its own estimate with its longer contexts', weighted by how well each has coded
-the training words.  A word's probability given the trained tree is thus the same wherever it stands, so
-
-1. words are counted (all words, training counts; one distributed aggregate),
-2. the tree's counts come from the distinct words, weighted by their counts, as (context, byte) rows,
+A text is lower-cased (A-Z) and split into words at ASCII white space; it ends with an end token.  It is coded as
+running text: each word as its bytes and a space, the end as one line feed.  Each byte is eight binary decisions, and
+each decision's contexts are the last 0 to ``DEPTH`` bytes before it, across spaces, back to the text's start (which
+counts as a space).  Every context counts its zeros and ones and estimates them by Krichevsky-Trofimov;
+context-tree weighting mixes, at every context, its own estimate with its longer contexts', weighted by how
+well each has coded the training texts.
+
+1. words are counted for the base score (all words, training counts; one distributed aggregate),
+2. the tree's counts come from all texts as (context, byte) rows, added up in each task before they are shuffled,
 3. the tree is weighted bottom-up and read top-down per two-byte context, its trunk (at most 256 x 255
    decisions of context length 0 and 1) on the driver,
-4. each distinct word gets its code length, and documents sum their words'.
+4. every text sums the code lengths of its bytes: from a broadcast table of (context, byte) rows, or where that is
+   too large from the rows that its slice of the texts needs, found by a join.
 
-Documents are summed in two parts: the most frequent words (at most ``FREQUENT``, by a count threshold)
+Base scores are summed in two parts: the most frequent words (at most ``FREQUENT``, by a count threshold)
 from a broadcast table, all others by a join with the table of all words.
 
 Defined cases: null and empty texts are the end token alone; rows with a null id are held out; repeated rows
@@ -28,6 +29,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +40,10 @@ FREQUENT = 1 << 18
 MAX_BROADCAST_GRAMS = 6_000_000
 END = b"\n"
 _FLUSH = 200_000
+_CHUNK = 4_000_000  # bytes of text whose grams are counted at once
+_RUN = 300_000  # bytes of text whose grams are looked up at once
+_HELD = 4_000_000  # grams that a task adds up before it hands them on
+SLICE = 32_000_000  # bytes of text whose grams are looked up by one group of the join
 
 
 def tokens_of(text: str | None) -> list[bytes]:
@@ -75,34 +81,97 @@ def count_words(docs: DataFrame) -> DataFrame:
 
 
 def grams_of(words: list[bytes], depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, places): for each coded byte of each word the key context * 256 + byte, and where each word's keys start."""
+    """(keys, places): for each coded byte of each word the key context * 256 + byte, and where each word's keys start.
+
+    A word that ends in ``END`` is a whole text: its words, each with a space behind it, and the end."""
     pad = b"\0" * (depth - 1) + b" "
-    data = np.frombuffer(pad + pad.join(w if w == END else w + b" " for w in words) if words else b"", dtype=np.uint8)
-    sizes = np.array([len(w) + (w != END) for w in words], dtype=np.int64)
+    coded = [w if w.endswith(END) else w + b" " for w in words]
+    data = np.frombuffer(pad + pad.join(coded) if words else b"", dtype=np.uint8)
+    sizes = np.array([len(w) for w in coded], dtype=np.int64)
     starts = np.concatenate(([0], np.cumsum(sizes)))[:-1] if len(words) else np.zeros(0, np.int64)
     at = np.arange(int(sizes.sum())) + np.repeat((np.arange(len(words)) + 1) * depth, sizes)
     keys = np.zeros(len(at), dtype=np.int64)
     for back in range(depth, -1, -1):
-        keys = keys << 8 | data[at - back]
+        keys <<= 8
+        keys |= data[at - back]
     return keys, starts
 
 
+def coded_text(tokens: list[bytes]) -> bytes:
+    """The running text of ``tokens_of``'s tokens: a space behind each word, then the end."""
+    return b" ".join(tokens)
+
+
+def chunks(texts: list[bytes], size: int | None = None):
+    """Runs of texts of about ``size`` bytes."""
+    run, held = [], 0
+    for text in texts:
+        run.append(text)
+        held += len(text)
+        if held >= (size or _RUN):
+            yield run
+            run, held = [], 0
+    if run:
+        yield run
+
+
+def _added(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order with their summed counts."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate((np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1])))
+    return keys[first], np.add.reduceat(n[order], first) if len(first) else n
+
+
+def _gram_batches(keys: np.ndarray, n: np.ndarray):
+    for i in range(0, len(keys), _FLUSH):
+        yield pa.RecordBatch.from_arrays([pa.array(keys[i:i + _FLUSH]), pa.array(n[i:i + _FLUSH])], names=["key", "n"])
+
+
 def count_grams(words: DataFrame, depth: int = DEPTH) -> DataFrame:
     """key long, n long: training count of each (context, byte) of any word, also of words that training lacks (0)."""
     def run(batches):
         for batch in batches:
-            found = batch.column(0).to_pylist()
-            keys, starts = grams_of(found, depth)
+            keys, starts = grams_of(batch.column(0).to_pylist(), depth)
             sizes = np.diff(np.append(starts, len(keys)))
-            weight = np.repeat(batch.column(1).to_numpy(zero_copy_only=False), sizes)
-            unique, inverse = np.unique(keys, return_inverse=True)
-            total = np.zeros(len(unique), dtype=np.int64)
-            np.add.at(total, inverse, weight)
-            yield pa.RecordBatch.from_arrays([pa.array(unique), pa.array(total)], names=["key", "n"])
+            yield from _gram_batches(*_added(keys, np.repeat(batch.column(1).to_numpy(zero_copy_only=False), sizes)))
 
     return words.select("token", "train").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
+def count_text_grams(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """key long, n long: training count of each (context, byte) of the running texts, also of those that training lacks (0).
+    ``docs``: text, train (boolean)."""
+    def run(batches):
+        held = (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        waiting: dict[bool, list[bytes]] = {True: [], False: []}
+        sizes = {True: 0, False: 0}
+
+        def add(learn):
+            nonlocal held
+            keys = grams_of(waiting[learn], depth)[0]
+            keys.sort()
+            first = np.flatnonzero(np.concatenate((np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1])))
+            n = np.diff(np.append(first, len(keys))) * learn
+            held = _added(np.concatenate((held[0], keys[first])), np.concatenate((held[1], n)))
+            waiting[learn], sizes[learn] = [], 0
+        for batch in batches:
+            for text, learn in zip(batch.column(0), batch.column(1).to_pylist()):
+                coded = coded_text(tokens_of(text.as_py()))
+                waiting[learn].append(coded)
+                sizes[learn] += len(coded)
+                if sizes[learn] >= _CHUNK:
+                    add(learn)
+                    if len(held[0]) > _HELD:
+                        yield from _gram_batches(*held)
+                        held = (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        add(True)
+        add(False)
+        yield from _gram_batches(*held)
+
+    return docs.select("text", "train").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+
+
 def log_gamma(x: np.ndarray) -> np.ndarray:
     """Stirling's series after a shift by eight."""
     shift = np.zeros_like(x)
@@ -112,23 +181,48 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
     return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - shift
 
 
+_SMALL = 1 << 12
+_HALF, _ONE = log_gamma(np.arange(_SMALL) + 0.5), log_gamma(np.arange(_SMALL) + 1.0)
+
+
+def _log_gamma_of(counts: np.ndarray, table: np.ndarray, shift: float) -> np.ndarray:
+    """``log_gamma(counts + shift)`` of whole counts, small ones from a table."""
+    out = table[np.minimum(counts, _SMALL - 1).astype(np.int64)]
+    large = counts >= _SMALL
+    if large.any():
+        out[large] = log_gamma(counts[large] + shift)
+    return out
+
+
 def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     """Natural log of the Krichevsky-Trofimov probability of any sequence with these counts."""
     a, b = zeros.astype(float), ones.astype(float)
-    return log_gamma(a + 0.5) + log_gamma(b + 0.5) - log_gamma(a + b + 1) - math.log(math.pi)
+    return _log_gamma_of(a, _HALF, 0.5) + _log_gamma_of(b, _HALF, 0.5) - _log_gamma_of(a + b, _ONE, 1.0) - math.log(math.pi)
 
 
 class Level:
-    """The decisions of one context length: node ids (context * 256 + bits so far behind a leading 1), counts, weights."""
-
-    def __init__(self, ids: np.ndarray, bits: np.ndarray, n: np.ndarray):
-        self.ids, self.of = np.unique(ids, return_inverse=True)
-        self.of = self.of.reshape(ids.shape)
-        self.ones = np.bincount(self.of.ravel(), (n * bits).ravel(), len(self.ids))
-        self.all = np.bincount(self.of.ravel(), np.broadcast_to(n, ids.shape).ravel(), len(self.ids))
+    """The decisions of one context length: node ids (context * 256 + bits so far behind a leading 1), counts, weights.
+
+    ``grams``: the distinct (context, byte) keys in order, so that keys of one node stand together; ``places`` has the nodes
+    of each as 8 x n, ``first`` a key of each node, ``bit`` which of the eight decisions it is."""
+
+    def __init__(self, grams: np.ndarray, n: np.ndarray):
+        self.grams, self.n = grams, n
+        places, first = [], []
+        for i in range(8):
+            node = grams >> (8 - i)
+            new = np.concatenate((np.ones(min(1, len(grams)), bool), node[1:] != node[:-1]))
+            places.append(np.cumsum(new) - 1 + sum(map(len, first)))
+            first.append(np.flatnonzero(new))
+        self.places, self.bit, self.first = np.array(places), np.repeat(np.arange(8), [len(x) for x in first]), np.concatenate(first)
+        prefix, bits = decisions(grams)
+        self.ids = grams[self.first] >> 8 << 8 | prefix[self.bit, self.first]
+        self.ones = np.bincount(self.places.ravel(), (n * bits).ravel(), len(self.ids))
+        self.all = np.bincount(self.places.ravel(), np.broadcast_to(n, bits.shape).ravel(), len(self.ids))
         self.log_kt = log_kt(self.all - self.ones, self.ones)
         self.kt = (self.ones + 0.5) / (self.all + 1)  # of a one
         self.log_w, self.own = self.log_kt, np.ones(len(self.ids))
+        self.of = self.places  # nodes of each key of the tree
 
     def mix(self, longer: np.ndarray) -> None:
         """Weight with the summed log weights of the longer contexts."""
@@ -144,16 +238,18 @@ def decisions(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def tree(keys: np.ndarray, n: np.ndarray, depth: int, trunk: int) -> list[Level]:
-    """Levels trunk .. depth of the (sub)tree of these grams, weighted bottom-up."""
-    prefix, bits = decisions(keys)
-    levels = []
-    for d in range(trunk, depth + 1):
-        context = keys >> 8 & (1 << 8 * d) - 1
-        levels.append(Level(context << 8 | prefix, bits, n))
+    """Levels trunk .. depth of the (sub)tree of these grams, weighted bottom-up.  ``depth``: at most 6 (keys have 63 bits)."""
+    grams, at = np.unique(keys, return_inverse=True)
+    levels = [Level(grams, np.bincount(at, n, len(grams)))]
+    levels[0].of = levels[0].places[:, at]
     for d in range(depth - 1, trunk - 1, -1):
-        up, low = levels[d - trunk], levels[d + 1 - trunk]
-        parent = (low.ids >> 8 & (1 << 8 * d) - 1) << 8 | low.ids & 255
-        up.mix(np.bincount(np.searchsorted(up.ids, parent), low.log_w, len(up.ids)))
+        low = levels[0]
+        grams, back = np.unique(low.grams & (1 << 8 * (d + 1)) - 1, return_inverse=True)
+        up = Level(grams, np.bincount(back, low.n, len(grams)))
+        at = back[at]
+        up.of = up.places[:, at]
+        up.mix(np.bincount(up.places[low.bit, back[low.first]], low.log_w, len(up.ids)))
+        levels.insert(0, up)
     return levels
 
 
@@ -216,20 +312,32 @@ def gram_scores(grams: DataFrame, depth: int = DEPTH) -> DataFrame:
     return grouped.groupBy("sub").applyInArrow(down, "key long, lp double")
 
 
+def sums_of(texts: list[bytes], known: np.ndarray, lp: np.ndarray, depth: int) -> np.ndarray:
+    """The summed ``lp`` of each text's keys; ``known`` has them all, in order."""
+    out = [np.zeros(0)]
+    for run in chunks(texts):
+        keys, starts = grams_of(run, depth)
+        distinct, back = np.unique(keys, return_inverse=True)
+        out.append(np.add.reduceat(lp[np.searchsorted(known, distinct)][back], starts))
+    return np.concatenate(out)
+
+
+def _model(scores: DataFrame):
+    """(keys in order, their lp) as a broadcast."""
+    table = scores.orderBy("key").toArrow()
+    return scores.sparkSession.sparkContext.broadcast((table["key"].to_numpy(), table["lp"].to_numpy()))
+
+
 def word_scores(words: DataFrame, scores: DataFrame, depth: int = DEPTH, max_broadcast: int = MAX_BROADCAST_GRAMS) -> DataFrame:
     """``words`` with lp: the log10 probability of each word.  The (context, byte) table is broadcast up to
     ``max_broadcast`` rows (16 bytes each), and joined beyond that."""
     if scores.count() <= max_broadcast:
-        table = scores.orderBy("key").toArrow()
-        model = words.sparkSession.sparkContext.broadcast((table["key"].to_numpy(), table["lp"].to_numpy()))
+        model = _model(scores)
 
         def run(batches):
-            known, lp = model.value
             for batch in batches:
-                keys, starts = grams_of(batch.column(0).to_pylist(), depth)
-                if len(keys):
-                    total = np.add.reduceat(lp[np.searchsorted(known, keys)], starts)
-                    yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(total)], names=["token", "train", "lp"])
+                total = sums_of(batch.column(0).to_pylist(), *model.value, depth)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(total)], names=["token", "train", "lp"])
         return words.select("token", "train").mapInArrow(run, "token binary, train long, lp double")
 
     def expand(batches):
@@ -242,16 +350,33 @@ def word_scores(words: DataFrame, scores: DataFrame, depth: int = DEPTH, max_bro
     return spread.join(scores, "key").groupBy("token", "train").agg(F.sum("lp").alias("lp"))
 
 
+def slice_scores(texts: DataFrame, scores: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """row, lp: the log10 probability of each running text by a join.  ``texts``: row, slice (a bounded group of rows), coded; stored.
+    A slice asks for each of its keys once, so what is shuffled doesn't repeat a key for every byte."""
+    def ask(batch: pa.Table) -> pa.Table:
+        found = [np.zeros(0, np.int64)] + [np.unique(grams_of(run, depth)[0]) for run in chunks(batch["coded"].to_pylist())]
+        keys = np.unique(np.concatenate(found))
+        return pa.table({"slice": np.full(len(keys), batch["slice"][0].as_py(), dtype=np.int64), "key": keys})
+
+    def answer(left: pa.Table, right: pa.Table) -> pa.Table:
+        order = np.argsort(right["key"].to_numpy())
+        known, lp = right["key"].to_numpy()[order], right["lp"].to_numpy()[order]
+        return pa.table({"row": left["row"], "lp": sums_of(left["coded"].to_pylist(), known, lp, depth)})
+
+    asked = texts.select("slice", "coded").groupBy("slice").applyInArrow(ask, "slice long, key long").join(scores, "key")
+    return texts.groupBy("slice").cogroup(asked.groupBy("slice")).applyInArrow(answer, "row long, lp double")
+
+
 def score_documents(docs: DataFrame, depth: int = DEPTH, frequent: int = FREQUENT, max_broadcast: int = MAX_BROADCAST_GRAMS,
                     holdout_mod: int = 10) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of ``docs``."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn(
         "train", id_fold("doc_id", holdout_mod) != 0)
-    words = cut(count_words(rows), "lm-words")
-    n, v = words.where("train > 0").agg(F.coalesce(F.sum("train"), F.lit(0)), F.count(F.lit(1))).first()
-    grams = cut(count_grams(words, depth), "lm-grams")
+    table = cut(count_words(rows), "lm-words")
+    n, v = table.where("train > 0").agg(F.coalesce(F.sum("train"), F.lit(0)), F.count(F.lit(1))).first()
+    grams = cut(count_text_grams(rows, depth), "lm-grams")
     scores = cut(gram_scores(grams, depth), "lm-scores")
-    table = cut(word_scores(words, scores, depth, max_broadcast), "lm-lexicon")
+    model = _model(scores) if scores.count() <= max_broadcast else None
 
     # words of at least 2^floor training occurrences are the frequent ones: the lowest floor that admits few enough
     sizes = dict(table.where("train > 0").groupBy(F.floor(F.log2("train")).cast("int")).count().collect())
@@ -259,40 +384,47 @@ def score_documents(docs: DataFrame, depth: int = DEPTH, frequent: int = FREQUEN
     while floor > 0 and held + sizes.get(floor - 1, 0) <= frequent:
         floor -= 1
         held += sizes.get(floor, 0)
-    often = table.where(F.col("train") >= F.lit(float(2**floor))).select("token", "train", "lp").toArrow()
+    often = table.where(F.col("train") >= F.lit(float(2**floor))).select("token", "train").toArrow()
     total = n + 0.1 * (v + 1)
     base = np.log10((often["train"].to_numpy() + 0.1) / total)
-    common = docs.sparkSession.sparkContext.broadcast(dict(zip(often["token"].to_pylist(), zip(base.tolist(), often["lp"].to_pylist()))))
+    common = docs.sparkSession.sparkContext.broadcast(dict(zip(often["token"].to_pylist(), base.tolist())))
     pair = pa.list_(pa.struct([("token", pa.binary()), ("n", pa.int32())]))
 
     def run(batches):
         table = common.value
+        slice_id, filled = TaskContext.get().partitionId() << 32, 0
         for batch in batches:
-            out = {k: [] for k in ("n_tokens", "n_known", "base_score", "score", "rare")}
+            out = {k: [] for k in ("n_tokens", "n_known", "base_score", "rare", "slice", "coded")}
             for text in batch.column(1):
-                counts = Counter(tokens_of(text.as_py()))
-                known, b, s, rare = 0, 0.0, 0.0, []
-                for token, k in counts.items():
+                tokens = tokens_of(text.as_py())
+                known, b, rare = 0, 0.0, []
+                for token, k in Counter(tokens).items():
                     hit = table.get(token)
                     if hit is None:
                         rare.append((token, k))
                     else:
                         known += k
-                        b += k * hit[0]
-                        s += k * hit[1]
-                for name, value in zip(out, (counts.total(), known, b, s, [{"token": t, "n": k} for t, k in rare])):
+                        b += k * hit
+                for name, value in zip(out, (len(tokens), known, b, [{"token": t, "n": k} for t, k in rare], slice_id, coded_text(tokens))):
                     out[name].append(value)
-            types = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pair)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *[pa.array(out[k], t) for k, t in zip(out, types)]],
-                                             names=["doc_id", "train", *out])
-
-    part = cut(rows.mapInArrow(run, "doc_id long, train boolean, n_tokens long, n_known long, base_score double, score double, "
-                                    "rare array<struct<token:binary,n:int>>").withColumn("row", F.monotonically_increasing_id()), "lm-part")
+                filled += len(out["coded"][-1])
+                if filled >= SLICE:
+                    slice_id, filled = slice_id + 1, 0
+            score = [None] * batch.num_rows
+            if model is not None:
+                score, out["coded"] = sums_of(out["coded"], *model.value, depth), [None] * batch.num_rows
+            types = (pa.int64(), pa.int64(), pa.float64(), pair, pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *[pa.array(out[k], t) for k, t in zip(out, types)], pa.array(score, pa.float64())],
+                                             names=["doc_id", "train", *out, "score"])
+
+    part = cut(rows.mapInArrow(run, "doc_id long, train boolean, n_tokens long, n_known long, base_score double, rare array<struct<token:binary,n:int>>, "
+                                    "slice long, coded binary, score double").withColumn("row", F.monotonically_increasing_id()), "lm-part")
     rest = (part.select("row", F.explode("rare").alias("r")).select("row", "r.token", "r.n").join(table, "token")
             .groupBy("row").agg(F.sum(F.when(F.col("train") > 0, F.col("n")).otherwise(0)).alias("known"),
-                                F.sum(F.col("n") * F.log10((F.col("train") + 0.1) / F.lit(total))).alias("base"), F.sum(F.col("n") * F.col("lp")).alias("lp")))
-    joined = part.drop("rare").join(rest, "row", "left")
+                                F.sum(F.col("n") * F.log10((F.col("train") + 0.1) / F.lit(total))).alias("base")))
+    joined = part.drop("rare", "coded").join(rest, "row", "left")
+    if model is None:
+        joined = joined.drop("score").join(slice_scores(part.select("row", "slice", "coded"), scores, depth).withColumnRenamed("lp", "score"), "row")
     return joined.select(
         "doc_id", (~F.col("train")).alias("held_out"), "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"),
-        F.lit(n).cast("long").alias("train_tokens"), (F.col("base_score") + F.coalesce("base", F.lit(0.0))).alias("base_score"),
-        (F.col("score") + F.coalesce("lp", F.lit(0.0))).alias("score"))
+        F.lit(n).cast("long").alias("train_tokens"), (F.col("base_score") + F.coalesce("base", F.lit(0.0))).alias("base_score"), "score")
